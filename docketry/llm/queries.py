@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm.common import table
+from docketry.llm.common import new_path, table
 from docketry.llm.sharding import feistel_shards
+from docketry.llm.warc import read_archives, resolve_revisits, write_archives
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back, and their revisits resolved."""
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, min_bytes=100)
+    return resolve_revisits(read_archives(spark, path, keep_payload=False)).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_warc": op3_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        f AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+                     CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first_id FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+}
