@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.llm.bpe import bpe_encode
 from docketry.llm.common import new_path, table
 from docketry.llm.sharding import feistel_shards
 from docketry.llm.warc import read_archives, resolve_revisits, write_archives
@@ -23,9 +25,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(read_archives(spark, path, keep_payload=False)).drop("url")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded; digests of both."""
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_warc": op3_warc,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLES: dict[str, str] = {
