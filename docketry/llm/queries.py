@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm.bpe import bpe_encode
+from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
 from docketry.llm.sharding import feistel_shards
 from docketry.llm.warc import read_archives, resolve_revisits, write_archives
@@ -30,10 +31,27 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one full of control strings, formatted and read back."""
+    probe = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{probe}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{probe}'")
+    return conversation_digests(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")).drop("n_tokens", "loss_tokens")
+
+
+def _escaped_sql(column: str) -> str:
+    """The template's escapes in SQL.  No control string begins inside another, so one may follow the other."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_warc": op3_warc,
     "op6_bpe": op6_bpe,
+    "op7_chat": op7_chat,
 }
 
 ORACLES: dict[str, str] = {
@@ -45,4 +63,13 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op7_chat": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('{TURN}') + length(replace({_escaped_sql("role")}, chr(10), '{BREAK}')) + length('{TEXT}') + length({_escaped_sql("text")}) + length('{END}')) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id""",
 }
