@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
+from docketry.llm.neardup import near_duplicates
 from docketry.llm.sharding import feistel_shards
 from docketry.llm.warc import read_archives, resolve_revisits, write_archives
 
@@ -26,6 +27,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(read_archives(spark, path, keep_payload=False)).drop("url")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents grouped by 2-word shingle sets alike in 80 % or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded; digests of both."""
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
@@ -50,6 +56,7 @@ def _escaped_sql(column: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_warc": op3_warc,
+    "op4_minhash": op4_minhash,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
 }
@@ -63,6 +70,19 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op4_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws[1]]
+                     ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
+              JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+              GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id""",
     "op7_chat": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
