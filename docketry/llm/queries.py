@@ -11,6 +11,7 @@ from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
 from docketry.llm.neardup import near_duplicates
+from docketry.llm.quality import score_quality, train_quality
 from docketry.llm.sharding import feistel_shards
 from docketry.llm.warc import read_archives, resolve_revisits, write_archives
 
@@ -45,6 +46,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")).drop("n_tokens", "loss_tokens")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the ranking learnt from labelled pairs."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def _escaped_sql(column: str) -> str:
     """The template's escapes in SQL.  No control string begins inside another, so one may follow the other."""
     out = f"replace({column}, '\\', '\\\\')"
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
