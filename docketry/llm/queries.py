@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
+from docketry.llm.langid import documents_as_rows, identify, learn, pages_as_rows
 from docketry.llm.neardup import near_duplicates
 from docketry.llm.quality import score_quality, train_quality
 from docketry.llm.sharding import feistel_shards
@@ -46,6 +48,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")).drop("n_tokens", "loss_tokens")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages: language, probability, and whether it is accepted."""
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs)
+    by_doc = identify(documents_as_rows(docs), model)
+    by_page = identify(pages_as_rows(table(spark, sf_dir, "pages")), model)
+    none = F.lit(None).cast("long")
+    return by_doc.select(F.col("id").alias("doc_id"), none.alias("page_id"), "lang", "probability", "accepted").unionByName(
+        by_page.select(none.alias("doc_id"), F.col("id").alias("page_id"), "lang", "probability", "accepted")
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the ranking learnt from labelled pairs."""
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op9_langid": op9_langid,
     "op10_quality": op10_quality,
 }
 
