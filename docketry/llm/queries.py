@@ -12,6 +12,7 @@ from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
 from docketry.llm.langid import documents_as_rows, identify, learn, pages_as_rows
+from docketry.llm.mainext import extract_main_text
 from docketry.llm.neardup import near_duplicates
 from docketry.llm.quality import score_quality, train_quality
 from docketry.llm.sharding import feistel_shards
@@ -35,6 +36,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded; digests of both."""
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_warc": op3_warc,
     "op4_minhash": op4_minhash,
+    "op5_html": op5_html,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
     "op9_langid": op9_langid,
