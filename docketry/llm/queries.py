@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
+from docketry.llm.decontam import find_leaks
 from docketry.llm.langid import documents_as_rows, identify, learn, pages_as_rows
 from docketry.llm.mainext import extract_main_text
 from docketry.llm.neardup import near_duplicates
@@ -24,6 +25,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items that leaked into any document."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records, read back, and their revisits resolved."""
     path = new_path(spark, "warc")
@@ -82,6 +88,7 @@ def _escaped_sql(column: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontam": op2_decontam,
     "op3_warc": op3_warc,
     "op4_minhash": op4_minhash,
     "op5_html": op5_html,
