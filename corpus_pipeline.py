@@ -14,33 +14,31 @@ from docketry.llm.common import materialise, table
 from docketry.llm.decontam import without_leaks
 from docketry.llm.langid import documents_as_rows, identify, learn
 from docketry.llm.neardup import near_duplicates
-from docketry.llm.quality import score_quality, train_quality
+from docketry.llm.quality import only_good, train_quality
 
 #: SQL can't express learnt scores, hashed trigrams or BPE.
 ORACLE_SQL = None
 
 
-def _only_listed(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Documents whose id is in ``listed(doc_id)``; ids of documents are their key."""
-    return docs.join(listed.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking predicts good."""
-    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
-    return _only_listed(docs, scored.where("predicted = 1"))
+    return only_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages known."""
-    return _only_listed(docs, identify(documents_as_rows(docs), learn(docs)).where("accepted").select(F.col("id").alias("doc_id")))
+    """Documents in one of the languages known; rows without an id stay."""
+    found = identify(documents_as_rows(docs), learn(docs))
+    rejected = materialise(found.where("NOT accepted AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct(), "pipeline-rejected")
+    return docs.join(rejected, "doc_id", "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five words a shingle, similarity 0.8."""
-    kept = _only_listed(docs, near_duplicates(docs).where("kept"))
+    found = near_duplicates(docs)
+    copies = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-copies")
+    kept = docs.join(copies, "doc_id", "left_anti")
     # rows that repeat an id are copies too
-    twice = materialise(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-twice")
+    twice = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-twice")
     if twice.isEmpty():
         return kept
     return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -16,6 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,18 +251,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text no item leaked into."""
+    """The rows of ``docs``, all columns as they are, whose text no item leaked into; no shuffle."""
     found = indexes(items)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch[text_col]]
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             keep, begin = np.ones(len(texts), dtype=bool), 0
             for some in blocks(texts, len, BLOCK_CHARS):
                 for index in found:
                     for d, *_ in index.search(some):
                         keep[begin + d] = False
                 begin += len(some)
-            yield batch[keep]
+            yield batch.filter(pa.array(keep))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
