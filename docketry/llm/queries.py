@@ -12,6 +12,7 @@ from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
 from docketry.llm.decontam import find_leaks
+from docketry.llm.images import image_copies, media_of
 from docketry.llm.langid import documents_as_rows, identify, learn, pages_as_rows
 from docketry.llm.mainext import extract_main_text
 from docketry.llm.neardup import near_duplicates
@@ -60,6 +61,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")).drop("n_tokens", "loss_tokens")
 
 
+def op8_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of all embeddings and edited copies of some: which show the same."""
+    return image_copies(media_of(table(spark, sf_dir, "embeddings")))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages: language, probability, and whether it is accepted."""
     docs = table(spark, sf_dir, "documents")
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html": op5_html,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op8_images": op8_images,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
 }
