@@ -6,7 +6,8 @@ shares no table with probability 2 * (1 - 0.8**PER)**SUB, below 0.0001 here.  Do
 are one class.  Candidates are confirmed on full sets, and links are closed to components.
 
 Within a table's bucket not all pairs are formed: members are compared with the bucket's smallest, components are
-found, and only buckets whose members still lie in different components are looked at again.
+found, and only buckets whose members still lie in different components are looked at again.  There, small buckets
+form their pairs; members of large ones are searched in blocks: those outside the largest component are the queries.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from docketry.llm.common import WORD_BASE, blocks, hash_words, joined, materiali
 
 SUB, PER = 10, 2
 MINIMA = 2 * SUB * PER
-#: Of the minima so many must agree before full sets are compared; at similarity 0.8 a pair misses this with probability 0.00002.
-AGREE = MINIMA // 2
+#: Of the minima so many must agree before full sets are compared; at similarity 0.8 a pair misses this with probability 0.0001.
+AGREE = 22
 BLOCK_CHARS = 1_000_000
-#: Pairs across components that are compared at once, as a multiple of the bucket rows in question; beyond it hubs come first.
-AT_ONCE = 4
-HUB_ROUNDS = 8
+#: Members of a bucket up to which its pairs are formed; larger ones are searched in blocks.
+SMALL = 32
+#: Shingles of one block.
+BLOCK_SHINGLES = 400_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -137,6 +139,52 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
+def _searched(large: DataFrame, sets_of, classes: DataFrame, percent: int) -> DataFrame:
+    """Links across components among members of large buckets, ``a, b``.
+
+    Buckets that share members make a cluster.  Its queries are the members outside its largest component; they are
+    held against all its members, block by block, with exact intersections.  Blocks hold BLOCK_SHINGLES.
+    """
+    nodes = materialise(large.groupBy("node").agg(F.min("component").alias("component")), "neardup-large")
+    clusters = components(large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), "neardup-clusters").withColumnRenamed("id", "node").withColumnRenamed("component", "cluster")
+    placed = materialise(nodes.join(clusters, "node").join(classes.select("node", "n"), "node"), "neardup-placed")
+    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    whole = sizes.groupBy("cluster").agg(F.max_by("component", "m").alias("main"), F.sum("n").alias("all"))
+    parts = whole.join(sizes, "cluster").groupBy("cluster", "main", "all").agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("n")).otherwise(0)).alias("asked"))
+    count = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int").alias(f"{c}_blocks")
+    parts = materialise(parts.where("asked > 0").select("cluster", "main", count("all"), count("asked")), "neardup-parts")
+    rows = placed.join(parts, "cluster")
+    sets = sets_of(rows.select("node")).dropDuplicates(["node"])
+    rows = materialise(rows.join(sets, "node"), "neardup-rows")
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(f"{c}_blocks")).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}_blocks") - 1))
+    held = rows.select("cluster", "node", "component", "members", F.lit(False).alias("asks"), own("all").alias("x"), each("asked").alias("y"))
+    asking = rows.where("component <> main").select("cluster", "node", "component", "members", F.lit(True).alias("asks"), each("all").alias("x"), own("asked").alias("y"))
+
+    def search(block: pd.DataFrame) -> pd.DataFrame:
+        queries, rows = block[block["asks"]], block[~block["asks"]]
+        out = []
+        if len(queries) and len(rows):
+            size = rows["members"].map(len).to_numpy()
+            flat = np.concatenate(rows["members"].to_list())
+            owner = np.repeat(np.arange(len(rows)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            component, node = rows["component"].to_numpy(), rows["node"].to_numpy()
+            for q, c, members in zip(queries["node"], queries["component"], queries["members"], strict=True):
+                lo, hi = np.searchsorted(flat, members, side="left"), np.searchsorted(flat, members, side="right")
+                n = hi - lo
+                at = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                both = np.bincount(owner[at], minlength=len(rows))
+                hit = np.flatnonzero((100 * both >= percent * (size + len(members) - both)) & (component != c))
+                # one link to each component is enough
+                for other in np.unique(component[hit]):
+                    out.append((q, node[hit[component[hit] == other][0]]))
+        return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"]).astype("int64")
+
+    return materialise(held.unionByName(asking).groupBy("cluster", "x", "y").applyInPandas(search, "a long, b long"), "neardup-found")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: groups of documents linked by shingle sets alike in ``percent`` or more.
 
@@ -179,34 +227,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(full.where(f"100L * both >= {percent}L * (nx + ny - both)").select("a", "b"), "neardup-linked")
 
     edges = linked(pairs)
-    tested = [pairs]
     labels = components(edges).withColumnRenamed("id", "node")
-    for hub_round in range(HUB_ROUNDS + 1):
-        # buckets of two have been compared in full
-        open_ = members.where("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        sizes = materialise(sizes, "neardup-open")
-        total = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross")).first()
-        if not total["cross"]:
-            break
-        open_ = materialise(open_.join(sizes.select("key"), "key"), "neardup-members")
-        at_once = total["cross"] <= max(100_000, AT_ONCE * total["n"]) or hub_round == HUB_ROUNDS
-        if at_once:
-            new = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key AND x.component < y.component")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        else:
-            hubs = open_.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(hub_round))).alias("hub"))
-            new = open_.join(materialise(hubs, "neardup-hubs"), "key").where("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        new = new.distinct()
-        for old in tested:
-            new = new.join(old, ["a", "b"], "left_anti")
-        new = materialise(new, "neardup-pairs")
-        found = linked(new)
-        if not found.isEmpty():
+    # buckets of two have been compared in full; of the others those count that reach over several components
+    open_ = members.where("size > 2").join(labels, "node", "left").select("key", "first", "node", "size", F.coalesce("component", "node").alias("component"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ = materialise(open_.join(materialise(mixed, "neardup-mixed"), "key"), "neardup-open")
+    more = []
+    few = open_.where(f"size <= {SMALL} AND node <> first")
+    new = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.component < y.component")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    new = materialise(new, "neardup-pairs")
+    if not new.isEmpty():
+        more.append(linked(new))
+    large = open_.where(f"size > {SMALL}")
+    if not large.isEmpty():
+        more.append(_searched(large, lambda nodes: _full_sets(classes.select("node", "id", "set_key").join(nodes, "node").join(docs, "id"), words), classes, percent))
+    if more:
+        for found in more:
             edges = edges.unionByName(found)
-            labels = components(edges).withColumnRenamed("id", "node")
-        if at_once:
-            break
-        tested.append(new)
+        labels = components(edges).withColumnRenamed("id", "node")
 
     # classes of one document without links need no row here: their documents are their own component
     groups = classes.join(labels, "node", "left").where("copies > 1 OR component IS NOT NULL").select("set_key", "id", F.coalesce("component", "node").alias("component"))
