@@ -145,9 +145,13 @@ def _searched(large: DataFrame, sets_of, classes: DataFrame, percent: int) -> Da
     Buckets that share members make a cluster.  Its queries are the members outside its largest component; they are
     held against all its members, block by block, with exact intersections.  Blocks hold BLOCK_SHINGLES.
     """
-    nodes = materialise(large.groupBy("node").agg(F.min("component").alias("component")), "neardup-large")
-    clusters = components(large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), "neardup-clusters").withColumnRenamed("id", "node").withColumnRenamed("component", "cluster")
-    placed = materialise(nodes.join(clusters, "node").join(classes.select("node", "n"), "node"), "neardup-placed")
+    # a node lies in one bucket of each table at most, so its set of first members is no longer than there are tables
+    nodes = large.groupBy("node").agg(F.min("component").alias("component"), F.collect_set("first").alias("firsts")).withColumn("low", F.array_min("firsts"))
+    nodes = materialise(nodes, "neardup-large")
+    meet = nodes.select(F.col("low").alias("a"), F.explode("firsts").alias("b")).where("a < b").distinct()
+    clusters = components(meet, "neardup-clusters").select(F.col("id").alias("low"), F.col("component").alias("cluster"))
+    placed = nodes.select("node", "component", "low").join(clusters, "low", "left").select("node", "component", F.coalesce("cluster", "low").alias("cluster"))
+    placed = materialise(placed.join(classes.select("node", "n"), "node"), "neardup-placed")
     sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     whole = sizes.groupBy("cluster").agg(F.max_by("component", "m").alias("main"), F.sum("n").alias("all"))
     parts = whole.join(sizes, "cluster").groupBy("cluster", "main", "all").agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("n")).otherwise(0)).alias("asked"))
