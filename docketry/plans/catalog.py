@@ -210,12 +210,15 @@ def _halves(spark, sf_dir):
 
 
 HALVES = duck("legal_events") + f", k AS (SELECT pub, pos, ts, code, '20240101|' || code || '|' || sha256(descr || chr(31) || pre)[1:8] AS key FROM legal_events), b AS (SELECT pub, key, count(*) AS nb FROM k WHERE ts < {HALF} GROUP BY ALL), a AS (SELECT pub, key, count(*) AS na FROM k WHERE ts >= {HALF} GROUP BY ALL) "
-_joined = F.array_join("key", "|").alias("key")
+
+
+def _joined():
+    return F.array_join("key", "|").alias("key")
 
 
 @query(EVENTS + "SELECT pos, key FROM k")
 def event_key(spark, sf_dir):
-    return snapshots.keyed(legal(spark, sf_dir)).select("pos", _joined)
+    return snapshots.keyed(legal(spark, sf_dir)).select("pos", _joined())
 
 
 @query(EVENTS + "SELECT pub, string_agg(key, ',' ORDER BY key) AS events FROM k GROUP BY pub")
@@ -227,12 +230,12 @@ def snapshot_build(spark, sf_dir):
 
 @query(HALVES + f", n AS (SELECT pub, key, pos, row_number() OVER (PARTITION BY pub, key ORDER BY pos) AS nth FROM k WHERE ts >= {HALF}) SELECT n.pub, n.key, n.pos FROM n LEFT JOIN b USING (pub, key) WHERE nth > coalesce(nb, 0)")
 def watch_new_events(spark, sf_dir):
-    return snapshots.new_events(*_halves(spark, sf_dir)).select("pub", _joined, "pos")
+    return snapshots.new_events(*_halves(spark, sf_dir)).select("pub", _joined(), "pos")
 
 
 @query(HALVES + "SELECT b.pub, b.key, CAST(nb - coalesce(na, 0) AS BIGINT) AS gone FROM b LEFT JOIN a USING (pub, key) WHERE nb > coalesce(na, 0)")
 def watch_missing_events(spark, sf_dir):
-    return snapshots.missing_events(*_halves(spark, sf_dir)).groupBy("pub", _joined).agg(F.count(F.lit(1)).alias("gone"))
+    return snapshots.missing_events(*_halves(spark, sf_dir)).groupBy("pub", _joined()).agg(F.count(F.lit(1)).alias("gone"))
 
 
 MEMBERS = duck("family_members") + ", b AS (SELECT pub, member FROM family_members WHERE k % 5 <> 0), a AS (SELECT pub, member FROM family_members WHERE k % 7 <> 0) "
