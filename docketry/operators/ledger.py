@@ -190,9 +190,9 @@ def snapshots(lines: DataFrame) -> DataFrame:
 
 def file_findings(targets: DataFrame, files: DataFrame) -> DataFrame:
     """Targets and files that are missing, badly named or unreadable, from ``targets(target)`` and ``files(target, file, problem)``."""
-    spark = targets.sparkSession
-    needed = F.broadcast(spark.createDataFrame([(f, "missing-file", "error") for f in ("manifest.json", *FILES)] + [("translation.md", "translation-missing", "warning")], "file string, rule string, severity string"))
-    absent = targets.select("target").crossJoin(needed).join(files.select("target", "file"), ["target", "file"], "left_anti")  # seven rows a target
+    needed = [(f, "missing-file", "error") for f in ("manifest.json", *FILES)] + [("translation.md", "translation-missing", "warning")]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("file"), F.lit(r).alias("rule"), F.lit(s).alias("severity")) for f, r, s in needed]))
+    absent = targets.select("target", each.alias("e")).select("target", "e.*").join(files.select("target", "file"), ["target", "file"], "left_anti")
     cols = ("target", "file", F.lit(None).cast("int").alias("line"), "rule", "severity", F.lit(None).cast("string").alias("key"))
     named = targets.where(~F.col("target").rlike(TARGET_NAME)).select("target", F.lit(None).cast("string").alias("file"), F.lit("target-name").alias("rule"), F.lit("warning").alias("severity"))
     bad = files.where("problem IS NOT NULL").select("target", "file", F.col("problem").alias("rule"), F.lit("error").alias("severity"))

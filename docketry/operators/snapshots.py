@@ -67,8 +67,10 @@ def changes(pubs: DataFrame, before_events: DataFrame, after_events: DataFrame,
 
 def envelope(diff: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: publications changed, unchanged, seen for the first time, and failed; stored ones no longer watched are not among them."""
-    sums = diff.agg(F.count_if(F.expr("changed")).alias("changed"), F.count_if(F.expr("first_snapshot")).alias("first"), F.count_if(F.expr("NOT changed AND NOT first_snapshot")).alias("unchanged"))
-    return sums.crossJoin(errors.agg(F.count(F.lit(1)).alias("error")))  # one row by one row
+    failed = errors.select(F.lit(False).alias("changed"), F.lit(False).alias("first_snapshot"), F.lit(True).alias("failed"))
+    rows = diff.select("changed", "first_snapshot", F.lit(False).alias("failed")).unionByName(failed)
+    count = lambda condition, name: F.count_if(F.expr(condition)).alias(name)
+    return rows.agg(count("changed", "changed"), count("first_snapshot", "first"), count("NOT changed AND NOT first_snapshot AND NOT failed", "unchanged"), count("failed", "error"))
 
 
 def ignored_previous(stored: DataFrame, watched: DataFrame) -> DataFrame:
