@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# The phrasings that count as references.
 PRECEDING = r"(?i)(?U)\bany\s+(?:(?:one\s+)?of\s+)?the\s+preceding\s+claims\b|(?i)(?U)\bany\s+preceding\s+claim\b"
 LISTS = r"(?i)(?U)\bclaims?\s+([0-9]+(?:\s*(?:,|or|and|to|through|[-–—])\s*[0-9]+)*)"
 TOKENS = r"(?i)([0-9]+|to|through|[-–—])"

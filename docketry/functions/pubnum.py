@@ -13,7 +13,7 @@ LEADING_LETTER_OFFICES = ("JP", "TW", "HU", "BR")
 ELEVEN_DIGITS_FROM = 2026
 OFFICE_ORDER = ("US", "EP", "WO", "GB", "CA", "AU", "KR", "CN", "JP")
 
-#: Groups: country, separator, number, leading letters, kind.
+# The accepted spellings.  Groups: country, separator, number, leading letters, kind.
 PATTERN = (
     r"^([A-Z]{2})([.\- ]?)"
     r"([0-9]{1,12}(?:/[0-9]{1,12})?|([A-Z]{1,2})?[0-9]{1,12}(?:[A-Z]{1,4}[0-9]{4,12})?)"

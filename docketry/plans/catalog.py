@@ -358,7 +358,7 @@ def html_extract(spark, sf_dir):
     return html.outline(view(spark, sf_dir, "pages"), "page_id", "html")
 
 
-LEGAL_XML = '<?xml version="1.0"?><ops:world-patent-data xmlns:ops="http://ops.epo.org"><ops:patent-family legal="true"><ops:family-member><ops:legal code="{code}" desc="{code} event"><ops:pre line="1"> line {n} </ops:pre><ops:L007EP desc="Gazette DATE">{date}</ops:L007EP></ops:legal></ops:family-member></ops:patent-family></ops:world-patent-data>'
+LEGAL_XML = '<?xml version="1.0"?><ops:world-patent-data xmlns:ops="u"><ops:patent-family legal="true"><ops:family-member><ops:legal code="{code}" desc="{code} event"><ops:pre line="1"> line {n} </ops:pre><ops:L007EP desc="Gazette DATE">{date}</ops:L007EP></ops:legal></ops:family-member></ops:patent-family></ops:world-patent-data>'
 
 
 @query(duck("legal_events") + "SELECT 'E' || CAST(pos AS VARCHAR) AS pub, CAST(0 AS BIGINT) AS pos, code, code || ' event' AS \"desc\", gazette_date, ' line ' || CAST(pos % 3 AS VARCHAR) || ' ' AS pre_line FROM legal_events")
