@@ -246,6 +246,19 @@ def test_edited_copies_are_linked(spark):
     assert images.image_copies(broken.limit(0)).count() == 0
 
 
+def test_copies_meet_behind_an_unrelated_image(spark):
+    # the unrelated image has the smallest id of all buckets of the copies, and no geometry in common with them
+    rng = np.random.default_rng(5)
+    codes = rng.integers(-(1 << 63), 1 << 63, (12, 4)).tolist()
+    places = rng.uniform(0, 90, (2, 12, 2)).tolist()
+    rows = [(i, bytes([i]), [(x, y, 1.0, 0.0, c) for (x, y), c in zip(places[min(i, 1)], codes, strict=True)]) for i in (0, 1, 2)]
+    described = spark.createDataFrame(rows, "id long, digest binary, spots array<struct<x:float, y:float, scale:float, angle:float, code:array<long>>>")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(images, "_described", lambda _: described)
+        got = {r.media_id: r.component_id for r in images.image_copies(spark.createDataFrame([], "media_id long, image binary")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
 # language
 
 
