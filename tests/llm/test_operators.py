@@ -251,14 +251,24 @@ def test_copies_meet_behind_an_unrelated_image(spark):
     rng = np.random.default_rng(5)
     codes = rng.integers(-(1 << 63), 1 << 63, (12, 4)).tolist()
     places = rng.uniform(0, 90, (2, 12, 2)).tolist()
-    rows = [(i, bytes([i]), [(x, y, 1.0, 0.0, c) for (x, y), c in zip(places[min(i, 1)], codes, strict=True)]) for i in (0, 1, 2)]
-    described = spark.createDataFrame(rows, "id long, digest binary, spots array<struct<x:float, y:float, scale:float, angle:float, code:array<long>>>")
+    rows = [(i, bytes([i]), 96, 96, [(x, y, 1.0, 0.0, c) for (x, y), c in zip(places[min(i, 1)], codes, strict=True)]) for i in (0, 1, 2)]
+    described = spark.createDataFrame(rows, "id long, digest binary, width int, height int, spots array<struct<x:float, y:float, scale:float, angle:float, code:array<long>>>")
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(images, "_described", lambda _: described)
         got = {r.media_id: r.component_id for r in images.image_copies(spark.createDataFrame([], "media_id long, image binary")).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+def test_crops_of_photos_and_small_copies_are_linked(spark):
+    rng = np.random.default_rng(8)
+    photo, *plain = (128 + sum(images.resize(rng.normal(0, 30, (n, n)).astype(np.float32), side, side) for n in (side // 10, side // 5, side // 3)).clip(-128, 127) for side in (384, 96, 96))
+    quarter, small, tiny = photo[150:342, 30:222], images.resize(plain[0], 40, 40), images.resize(plain[1][:50, :50], 27, 27)
+    shown = [photo, quarter, plain[0], small, plain[1][:50, :50], tiny]
+    frame = spark.createDataFrame([(i, bytearray(images.to_pgm(p))) for i, p in enumerate(shown)], "media_id long, image binary")
+    got = {r.media_id: r.component_id for r in images.image_copies(frame).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 # language
 
 
