@@ -19,7 +19,7 @@ SHARED = {
         concat('Q', CAST(o.o_orderkey % 5 AS {text})) AS query_id FROM orders o JOIN pub_strings p ON p.idx = o.o_orderkey""",
     "known": "SELECT CAST(c_custkey AS {text}) AS family_id FROM customer WHERE c_nationkey < 12",
     "verify_in": "SELECT o_orderkey AS idx, concat('EP', CAST(o_orderkey AS {text}), 'A1') AS pub FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 22 = 0",
-    "verify_out": "SELECT l_orderkey * 10 + l_linenumber AS idx, CASE WHEN l_orderkey % 19 = 0 THEN concat('?', CAST(l_orderkey AS {text})) ELSE concat('ep.', CAST(l_orderkey AS {text}), '.a1') END AS pub FROM lineitem WHERE l_linenumber <= 2",
+    "verify_out": "SELECT l_orderkey * 10 + l_linenumber AS idx, CASE WHEN l_orderkey % 19 = 0 THEN concat('?', CAST(l_orderkey AS {text})) ELSE concat('ep.', CAST(l_orderkey AS {text}), '.a1') END AS pub FROM lineitem",
     "request_log": """SELECT event_id AS line_no, ts AS at, event_type AS kind, CASE WHEN event_id % 50 = 0 THEN '403' WHEN event_id % 9 = 0 THEN '404' ELSE '200' END AS status,
         CASE WHEN event_id % 31 = 0 THEN 'garbage' ELSE concat(CASE event_id % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'busy' ELSE 'overloaded' END, ' (search=', CASE event_id % 4 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' WHEN 2 THEN 'red' ELSE 'black' END, ':', CAST(event_id % 7 AS {text}), ', other=green:1000)') END AS throttling FROM events""",
     "legal_events": """SELECT concat('EP.', CAST(1000000 + user_id AS {text}), '.A1') AS pub, event_id AS pos, {event_ymd} AS gazette_date, event_type AS code, event_type AS descr, CAST(event_id % 3 AS {text}) AS pre, ts FROM events""",

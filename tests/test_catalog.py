@@ -36,3 +36,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_verify_out_has_all_lines(spark):
+    assert catalog.view(spark, SF, "verify_out").count() == catalog.view(spark, SF, "lineitem").count()
