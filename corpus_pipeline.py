@@ -20,28 +20,43 @@ from docketry.llm.quality import only_good, train_quality
 ORACLE_SQL = None
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``row_key``, written: the file fixes the numbers."""
+    return docs if "row_key" in docs.columns else materialise(docs.withColumn("row_key", F.monotonically_increasing_id()), "pipeline-numbered")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking predicts good."""
-    return only_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    # written numbered, as later stages decide on rows: ids may repeat or be null
+    good = only_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return numbered(good)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages known; rows without an id stay."""
-    found = identify(documents_as_rows(docs), learn(docs))
-    rejected = materialise(found.where("NOT accepted AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct(), "pipeline-rejected")
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Documents in one of the languages known."""
+    docs = numbered(docs)
+    found = identify(documents_as_rows(docs, id_col="row_key"), learn(docs))
+    rejected = materialise(found.where("NOT accepted").select(F.col("id").alias("row_key")), "pipeline-rejected")
+    return docs.join(rejected, "row_key", "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five words a shingle, similarity 0.8."""
-    found = near_duplicates(docs)
-    copies = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-copies")
-    kept = docs.join(copies, "doc_id", "left_anti")
-    # rows that repeat an id are copies too
-    twice = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-twice")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate group: five words a shingle, similarity 0.8.
+
+    That of the smallest id stays, ids before null and then the smallest digest of the text; rows of one id whose
+    texts differ are apart.  Rows without words stay, but for those that repeat an id and text.
+    """
+    docs = numbered(docs)
+    found = near_duplicates(docs, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id", "n_shingles")
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rank = docs.select("row_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest.alias("digest"), "row_key").alias("rank"))
+    # texts without words have no links: equal ones of one id are a group
+    group = F.when(F.col("n_shingles") > 0, F.struct("component_id", F.lit(None).cast("long").alias("id"), F.lit("").alias("digest")))
+    group = group.otherwise(F.struct(F.lit(None).cast("long").alias("component_id"), F.coalesce("rank.doc_id", "row_key").alias("id"), F.concat(F.col("rank.none").cast("string"), "rank.digest").alias("digest")))
+    ranked = materialise(found.join(rank, "row_key").select("row_key", group.alias("group"), "rank"), "pipeline-ranked")
+    first = ranked.groupBy("group").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialise(ranked.join(first, "group").where("row_key <> best.row_key").select("row_key"), "pipeline-copies")
+    return docs.join(copies, "row_key", "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
