@@ -65,8 +65,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
-    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("ids",))
+    """Token ids of every document that is left, and the text decoded from them."""
+    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("ids", "decoded"))
 
 
 STAGES = [
@@ -74,7 +74,7 @@ STAGES = [
     ("language ID", language_id),
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
-    ("BPE encoding", tokens),
+    ("BPE encoding and decoding", tokens),
 ]
 
 

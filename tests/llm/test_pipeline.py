@@ -33,3 +33,10 @@ def test_language_rejects_rows(spark):
     odd = spark.createDataFrame([(-1, good.text, good.lang, good.source), (-1, greek, None, "s"), (None, greek, None, "s")], DOCS)
     got = corpus_pipeline.language_id(spark, docs.unionByName(odd), "").where("doc_id = -1 OR doc_id IS NULL").collect()
     assert [(r.doc_id, r.text) for r in got] == [(-1, good.text)]
+
+
+def test_tokens_are_decoded(spark):
+    docs = spark.createDataFrame([(1, A, "en", "s")], DOCS)
+    # this vocabulary's decoder sets words apart by their end marks
+    (row,) = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert row.doc_id == 1 and row.ids and "".join(row.decoded.split()).replace("</w>", "") == A.replace(" ", "")
