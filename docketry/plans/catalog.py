@@ -131,7 +131,7 @@ def plan_totals(spark, sf_dir):
     return hits.plan_check(totals.withColumn("error", F.when(F.col("query") == "BUILDING", "external_api_error")), 1000)
 
 
-@query("SELECT 'item_chars' AS rule, min(doc_id) AS idx FROM documents WHERE length(text) > 4096 UNION ALL SELECT 'total_chars', min(doc_id) FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id) AS s FROM documents) WHERE s > 1000000")
+@query("SELECT 'item_chars' AS rule, min(doc_id) AS idx FROM documents WHERE length(text) > 4096 HAVING min(doc_id) IS NOT NULL UNION ALL SELECT 'total_chars', min(doc_id) FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id) AS s FROM documents) WHERE s > 1000000 HAVING min(doc_id) IS NOT NULL")
 def batch_guard(spark, sf_dir):
     items = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("item"))
     return hits.batch_violations(items, max_items=10_000_000, max_total=1_000_000)
