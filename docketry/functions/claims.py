@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 # The phrasings that count as references.
 PRECEDING = r"(?i)(?U)\bany\s+(?:(?:one\s+)?of\s+)?the\s+preceding\s+claims\b|(?i)(?U)\bany\s+preceding\s+claim\b"
 LISTS = r"(?i)(?U)\bclaims?\s+([0-9]+(?:\s*(?:,|or|and|to|through|[-–—])\s*[0-9]+)*)"
-TOKENS = r"(?i)([0-9]+|to|through|[-–—])"
+TO = r"(?i)(?U)\s*(?:to|through|[-–—])\s*"
 #: A range of more claims than this gives its ends alone.
 SPAN = 200
 MARK = "\x01"
@@ -25,7 +25,7 @@ def claim_refs(text: Column, claim_number: Column) -> Column:
     before = F.when(claim_number.isNotNull() & text.rlike(PRECEDING) & (claim_number > 1), F.sequence(F.lit(1), claim_number.cast("int") - 1)).otherwise(none)
     # "1 to 3 or 5" becomes ranges "1-3" and single numbers "5"; a range takes the nearest two numbers from the left
     lists = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LISTS), F.lit(1))
-    linked = F.transform(lists, lambda t: F.regexp_replace(t, r"(?i)(?U)\s*(?:to|through|[-–—])\s*", "-"))
+    linked = F.transform(lists, lambda t: F.regexp_replace(t, TO, "-"))
     parts = F.flatten(F.transform(linked, lambda t: F.regexp_extract_all(t, F.lit(r"([0-9]+-[0-9]+|[0-9]+)"), F.lit(1))))
 
     def numbers(part: Column) -> Column:

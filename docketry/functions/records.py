@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 
 from pyspark.sql import Column
@@ -78,8 +77,23 @@ def canonical_time(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
+def since_problem(text: Column) -> Column:
+    """Why a lower bound in time is refused, or null; ``instant`` reads a bound that isn't."""
+    return F.when(text.isNull() | ~text.rlike(r"(?U)\S"), "blank").when(text.rlike(r"[\x00-\x1F\x7F]"), "control character").when(instant(text).isNull(), "no date or time")
+
+
+def spell_epoch(seconds: Column) -> Column:
+    """Seconds since 1970 as ISO text with the offset of the session's time zone, fractions cut off."""
+    return F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def tmp_target(name: Column) -> Column:
+    """The file that a temporary one was written for, null for other names: ``<name>.tmp`` or ``<name>.<pid>.<random>.tmp``."""
+    return F.when(name.endswith(".tmp"), F.regexp_replace(F.regexp_replace(name, r"\.tmp$", ""), r"\.[0-9]+\.[0-9a-f]+$", ""))
+
+
 def spell_lifetime(hours: Column) -> Column:
-    return F.when(hours.isNull(), "never").when(hours % 24 == 0, F.concat((hours / 24).cast("int").cast("string"), F.lit("d"))).otherwise(F.concat(hours.cast("int").cast("string"), F.lit("h")))
+    return F.when(hours.isNull(), "never").when(hours % 24 == 0, F.concat((hours / 24).cast("int").cast("string"), F.lit("d"))).when(hours == F.floor(hours), F.concat(hours.cast("int").cast("string"), F.lit("h"))).otherwise(F.concat(F.round(hours * 3600).cast("long").cast("string"), F.lit("s")))
 
 
 def parse_lifetime(text: str) -> int | None:
@@ -135,8 +149,3 @@ def windowed_query(query: Column, searched_through: Column, until: Column, overl
 def shown(text: Column, most: int = 80) -> Column:
     """A value for a message, cut to ``most`` characters."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
-
-
-def as_of(now: dt.datetime) -> Column:
-    """A clock that is an argument."""
-    return F.lit(now)

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.pubnum import full_text_office
 from docketry.functions.records import LIFETIMES, PUB_KINDS, has_kind_code, instant
 
 
@@ -106,14 +107,12 @@ def legal_with_fallback(legal: DataFrame, pubs: DataFrame) -> DataFrame:
     b = b.groupBy("a_key").agg(F.max_by("b_events", F.size("b_events")).alias("b_events"))
     own = pubs.select("pub").join(legal, "pub", "left").withColumn("a_key", F.regexp_replace("pub", r"\.A[0-9]?$", ".A"))
     out = own.join(b, "a_key", "left")
-    swap = F.col("pub").rlike(r"^GB\..*\.A[0-9]?$") & (F.coalesce(F.size("events"), F.lit(0)) <= 0) & (F.size("b_events") > 0)
+    swap = F.col("pub").rlike(r"^GB\..*\.A[0-9]?$") & (F.coalesce(F.size("events"), F.lit(0)) <= 0) & (F.coalesce(F.size("b_events"), F.lit(0)) > 0)
     return out.select("pub", F.when(swap, F.col("b_events")).otherwise(F.col("events")).alias("events"), swap.alias("from_b"))
 
 
 def claims_with_fallback(pubs: DataFrame, page_claims: DataFrame, full_text: DataFrame) -> DataFrame:
     """Claims of ``pubs(pub, country)``: from the page, else for EP and WO from full text, else none."""
-    from docketry.functions.pubnum import full_text_office
-
     out = pubs.join(page_claims.select("pub", F.col("claims").alias("c1")), "pub", "left").join(full_text.select("pub", F.col("claims").alias("c2")), "pub", "left")
     second = F.when(full_text_office(F.col("country")), F.col("c2"))
     return out.select("pub", F.coalesce("c1", second).alias("claims"), F.when(F.col("c1").isNotNull(), "page").when(second.isNotNull(), "full text").otherwise("unavailable").alias("source"))

@@ -142,9 +142,34 @@ def query_problem(query: Column, most: int = 4000) -> Column:
 
 
 def watch_list_problems(pubs: DataFrame, most: int = 25) -> DataFrame:
-    """``idx, pub, problem`` of a watch list: unparseable, repeated, or beyond the ``most`` first."""
-    keyed = _keyed(pubs).join(pubs.select("idx", "pub"), "idx")
+    """``idx, pub, problem`` of a watch list: entries that are unparseable or repeat an earlier one.
+
+    A list of more than ``most`` entries, or of none, has a row of its own without a publication.
+    """
+    p = pubnum.docdb(pubnum.parse(F.col("pub")))
     nth = F.row_number().over(W.partitionBy("key").orderBy("idx"))
-    out = keyed.withColumn("nth", nth)
-    problem = F.when(~F.col("parsed"), "unparseable").when(F.col("nth") > 1, "repeated").when(F.col("idx") > most, "too many")
-    return out.select("idx", "pub", problem.alias("problem")).where("problem IS NOT NULL")
+    out = pubs.select("idx", "pub", F.coalesce(p, F.col("pub")).alias("key"), p.isNotNull().alias("parsed")).withColumn("nth", nth)
+    own = out.select("idx", "pub", F.when(~F.col("parsed"), "unparseable").when(F.col("nth") > 1, "repeated").alias("problem")).where("problem IS NOT NULL")
+    size = pubs.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most) | (F.col("n") == 0))
+    return own.unionByName(size.select(F.lit(most).cast("long").alias("idx"), F.lit(None).cast("string").alias("pub"), F.when(F.col("n") == 0, "empty").otherwise("too many").alias("problem")))
+
+
+def item_problems(items: DataFrame, max_chars: int = 4096) -> DataFrame:
+    """``idx, problem`` of batch items ``idx, v``: texts or objects with a text ``pub``; an object's size is that of its JSON."""
+    kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    pub = F.schema_of_variant(F.try_variant_get("v", "$.pub", "variant"))
+    size = F.when(kind == "STRING", F.length(F.try_variant_get("v", "$", "string"))).otherwise(F.length(F.to_json("v")))
+    shape = F.when((kind != "STRING") & ~kind.like("OBJECT%"), "not a text or object").when((kind != "STRING") & pub.isNull(), "no pub").when((kind != "STRING") & (pub != "STRING"), "pub is no text")
+    return items.select("idx", F.coalesce(shape, F.when(size > max_chars, "too long")).alias("problem")).where("problem IS NOT NULL")
+
+
+def query_list_problems(queries: DataFrame, most: int = 50) -> DataFrame:
+    """``idx, problem`` of a search plan ``idx, query``: each refused query, and a row without a place for none or more than ``most``."""
+    own = queries.select("idx", query_problem(F.col("query")).alias("problem")).where("problem IS NOT NULL")
+    size = queries.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most) | (F.col("n") == 0))
+    return own.unionByName(size.select(F.lit(None).cast(queries.schema["idx"].dataType).alias("idx"), F.when(F.col("n") == 0, "empty").otherwise("too many").alias("problem")))
+
+
+def pub_problem(pub: Column) -> Column:
+    """Why a publication number is refused, or null."""
+    return F.when(pub.isNull() | ~pub.rlike(r"(?U)\S"), "blank").when(pub.rlike(r"[\x00-\x1F\x7F]"), "control character").when(pubnum.parse(pub).isNull(), "unparseable")

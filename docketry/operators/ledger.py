@@ -1,232 +1,395 @@
-"""Ledger files checked by rules: each rule is a DataFrame of findings ``target, file, line, rule, severity, key``.
+"""Ledger files checked by rules: findings ``target, file, line, rule, severity, key``.
 
-Input is ``lines(target, file, line, v)``, ``v`` being a VARIANT object, and ``files(target, file, problem)``, one
-row for each file that is there.
+Input is ``lines(target, file, line, v)``, ``v`` being a VARIANT object or null for a line that isn't one, and
+``files(target, file, problem)``, one row for each file that is there.  The rules of a line are one array of structs,
+so each file is read once however many rules it has; references are joined with the ids of all files at once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docketry.functions import pubnum
-from docketry.functions.records import iso_date, with_time
+from docketry.functions.records import instant, iso_date, with_time
 
 # Files, keys and accepted values of the format.
+MANIFEST, TRANSLATION = "ledger.json", "translation.md"
 FILES = ("runs.jsonl", "features.jsonl", "queries.jsonl", "families.jsonl", "watch.jsonl")
-REQUIRED = {
-    "runs.jsonl": ("run_id", "type", "stage", "mode", "started_at", "report"),
-    "features.jsonl": ("feature_id", "name", "basis", "priority", "status"),
-    "queries.jsonl": ("query_id", "cql", "features", "status", "first_run"),
-    "families.jsonl": ("family_id", "pubs", "first_seen_run", "stage1"),
-    "watch.jsonl": ("pub", "family_id", "reason", "next_check", "status"),
-}
-ENUMS = {
-    "runs.jsonl": {"type": ("baseline", "follow-up", "watch", "imported"), "stage": ("concept", "development", "pre-release", "released"), "mode": ("standard", "degraded")},
-    "features.jsonl": {"basis": ("code", "design"), "priority": ("high", "medium", "low"), "status": ("active", "retired", "excluded")},
-    "queries.jsonl": {"status": ("adopted", "rejected", "dropped")},
-    "families.jsonl": {"stage1": ("A", "B", "C"), "stage2": ("close-read", "boundary", "lacks")},
-    "watch.jsonl": {"reason": ("in-force", "key-lacks", "pending", "provisional", "boundary"), "status": ("open", "closed")},
-}
-IDS = {"runs.jsonl": ("run_id", r"^[0-9]{8}-[0-9]{4}$"), "features.jsonl": ("feature_id", r"^F[0-9]+$"), "queries.jsonl": ("query_id", r"^Q[0-9]+$")}
-REFERENCES = {"run-ref": (("queries.jsonl", "first_run"), ("families.jsonl", "first_seen_run"), ("watch.jsonl", "checked_run"), ("runs.jsonl", "previous_run"))}
+FILE_ORDER = (MANIFEST, *FILES, TRANSLATION)
+RUN_TYPES = ("baseline", "follow-up", "watch", "imported")
+RUN_STAGES = ("concept", "development", "pre-release", "released")
+RUN_MODES = ("standard", "degraded")
 DATED_RUNS = ("baseline", "follow-up")
-TARGET_NAME = r"^[a-z0-9_-]+$"
-FINDING = ("target", "file", "line", "rule", "severity", "key")
+FEATURE_BASES = ("code", "design")
+FEATURE_PRIORITIES = ("high", "medium", "low")
+FEATURE_STATUSES = ("active", "retired", "excluded")
+QUERY_STATUSES = ("adopted", "rejected", "dropped")
+STAGE1 = ("A", "B", "C")
+STAGE2 = ("close-read", "boundary", "lacks")
+WATCH_REASONS = ("in-force", "key-lacks", "pending", "provisional", "boundary")
+OBSERVATIONS = ("reads-on direction", "lacks", "unclear")
+RUN_ID, FEATURE_ID, QUERY_ID = r"^[0-9]{8}-[0-9]{4}$", r"^F[0-9]+$", r"^Q[0-9]+$"
+WINDOW, DATE_CLAUSE, TARGET_NAME = r"^[0-9]{8}-[0-9]{8}$", r"(?i)\bpd\s*(=|within|<|>)", r"^[a-z0-9_-]+$"
+LAST_RUN = ("run_id", "type", "stage", "mode", "started_at", "target_version", "target_commit", "searched_through", "report")
+SNAPSHOT_FORMAT = 1
+#: The files whose ids each reference rule needs.
+REFERS_TO = {"run-ref": "runs.jsonl", "feature-ref": "features.jsonl", "watch-family-unknown": "families.jsonl"}
 
+FOUND = "array<struct<rule: string, severity: string, key: string>>"
+REFS = "array<struct<rule: string, key: string, ref: string>>"
 
-def text_of(key: str, v: str = "v") -> Column:
-    return F.try_variant_get(F.col(v), f"$.{key}", "string")
 
+class Many(NamedTuple):
+    """An array of findings or references, where others are single ones."""
 
-def kind_of(key: str, v: str = "v") -> Column:
-    """The type of a value, null where the key is missing; JSON null is VOID."""
-    return F.schema_of_variant(F.try_variant_get(F.col(v), f"$.{key}", "variant"))
+    column: Column
 
 
-def is_text(key: str) -> Column:
-    return F.coalesce(kind_of(key) == "STRING", F.lit(False))
+class Node:
+    """Values under a VARIANT column.  ``path`` leads to an inner object; ``label`` stands before its keys in findings.
 
+    With ``held``, expressions over the variant are gathered there under names, and columns of those names are returned:
+    projected first, each is computed once however many rules use it.
+    """
 
-def _found(rows: DataFrame, rule: str, key: str | Column, severity: str = "error") -> DataFrame:
-    return rows.select("target", "file", "line", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.lit(key) if isinstance(key, str) else key).alias("key"))
+    def __init__(self, v: Column, path: str = "", label: Column | None = None, held: dict[str, Column] | None = None):
+        self.v, self.path, self.label, self.held = v, path, F.lit(path) if label is None else label, held
 
+    def keep(self, name: str, made: Column) -> Column:
+        if self.held is None:
+            return made
+        self.held[name] = made
+        return F.col(f"`{name}`")
 
-def _of(lines: DataFrame, file: str) -> DataFrame:
-    return lines.where(F.col("file") == file)
+    def inner(self, key: str) -> Node:
+        return Node(self.v, f"{self.path}{key}.", held=self.held)
 
+    def _as(self, key: str, kind: str) -> Column:
+        return F.try_variant_get(self.v, f"$.{self.path}{key}", kind)
 
-def required_keys(lines: DataFrame) -> DataFrame:
-    """Keys that a line lacks or has as null, one row each: all keys of a file are read in one pass."""
-    out = []
-    for file, keys in REQUIRED.items():
-        missing = F.filter(F.array(*[F.when(F.coalesce(kind_of(k), F.lit("VOID")) == "VOID", F.lit(k)) for k in keys]), lambda k: k.isNotNull())
-        out.append(_found(_of(lines, file).withColumn("k", F.explode(missing)), "required-key", F.col("k")))
-    return reduce(DataFrame.unionByName, out)
+    def kind(self, key: str) -> Column:
+        """The type of a value, null where the key is missing; JSON null is VOID."""
+        return self.keep(f"kind {self.path}{key}", F.schema_of_variant(self._as(key, "variant")))
 
+    def text(self, key: str) -> Column:
+        """The value where it is text, else null."""
+        return self.keep(f"text {self.path}{key}", F.when(F.schema_of_variant(self._as(key, "variant")) == "STRING", self._as(key, "string")))
 
-def enums(lines: DataFrame) -> DataFrame:
-    """Values that aren't accepted, or aren't text; a missing value is another rule's."""
-    out = []
-    for file, keys in ENUMS.items():
-        bad = F.filter(F.array(*[F.when((F.coalesce(kind_of(k), F.lit("VOID")) != "VOID") & ~(is_text(k) & F.coalesce(text_of(k).isin(*values), F.lit(False))), F.lit(k)) for k, values in keys.items()]), lambda k: k.isNotNull())
-        out.append(_found(_of(lines, file).withColumn("k", F.explode(bad)), "enum", F.col("k")))
-    return reduce(DataFrame.unionByName, out)
+    def whole(self, key: str) -> Column:
+        """The value where it is a whole number, else null."""
+        return self.keep(f"whole {self.path}{key}", F.when(F.schema_of_variant(self._as(key, "variant")) == "BIGINT", self._as(key, "bigint")))
 
+    def has(self, key: str) -> Column:
+        return F.coalesce(self.kind(key), F.lit("VOID")) != "VOID"
 
-def id_formats(lines: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_found(_of(lines, f).where((F.coalesce(kind_of(k), F.lit("VOID")) != "VOID") & ~(is_text(k) & text_of(k).rlike(p))), "id-format", k) for f, (k, p) in IDS.items()])
+    def is_object(self, key: str) -> Column:
+        return F.coalesce(self.kind(key).like("OBJECT%"), F.lit(False))
 
+    def items(self, key: str) -> Column:
+        """The elements of an array, none where it isn't one."""
+        return self.keep(f"items {self.path}{key}", F.coalesce(self._as(key, "array<variant>"), F.array().cast("array<variant>")))
 
-def unique_ids(ids: DataFrame) -> DataFrame:
-    """Lines of ``target, file, line, id`` that repeat an id, with the line that had it first."""
-    first = F.min("line").over(W.partitionBy("target", "file", "id"))
-    return ids.where("id IS NOT NULL").withColumn("first_line", first).where("line > first_line")
+    def is_list(self, key: str) -> Column:
+        return F.coalesce(self.kind(key).like("ARRAY%"), F.lit(False))
 
+    def pub(self, key: str) -> Column:
+        """``text, p``: the value where it is text, and the publication number it parses to."""
+        return self.keep(f"pub {self.path}{key}", numbered(F.when(F.schema_of_variant(self._as(key, "variant")) == "STRING", self._as(key, "string"))))
 
-def ledger_ids(lines: DataFrame) -> DataFrame:
-    """Valid ids of all files; a watched publication counts by its DOCDB key."""
-    own = [_of(lines, f).where(is_text(k) & text_of(k).rlike(p)).select("target", "file", "line", text_of(k).alias("id")) for f, (k, p) in IDS.items()]
-    own.append(_of(lines, "families.jsonl").where(is_text("family_id")).select("target", "file", "line", text_of("family_id").alias("id")))
-    own.append(_of(lines, "watch.jsonl").select("target", "file", "line", pubnum.docdb(pubnum.parse(text_of("pub"))).alias("id")))
-    return reduce(DataFrame.unionByName, own)
+    def named(self, key: str) -> Column:
+        return F.concat(self.label, F.lit(key))
 
 
-def dangling(refs: DataFrame, targets: DataFrame, readable: DataFrame) -> DataFrame:
-    """References ``target, file, line, ref`` to nothing in ``targets(target, id)``, where the referenced file is ``readable(target)``."""
-    return refs.where("ref IS NOT NULL").join(readable.select("target").distinct(), "target", "left_semi").join(targets.select("target", F.col("id").alias("ref")).distinct(), ["target", "ref"], "left_anti")
+def numbered(text: Column) -> Column:
+    return F.struct(text.alias("text"), pubnum.parse(text).alias("p"))
 
 
-def run_refs(lines: DataFrame, readable: DataFrame) -> DataFrame:
-    runs = _of(lines, "runs.jsonl").where(is_text("run_id")).select("target", text_of("run_id").alias("id"))
-    refs = reduce(DataFrame.unionByName, [_of(lines, f).where(is_text(k)).select("target", "file", "line", text_of(k).alias("ref")) for f, k in REFERENCES["run-ref"]])
-    itself = _of(lines, "runs.jsonl").where(is_text("previous_run") & (text_of("previous_run") == text_of("run_id")))
-    return _found(dangling(refs, runs, readable), "run-ref", F.col("ref")).unionByName(_found(itself, "run-ref", text_of("previous_run")))
+def finding(condition: Column, rule: str | Column, key: Column, severity: str | Column = "error") -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.when(F.coalesce(condition, F.lit(False)), F.struct(lit(rule).alias("rule"), lit(severity).alias("severity"), key.alias("key")))
 
 
-def feature_refs(lines: DataFrame, readable: DataFrame) -> DataFrame:
-    features = _of(lines, "features.jsonl").where(is_text("feature_id")).select("target", text_of("feature_id").alias("id"))
-    listed = [_of(lines, f).select("target", "file", "line", F.explode(F.try_variant_get("v", "$.features", "array<string>")).alias("ref")) for f in ("queries.jsonl", "families.jsonl")]
-    return _found(dangling(reduce(DataFrame.unionByName, listed), features, readable), "feature-ref", F.col("ref"))
+def reference(condition: Column, rule: str, key: Column, ref: Column) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(rule).alias("rule"), key.alias("key"), ref.alias("ref")))
 
 
-def watch_families(lines: DataFrame, readable: DataFrame) -> DataFrame:
-    families = _of(lines, "families.jsonl").where(is_text("family_id")).select("target", text_of("family_id").alias("id"))
-    refs = _of(lines, "watch.jsonl").where(is_text("family_id")).select("target", "file", "line", text_of("family_id").alias("ref"))
-    return _found(dangling(refs, families, readable), "watch-family-unknown", F.col("ref"), "warning")
+def _required(n: Node, *keys: str) -> list[Column]:
+    return [finding(~n.has(k), "required-key", n.named(k)) for k in keys]
 
 
-def run_order(runs: DataFrame) -> DataFrame:
-    """Runs ``target, file, line, started_at`` that began before the one parseable before them, offsets alike."""
-    at, aware = with_time(F.col("started_at")), F.col("started_at").rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$")
-    rows = runs.withColumn("at", F.when(at.isNotNull(), F.struct(at.alias("at"), aware.alias("aware"))))
-    before = F.last("at", ignorenulls=True).over(W.partitionBy("target").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("before", before).where("at.aware = before.aware AND at.at < before.at").drop("at", "before")
+def _enum(n: Node, key: str, accepted: tuple[str, ...]) -> Column:
+    return finding(n.has(key) & ~F.coalesce(n.text(key).isin(*accepted), F.lit(False)), "enum", n.named(key))
 
 
-def date_checks(lines: DataFrame) -> DataFrame:
-    """Dates and timestamps that can't be read."""
-    dates = {"runs.jsonl": ("searched_through",), "watch.jsonl": ("next_check",)}
-    out = [_found(_of(lines, f).where((F.coalesce(kind_of(k), F.lit("VOID")) != "VOID") & (~is_text(k) | iso_date(text_of(k)).isNull())), "date", k) for f, keys in dates.items() for k in keys]
-    out.append(_found(_of(lines, "runs.jsonl").where((F.coalesce(kind_of("started_at"), F.lit("VOID")) != "VOID") & (~is_text("started_at") | with_time(text_of("started_at")).isNull())), "timestamp", "started_at"))
-    return reduce(DataFrame.unionByName, out)
+def _shape(n: Node, key: str, good: Column) -> Column:
+    """A container of the wrong shape counts as a value that isn't accepted."""
+    return finding(n.has(key) & ~good, "enum", n.named(key))
 
 
-def searched_through(lines: DataFrame) -> DataFrame:
-    return _found(_of(lines, "runs.jsonl").where(text_of("type").isin(*DATED_RUNS) & (kind_of("searched_through") == "VOID")), "searched-through", "searched_through")
+def _id(n: Node, key: str, pattern: str) -> Column:
+    return finding(n.has(key) & ~F.coalesce(n.text(key).rlike(pattern), F.lit(False)), "id-format", n.named(key))
 
 
-def reasons(lines: DataFrame) -> DataFrame:
-    """Excluded features and rejected or dropped queries without a reason."""
-    blank = ~F.coalesce(is_text("reason") & text_of("reason").rlike(r"(?U)\S"), F.lit(False))
-    out = _of(lines, "features.jsonl").where((text_of("status") == "excluded") & blank).unionByName(_of(lines, "queries.jsonl").where(text_of("status").isin("rejected", "dropped") & blank))
-    return _found(out, "reason-missing", "reason", "warning")
+def _date(n: Node, key: str) -> Column:
+    return finding(n.has(key) & iso_date(n.text(key)).isNull(), "date", n.named(key))
 
 
-def query_dates(lines: DataFrame) -> DataFrame:
-    return _found(_of(lines, "queries.jsonl").where(text_of("cql").rlike(r"(?i)\bpd\s*(=|within|<|>)")), "cql-date-clause", "cql", "warning")
+def _timestamp(n: Node, key: str) -> Column:
+    return finding(n.has(key) & with_time(n.text(key)).isNull(), "timestamp", n.named(key))
 
 
-def windows(lines: DataFrame) -> DataFrame:
-    """Totals of queries by run: a whole number from 0 on or null, over ``all`` or a pair of dates."""
-    rows = _of(lines, "queries.jsonl").withColumn("r", F.explode(F.try_variant_get("v", "$.runs", "array<variant>")))
-    total, window = F.schema_of_variant(F.try_variant_get("r", "$.total", "variant")), F.try_variant_get("r", "$.window", "string")
-    bad_total = ~F.coalesce(total == "VOID", F.lit(True)) & ~(F.coalesce(total == "BIGINT", F.lit(False)) & (F.try_variant_get("r", "$.total", "bigint") >= 0))
-    return _found(rows.where(bad_total | (window.isNotNull() & (window != "all") & ~window.rlike(r"^[0-9]{8}-[0-9]{8}$"))), "window", "runs")
+def _blank(text: Column) -> Column:
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
-def spellings(lines: DataFrame) -> DataFrame:
-    """Publications that aren't in DOCDB spelling, lack a needed kind code, or can't be read."""
-    watch = _of(lines, "watch.jsonl").where(is_text("pub")).select("target", "file", "line", text_of("pub").alias("pub"), F.lit(True).alias("coded"))
-    listed = _of(lines, "families.jsonl").select("target", "file", "line", F.explode(F.try_variant_get("v", "$.pubs", "array<string>")).alias("pub"), F.lit(False).alias("coded"))
-    rows = watch.unionByName(listed).withColumn("p", pubnum.parse(F.col("pub")))
-    rule = F.when(F.col("p").isNull() & ~F.col("coded"), "pub-unparsed").when(F.col("p").isNull() | (pubnum.docdb(F.col("p")) != F.col("pub")), "pub-spelling").when(F.col("coded") & (F.col("p.kind") == ""), "pub-kind")
-    out = rows.withColumn("rule", rule).where("rule IS NOT NULL")
-    return out.select("target", "file", "line", "rule", F.when(F.col("rule") == "pub-unparsed", "warning").otherwise("error").alias("severity"), F.col("pub").alias("key"))
+def _pub(condition: Column, pub: Column, key: Column, coded: bool, tolerant: bool = False) -> list[Column]:
+    """A publication ``text, p`` that can't be read, isn't in DOCDB spelling, or lacks the kind code it needs."""
+    odd = condition & pub["p"].isNull()
+    kept = odd & ~_blank(pub["text"]) if tolerant else F.lit(False)
+    return [
+        finding(kept, "pub-unparsed", key, "warning"), finding(odd & ~kept, "pub-spelling", key),
+        finding(condition & (pubnum.docdb(pub["p"]) != pub["text"]), "pub-spelling", key), finding(condition & F.lit(coded) & (pub["p"]["kind"] == ""), "pub-kind", key),
+    ]
 
 
-def snapshots(lines: DataFrame) -> DataFrame:
-    """Watch lines whose snapshot is missing, of another shape or format, or of another publication.
+def _run(n: Node, *keys: str) -> list[Column]:
+    return [reference(n.has(k), "run-ref", n.named(k), n.text(k)) for k in keys]
 
-    A null one is excused by ``snapshot_error`` (a warning), or by a last check in a degraded run.
-    """
-    modes = _of(lines, "runs.jsonl").where(is_text("run_id")).groupBy("target", text_of("run_id").alias("run")).agg(F.max_by(text_of("mode"), "line").alias("mode"))
-    rows = _of(lines, "watch.jsonl").withColumn("run", text_of("checked_run")).join(modes, ["target", "run"], "left")
-    kind = kind_of("snapshot")
-    excuse = F.coalesce(text_of("snapshot_error").rlike(r"(?U)\S"), F.lit(False))
-    sub = lambda k, t: F.try_variant_get("v", f"$.snapshot.{k}", t)
-    fmt = F.schema_of_variant(sub("snapshot_format", "variant"))
-    wrong = ~F.coalesce(fmt == "BIGINT", F.lit(False)) | ~sub("snapshot_format", "bigint").eqNullSafe(1) | ~sub("pub", "string").eqNullSafe(text_of("pub")) | sub("legal", "variant").isNull() | sub("family", "variant").isNull()
-    rule = (
-        F.when(kind.isNull(), "snapshot").when((kind == "VOID") & excuse, "snapshot-error").when((kind == "VOID") & (F.coalesce(F.col("mode"), F.lit("")) == "degraded"), F.lit(None))
-        .when(~kind.like("OBJECT%"), "snapshot").when(wrong, "snapshot")
+
+def _feature_list(n: Node, key: str, all_: bool = False) -> tuple[Column, Many]:
+    """The finding of a wrong shape, and the references of a right one."""
+    good = n.is_list(key) | (F.coalesce(n.text(key) == "all", F.lit(False)) if all_ else F.lit(False))
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    refs = F.transform(n.items(key), lambda x, i: F.struct(F.lit("feature-ref").alias("rule"), F.concat(n.named(key), F.lit("["), i.cast("string"), F.lit("]")).alias("key"), text(x).alias("ref")))
+    return _shape(n, key, good), Many(refs)
+
+
+def _each(n: Node, key: str, rules) -> Many:
+    """What ``rules`` gives for every element, with the element's place in its label."""
+    one = lambda x, i: F.array(*rules(Node(x, label=F.concat(n.named(key), F.lit("["), i.cast("string"), F.lit("].")))))
+    return Many(F.flatten(F.transform(n.items(key), one)))
+
+
+def _run_rules(n: Node) -> tuple[list, list]:
+    path = n.text("report")
+    itself = n.has("previous_run") & (n.text("previous_run") == n.text("run_id"))
+    found = [
+        *_required(n, "run_id", "type", "stage", "mode", "started_at", "server_version"), _id(n, "run_id", RUN_ID), _enum(n, "type", RUN_TYPES), _enum(n, "stage", RUN_STAGES), _enum(n, "mode", RUN_MODES),
+        _timestamp(n, "started_at"), _timestamp(n, "finished_at"), finding(n.kind("searched_through").isNull(), "required-key", n.named("searched_through")),
+        finding((n.kind("searched_through") == "VOID") & n.text("type").isin(*DATED_RUNS), "searched-through", n.named("searched_through")), _date(n, "searched_through"),
+        finding(itself, "run-ref", n.named("previous_run")),
+        finding(n.has("report") & (path.isNull() | (path == "") | path.rlike(r"^/|(^|/)\.\.(/|$)")), "report-missing", n.named("report")),
+    ]
+    return found, [reference(n.has("previous_run") & ~F.coalesce(itself, F.lit(False)), "run-ref", n.named("previous_run"), n.text("previous_run"))]
+
+
+def _feature_rules(n: Node) -> tuple[list, list]:
+    found = [
+        *_required(n, "id", "title", "basis", "priority", "status", "since_run"), _id(n, "id", FEATURE_ID), _enum(n, "basis", FEATURE_BASES), _enum(n, "priority", FEATURE_PRIORITIES), _enum(n, "status", FEATURE_STATUSES),
+        finding((n.text("status") == "excluded") & _blank(n.text("reason")), "reason-missing", n.named("reason"), "warning"),
+    ]
+    return found, _run(n, "since_run", "changed_run")
+
+
+def _query_run_rules(n: Node) -> list[Column]:
+    window = n.text("window")
+    shaped = F.coalesce(F.schema_of_variant(n.v).like("OBJECT%"), F.lit(False))
+    return [
+        finding(~shaped, "enum", F.regexp_replace(n.label, r"\.$", "")), *[F.when(shaped, c) for c in _required(n, "run_id", "window")],
+        finding(shaped & n.kind("total").isNull(), "required-key", n.named("total")),
+        finding(n.has("total") & ~F.coalesce(n.whole("total") >= 0, F.lit(False)), "window", n.named("total")),
+        finding(n.has("window") & ~F.coalesce((window == "all") | window.rlike(WINDOW), F.lit(False)), "window", n.named("window")),
+    ]
+
+
+def _query_rules(n: Node) -> tuple[list, list]:
+    shape, features = _feature_list(n, "features")
+    found = [
+        *_required(n, "id", "cql", "status", "features", "runs"), _id(n, "id", QUERY_ID), _enum(n, "status", QUERY_STATUSES), shape, _shape(n, "runs", n.is_list("runs")),
+        finding(n.text("cql").rlike(DATE_CLAUSE), "cql-date-clause", n.named("cql"), "warning"),
+        finding(n.text("status").isin("rejected", "dropped") & _blank(n.text("reason")), "reason-missing", n.named("reason"), "warning"),
+        _each(n, "runs", _query_run_rules),
+    ]
+    return found, [features, _each(n, "runs", lambda r: _run(r, "run_id"))]
+
+
+def _family_rules(n: Node) -> tuple[list, list]:
+    shape, features = _feature_list(n, "features", all_=True)
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    pubs = n.keep("numbers", F.transform(F.coalesce(F.try_variant_get(n.v, "$.pubs", "array<variant>"), F.array().cast("array<variant>")), lambda x: numbered(text(x))))
+    own = F.transform(pubs, lambda x, i: F.array(*_pub(F.lit(True), x, F.concat(F.lit("pubs["), i.cast("string"), F.lit("]")), coded=False, tolerant=True)))
+    found = [
+        *_required(n, "family_id", "pubs", "stage1", "judged_run", "features"), _shape(n, "family_id", F.coalesce(n.text("family_id") != "", F.lit(False))), _shape(n, "pubs", n.is_list("pubs") & (F.size(pubs) > 0)),
+        _enum(n, "stage1", STAGE1), _enum(n, "stage2", STAGE2), shape, Many(F.flatten(own)),
+    ]
+    return found, [*_run(n, "judged_run"), features]
+
+
+def _watch_rules(n: Node) -> tuple[list, list]:
+    seen, reading, read, snap = (n.inner(k) for k in ("observation", "status_reading", "claims_read", "snapshot"))
+    event = reading.inner("decisive_event")
+    shape, features = _feature_list(n, "features")
+    whole, own, shot = n.is_object("snapshot"), n.pub("pub"), snap.pub("pub")
+    object_ = lambda h: F.coalesce(F.schema_of_variant(h.v).like("OBJECT%"), F.lit(False))
+    found = [
+        *_required(n, "pub", "family_id", "reason", "added_run", "checked_run"), *_pub(n.has("pub"), own, n.named("pub"), coded=True), _enum(n, "reason", WATCH_REASONS),
+        finding(~n.has("next_check") & ~n.has("closed_run"), "required-key", n.named("next_check")), _date(n, "next_check"), shape,
+        *[_shape(n, k, n.is_object(k)) for k in ("observation", "status_reading", "claims_read")], _enum(seen, "value", OBSERVATIONS),
+        _timestamp(reading, "as_of"), _shape(reading, "decisive_event", reading.is_object("decisive_event")), _date(event, "date"),
+        *_pub(read.has("pub"), read.pub("pub"), read.named("pub"), coded=True), _shape(n, "history", n.is_list("history")),
+        _each(n, "history", lambda h: [finding(~object_(h), "enum", F.regexp_replace(h.label, r"\.$", ""))]),
+        finding(n.kind("snapshot").isNull(), "required-key", n.named("snapshot")), finding(n.has("snapshot") & ~whole, "snapshot", n.named("snapshot")),
+        finding(whole & ~F.coalesce(snap.whole("snapshot_format") == SNAPSHOT_FORMAT, F.lit(False)), "snapshot", snap.named("snapshot_format")),
+        finding(whole & ~snap.has("pub"), "snapshot", snap.named("pub")), *_pub(whole & snap.has("pub"), shot, snap.named("pub"), coded=False),
+        finding(whole & (pubnum.docdb(shot["p"]) != pubnum.docdb(own["p"])), "snapshot", snap.named("pub")), *[finding(whole & ~snap.is_object(k), "snapshot", snap.named(k)) for k in ("legal", "family")],
+    ]
+    refs = [
+        *_run(n, "added_run", "checked_run", "closed_run"), *_run(seen, "run_id"), *_run(reading, "run_id"), *_run(read, "run_id"), features, _each(n, "history", lambda h: _run(h, "run_id")),
+        reference(n.has("family_id"), "watch-family-unknown", n.named("family_id"), n.text("family_id")),
+    ]
+    return found, refs
+
+
+RULES = dict(zip(FILES, (_run_rules, _feature_rules, _query_rules, _family_rules, _watch_rules), strict=True))
+
+
+def _gathered(columns: list[Column | Many], kind: str) -> Column:
+    """Single structs and arrays of them in one array, nulls left out."""
+    arrays = [(c.column if isinstance(c, Many) else F.array(c)).cast(kind) for c in columns]
+    return F.filter(F.flatten(F.array(*arrays)), lambda x: x.isNotNull())
+
+
+def judged(lines: DataFrame) -> DataFrame:
+    """``target, file, line, found, refs`` of every line that is an object: what its own rules find, and what it refers to."""
+    out = []
+    for file, rules in RULES.items():
+        held: dict[str, Column] = {}
+        found, refs = rules(Node(F.col("v"), held=held))
+        rows = lines.where((F.col("file") == file) & F.col("v").isNotNull()).select("target", "file", "line", *[c.alias(name) for name, c in held.items()])
+        out.append(rows.select("target", "file", "line", _gathered(found, FOUND).alias("found"), _gathered(refs, REFS).alias("refs")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def line_findings(lines: DataFrame) -> DataFrame:
+    """Findings that a line's own values give."""
+    # outer, lest the optimizer infers a filter over the whole array of rules
+    return judged(lines).select("target", "file", "line", F.inline_outer("found")).where("rule IS NOT NULL")
+
+
+def unique_ids(ids: DataFrame) -> DataFrame:
+    """Lines of ``target, file, line, id`` that repeat an id, with the line that had it first."""
+    first = F.min("line").over(W.partitionBy("target", "file", "id"))
+    return ids.where("id IS NOT NULL").withColumn("first_line", first).where("line > first_line")
+
+
+def ledger_ids(lines: DataFrame) -> DataFrame:
+    """Valid ids of all files, ``target, file, line, id``; a watched publication counts by its DOCDB key."""
+    n, file = Node(F.col("v")), F.col("file")
+    valid = lambda key, pattern: F.when(n.text(key).rlike(pattern), n.text(key))
+    own = (
+        F.when(file == "runs.jsonl", valid("run_id", RUN_ID)).when(file == "features.jsonl", valid("id", FEATURE_ID)).when(file == "queries.jsonl", valid("id", QUERY_ID))
+        .when(file == "families.jsonl", F.nullif(n.text("family_id"), F.lit(""))).when(file == "watch.jsonl", pubnum.docdb(pubnum.parse(n.text("pub"))))
     )
-    out = rows.withColumn("rule", rule).where("rule IS NOT NULL")
-    return out.select("target", "file", "line", "rule", F.when(F.col("rule") == "snapshot-error", "warning").otherwise("error").alias("severity"), F.lit("snapshot").alias("key"))
+    return lines.where("v IS NOT NULL").select("target", "file", "line", own.alias("id"))
+
+
+def referred_ids(lines: DataFrame) -> DataFrame:
+    """``target, rule, ref``: the ids that references may name, one row each."""
+    n, file = Node(F.col("v")), F.col("file")
+    rule = F.create_map(*[F.lit(x) for pair in ((f, r) for r, f in REFERS_TO.items()) for x in pair])
+    own = F.when(file == "runs.jsonl", n.text("run_id")).when(file == "features.jsonl", n.text("id")).otherwise(n.text("family_id"))
+    rows = lines.where(F.col("v").isNotNull() & file.isin(*REFERS_TO.values())).select("target", F.try_element_at(rule, file).alias("rule"), own.alias("ref"))
+    return rows.where("ref IS NOT NULL").distinct()
+
+
+def reference_findings(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """References to nothing, where the file that would hold the id can be read; an unknown family is a warning."""
+    refs = judged(lines).select("target", "file", "line", F.inline_outer("refs")).where("rule IS NOT NULL")
+    rule = F.create_map(*[F.lit(x) for pair in ((f, r) for r, f in REFERS_TO.items()) for x in pair])
+    readable = files.where(F.col("problem").isNull()).select("target", F.try_element_at(rule, F.col("file")).alias("rule")).where("rule IS NOT NULL").distinct()
+    lost = refs.join(readable, ["target", "rule"], "left_semi").join(referred_ids(lines), ["target", "rule", "ref"], "left_anti")
+    return lost.select("target", "file", "line", "rule", F.when(F.col("rule") == "watch-family-unknown", "warning").otherwise("error").alias("severity"), "key")
+
+
+def run_order(runs: DataFrame) -> DataFrame:
+    """Runs ``target, file, line, started_at`` that began before the one parseable before them, offsets alike."""
+    at, aware = instant(F.col("started_at")), F.col("started_at").rlike(r"[T ].*(?:Z|[+-][0-9]{2}:?[0-9]{2})$")
+    rows = runs.withColumn("at", F.when(at.isNotNull(), F.struct(at.alias("at"), aware.alias("aware"))))
+    before = F.last("at", ignorenulls=True).over(W.partitionBy("target").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("before", before).where("at.aware = before.aware AND at.at < before.at").drop("at", "before")
+
+
+def absent_snapshots(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Watch lines whose snapshot is null: excused by a last check in a degraded run, and a warning where ``snapshot_error`` says why."""
+    n = Node(F.col("v"))
+    runs = lines.where((F.col("file") == "runs.jsonl") & n.text("run_id").isNotNull() & n.text("mode").isNotNull())
+    modes = runs.groupBy("target", n.text("run_id").alias("run")).agg(F.max_by(n.text("mode"), "line").alias("mode"))
+    readable = files.where((F.col("file") == "runs.jsonl") & F.col("problem").isNull()).select("target").distinct()
+    rows = lines.where((F.col("file") == "watch.jsonl") & (n.kind("snapshot") == "VOID")).select("target", "file", "line", n.text("checked_run").alias("run"), _blank(n.text("snapshot_error")).alias("unsaid"))
+    rows = rows.join(readable, "target", "left_semi").join(modes, ["target", "run"], "left").where("mode IS NULL OR mode <> 'degraded'")
+    return rows.select("target", "file", "line", F.when(F.col("unsaid"), "snapshot").otherwise("snapshot-error").alias("rule"), F.when(F.col("unsaid"), "error").otherwise("warning").alias("severity"), F.lit("snapshot").alias("key"))
 
 
 def file_findings(targets: DataFrame, files: DataFrame) -> DataFrame:
     """Targets and files that are missing, badly named or unreadable, from ``targets(target)`` and ``files(target, file, problem)``."""
-    needed = [(f, "missing-file", "error") for f in ("manifest.json", *FILES)] + [("translation.md", "translation-missing", "warning")]
+    needed = [(f, "missing-file", "error") for f in (MANIFEST, *FILES)] + [(TRANSLATION, "translation-missing", "warning")]
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("file"), F.lit(r).alias("rule"), F.lit(s).alias("severity")) for f, r, s in needed]))
     absent = targets.select("target", each.alias("e")).select("target", "e.*").join(files.select("target", "file"), ["target", "file"], "left_anti")
     cols = ("target", "file", F.lit(None).cast("int").alias("line"), "rule", "severity", F.lit(None).cast("string").alias("key"))
-    named = targets.where(~F.col("target").rlike(TARGET_NAME)).select("target", F.lit(None).cast("string").alias("file"), F.lit("target-name").alias("rule"), F.lit("warning").alias("severity"))
+    named = targets.where(~F.col("target").rlike(TARGET_NAME)).select("target", F.lit(MANIFEST).alias("file"), F.lit("target-name").alias("rule"), F.lit("warning").alias("severity"))
     bad = files.where("problem IS NOT NULL").select("target", "file", F.col("problem").alias("rule"), F.lit("error").alias("severity"))
     return absent.select(*cols).unionByName(named.select(*cols)).unionByName(bad.select(*cols))
 
 
-def manifests(rows: DataFrame) -> DataFrame:
-    """Manifests ``target, file, line, v`` of another format, target or time."""
-    fmt = kind_of("format")
-    bad = F.filter(F.array(
-        F.when(~F.coalesce(fmt == "BIGINT", F.lit(False)) | ~F.try_variant_get("v", "$.format", "bigint").eqNullSafe(1), F.lit("format")),
-        F.when(~text_of("target").eqNullSafe(F.col("target")), F.lit("target")), F.when(with_time(text_of("created_at")).isNull(), F.lit("created_at")),
-    ), lambda k: k.isNotNull())
-    return _found(rows.withColumn("k", F.explode(bad)), "manifest", F.col("k"))
+def missing_ledgers(wanted: DataFrame, targets: DataFrame) -> DataFrame:
+    """A finding for each of ``wanted(target)`` that has no ledger."""
+    lost = wanted.select("target").distinct().join(targets.select("target"), "target", "left_anti")
+    return lost.select("target", F.lit(MANIFEST).alias("file"), F.lit(None).cast("int").alias("line"), F.lit("missing-ledger").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("key"))
+
+
+def manifest_findings(manifests: DataFrame) -> DataFrame:
+    """What is wrong with ``manifests(target, v)``; a null ``v`` isn't a JSON object."""
+    n = Node(F.col("v"))
+    good = F.coalesce(n.whole("format") == 1, F.lit(False))
+    found = [
+        *_required(n, "format", "target", "created_at"), finding(n.has("format") & ~good, "manifest", F.lit("format")), finding(n.has("target") & ~n.text("target").eqNullSafe(F.col("target")), "manifest", F.lit("target")),
+        finding(n.has("created_at") & with_time(n.text("created_at")).isNull(), "manifest", F.lit("created_at")),
+    ]
+    whole = F.when(F.col("v").isNull(), F.array(F.struct(F.lit("json").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("key"))).cast(FOUND)).otherwise(_gathered(found, FOUND))
+    return manifests.select("target", F.lit(MANIFEST).alias("file"), F.lit(None).cast("int").alias("line"), F.inline(whole))
 
 
-def reports(lines: DataFrame, paths: DataFrame) -> DataFrame:
-    """Runs whose report isn't a relative path to a file of ``paths(target, path)``."""
-    rows = _of(lines, "runs.jsonl").where(F.coalesce(kind_of("report"), F.lit("VOID")) != "VOID").withColumn("path", F.when(is_text("report") & ~text_of("report").rlike(r"^/|(^|/)\.\.(/|$)"), text_of("report")))
-    return _found(rows.join(paths, ["target", "path"], "left_anti"), "report-missing", "report")
+def missing_reports(lines: DataFrame, paths: DataFrame) -> DataFrame:
+    """Runs whose report, a relative path, isn't among ``paths(target, path)``."""
+    n = Node(F.col("v"))
+    rows = lines.where(F.col("file") == "runs.jsonl").select("target", "file", "line", n.text("report").alias("path"))
+    rows = rows.where((F.col("path") != "") & ~F.col("path").rlike(r"^/|(^|/)\.\.(/|$)")).join(paths, ["target", "path"], "left_anti")
+    return rows.select("target", "file", "line", F.lit("report-missing").alias("rule"), F.lit("error").alias("severity"), F.lit("report").alias("key"))
 
 
-def check(targets: DataFrame, files: DataFrame, lines: DataFrame, manifest_rows: DataFrame, paths: DataFrame) -> DataFrame:
+def check(targets: DataFrame, files: DataFrame, lines: DataFrame, manifests: DataFrame, paths: DataFrame) -> DataFrame:
     """All findings.  References into a file that can't be read aren't judged."""
-    ok = lambda f: files.where((F.col("file") == f) & F.col("problem").isNull()).select("target")
-    good = lines.where("v IS NOT NULL")
-    ids = _found(unique_ids(ledger_ids(good)), "unique-id", F.col("id"))
-    order = _found(run_order(_of(good, "runs.jsonl").select("target", "file", "line", text_of("started_at").alias("started_at"))), "run-order", "started_at", "warning")
-    broken = _found(lines.where("v IS NULL AND line IS NOT NULL"), "json", F.lit(None).cast("string"))
+    n = Node(F.col("v"))
+    cols = ("target", "file", "line", "rule", "severity", "key")
+    mark = lambda df, rule, key, severity="error": df.select("target", "file", "line", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(key).cast("string").alias("key"))
+    runs = lines.where((F.col("file") == "runs.jsonl") & F.col("v").isNotNull()).select("target", "file", "line", n.text("started_at").alias("started_at"))
     parts = [
-        file_findings(targets, files), manifests(manifest_rows), broken, required_keys(good), enums(good), id_formats(good), ids, date_checks(good), searched_through(good), run_refs(good, ok("runs.jsonl")), feature_refs(good, ok("features.jsonl")),
-        watch_families(good, ok("families.jsonl")), order, reasons(good), query_dates(good), windows(good), spellings(good), snapshots(good), reports(good, paths),
+        file_findings(targets, files), manifest_findings(manifests), mark(lines.where("v IS NULL AND line IS NOT NULL"), "json", None), line_findings(lines), reference_findings(lines, files),
+        unique_ids(ledger_ids(lines)).select("target", "file", "line", F.lit("unique-id").alias("rule"), F.lit("error").alias("severity"), F.col("id").alias("key")),
+        mark(run_order(runs), "run-order", "started_at", "warning"), absent_snapshots(lines, files), missing_reports(lines, paths),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings by target, errors first, then file by file and line by line."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, FILE_ORDER)), F.col("file")), F.lit(0)), F.lit(len(FILE_ORDER) + 1))
+    return findings.orderBy("target", "severity", rank, F.col("line").asc_nulls_first(), "rule", "key")
 
 
 def enum_counts(rows: DataFrame, column: str, accepted: tuple[str, ...]) -> DataFrame:
@@ -235,12 +398,46 @@ def enum_counts(rows: DataFrame, column: str, accepted: tuple[str, ...]) -> Data
     return dimension.join(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def watch_summary(rows: DataFrame, today: Column) -> DataFrame:
-    """One row: open and closed entries; of the open ones those due, provisional ones, and the earliest next check."""
-    is_open = F.col("status") == "open"
-    return rows.agg(F.count_if(is_open).alias("open"), F.count_if(F.col("status") == "closed").alias("closed"), F.count_if(is_open & (F.col("next_check") <= today)).alias("due"), F.count_if(is_open & (F.col("reason") == "provisional")).alias("provisional"), F.min(F.when(is_open, F.col("next_check"))).alias("next_check"))
+def _watch_columns(n: Node, today: Column) -> list[Column]:
+    due = iso_date(n.text("next_check"))
+    is_open = ~n.has("closed_run")
+    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return [count(is_open, "open"), count(~is_open, "closed"), count(is_open & (due <= today), "due"), count(is_open & (n.text("reason") == "provisional"), "provisional"), F.min(F.when(is_open, due)).alias("next_check")]
+
+
+def watch_summary(lines: DataFrame, today: Column) -> DataFrame:
+    """For each target open and closed entries, closed being those with a ``closed_run``; of the open ones those due, provisional ones, and the earliest next check."""
+    return lines.where((F.col("file") == "watch.jsonl") & F.col("v").isNotNull()).groupBy("target").agg(*_watch_columns(Node(F.col("v")), today))
 
 
 def last_run(rows: DataFrame, *keys: str) -> DataFrame:
     """The run on the last readable line of each target."""
     return rows.groupBy("target").agg(F.max_by(F.struct(*keys), "line").alias("r")).select("target", "r.*")
+
+
+def status(targets: DataFrame, files: DataFrame, lines: DataFrame, manifests: DataFrame, today: Column) -> DataFrame:
+    """One forgiving row for each target: what can be counted is counted, the rest is named in ``problems``.
+
+    ``target, format, runs, last_run, features, queries, families, watch, problems``; the counts by status are maps.
+    """
+    n, file, good = Node(F.col("v")), F.col("file"), F.col("v").isNotNull()
+    of = lambda f: good & (file == f)
+    by = lambda f, values: F.create_map(*[x for s in values for x in (F.lit(s), F.count_if(F.coalesce(of(f) & (n.text("status") == s), F.lit(False))))])
+    watch = F.struct(*_watch_columns(Node(F.when(of("watch.jsonl"), F.col("v"))), today)[2:])
+    last = F.max_by(F.struct(*[n.text(k).alias(k) for k in LAST_RUN]), F.when(of("runs.jsonl"), F.col("line")))
+    open_ = F.count_if(of("watch.jsonl") & ~n.has("closed_run"))
+    sums = lines.groupBy("target").agg(
+        F.count_if(of("runs.jsonl")).alias("runs"), last.alias("last_run"), by("features.jsonl", FEATURE_STATUSES).alias("features"), by("queries.jsonl", QUERY_STATUSES).alias("queries"), F.count_if(of("families.jsonl")).alias("families"),
+        open_.alias("open"), F.count_if(of("watch.jsonl") & n.has("closed_run")).alias("closed"), watch.alias("w"),
+    )
+    bad = lines.where("v IS NULL AND line IS NOT NULL").select("target", F.concat("file", F.lit(" line "), F.col("line").cast("string"), F.lit(": not a JSON object")).alias("problem"))
+    bad = bad.unionByName(files.where("problem IS NOT NULL").select("target", F.concat_ws(" ", "file", "problem").alias("problem")))
+    each = F.explode(F.array(*map(F.lit, (MANIFEST, *FILES))))
+    absent = targets.select("target", each.alias("file")).join(files.select("target", "file"), ["target", "file"], "left_anti")
+    bad = bad.unionByName(absent.select("target", F.concat("file", F.lit(" is missing")).alias("problem"))).groupBy("target").agg(F.array_sort(F.collect_list("problem")).alias("problems"))
+    formats = manifests.groupBy("target").agg(F.max(n.whole("format").cast("int")).alias("format"))
+    none = lambda c, empty: F.coalesce(c, empty).alias(c)
+    out = targets.join(formats, "target", "left").join(sums, "target", "left").join(bad, "target", "left")
+    zero = lambda values: F.create_map(*[x for s in values for x in (F.lit(s), F.lit(0).cast("long"))])
+    counts = F.struct(F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("closed", F.lit(0)).alias("closed"), F.coalesce("w.due", F.lit(0)).alias("due"), F.coalesce("w.provisional", F.lit(0)).alias("provisional"), F.col("w.next_check").alias("next_check"))
+    return out.select("target", "format", none("runs", F.lit(0)), "last_run", none("features", zero(FEATURE_STATUSES)), none("queries", zero(QUERY_STATUSES)), none("families", F.lit(0)), counts.alias("watch"), none("problems", F.array().cast("array<string>")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docketry.functions.pubnum import docdb, parse
 from docketry.functions.records import event_key, gazette_date
 
 FORMAT = 1
@@ -65,6 +66,38 @@ def changes(pubs: DataFrame, before_events: DataFrame, after_events: DataFrame,
     return out.withColumn("changed", F.expr("new_events + missing_events + new_members + missing_members > 0 OR family_id_changed"))
 
 
+def diff_report(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """What changed between stored snapshots and current ones, one row for each row of ``current``.
+
+    Both have ``pub, fetched_at, family_id, members`` and ``events``: of ``current`` an array of
+    ``struct<gazette_date, code, desc, pre_lines>`` in reported order, of ``previous`` the stored keys.  New events come
+    in full, missing ones as keys; the later occurrences of a repeated event are the new ones.  Without a stored
+    snapshot nothing is compared.
+    """
+    was = previous.select("pub", F.col("fetched_at").alias("previous_fetched_at"), F.col("family_id").alias("family_was"), F.col("members").alias("members_were"), F.col("events").alias("keys_were"), F.lit(True).alias("stored"))
+    rows = current.join(was, "pub", "left")
+    key = lambda e: event_key(e["gazette_date"], e["code"], e["desc"], e["pre_lines"])
+    empty = F.array().cast("array<array<string>>")
+    rows = rows.withColumn("keys", F.transform("events", key)).withColumn("keys_were", F.coalesce("keys_were", empty))
+    count = lambda keys, k: F.size(F.filter(keys, lambda x: x == k))
+    fresh = F.filter(F.arrays_zip("events", "keys"), lambda z, i: count(F.slice("keys", 1, i + 1), z["keys"]) > count(F.col("keys_were"), z["keys"]))
+    gone = F.filter(F.transform("keys_were", lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda z: count(F.slice("keys_were", 1, z["i"] + 1), z["k"]) > count(F.col("keys"), z["k"]))
+    known = F.coalesce("stored", F.lit(False))
+    texts = F.array().cast("array<string>")
+    out = rows.select(
+        "pub", (~known).alias("first_snapshot"), "fetched_at", "previous_fetched_at", F.when(known, F.transform(fresh, lambda z: z["events"])).otherwise(F.slice("events", 1, 0)).alias("new_events"), F.array_sort(F.when(known, F.transform(gone, lambda z: z["k"])).otherwise(empty)).alias("missing_events"),
+        F.array_sort(F.when(known, F.array_except("members", "members_were")).otherwise(texts)).alias("new_members"), F.array_sort(F.when(known, F.array_except("members_were", "members")).otherwise(texts)).alias("missing_members"),
+        F.when(known & ~F.col("family_was").eqNullSafe(F.col("family_id")), F.struct(F.col("family_was").alias("from"), F.col("family_id").alias("to"))).alias("family_id_changed"),
+        F.struct("pub", F.lit(FORMAT).alias("snapshot_format"), "fetched_at", "family_id", F.array_sort("keys").alias("events"), F.array_sort(F.array_distinct("members")).alias("members")).alias("snapshot"),
+    )
+    return out.withColumn("changed", F.expr("size(new_events) + size(missing_events) + size(new_members) + size(missing_members) > 0 OR family_id_changed IS NOT NULL"))
+
+
+def watch(pubs: DataFrame, current: DataFrame, errors: DataFrame, previous: DataFrame) -> DataFrame:
+    """``idx`` and ``diff_report`` for every ``pubs(idx, pub)``, in order by ``idx``; one that failed has ``errors(pub, error)`` instead."""
+    return pubs.join(diff_report(current, previous), "pub", "left").join(errors.select("pub", "error"), "pub", "left")
+
+
 def envelope(diff: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: publications changed, unchanged, seen for the first time, and failed; stored ones no longer watched are not among them."""
     failed = errors.select(F.lit(False).alias("changed"), F.lit(False).alias("first_snapshot"), F.lit(True).alias("failed"))
@@ -88,8 +121,6 @@ def undated_events(events: DataFrame) -> DataFrame:
 
 def previous_problems(previous: DataFrame) -> DataFrame:
     """``idx, problem`` of stored snapshots ``idx, pub, snapshot_format, has_legal, has_family``."""
-    from docketry.functions.pubnum import docdb, parse
-
     rows = previous.withColumn("key", docdb(parse(F.col("pub"))))
     nth = F.row_number().over(W.partitionBy("key").orderBy("idx"))
     problem = F.when(F.col("key").isNull(), "pub").when(~F.col("snapshot_format").eqNullSafe(FORMAT), "format").when(~F.col("has_legal") | ~F.col("has_family"), "half missing").when(nth > 1, "repeated")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,6 +38,37 @@ def usage_totals(log: DataFrame, today: Column) -> DataFrame:
     )
 
 
+def usage_report(log: DataFrame, today: Column, bound: Column | None = None) -> DataFrame:
+    """One row: counts by kind, status and system state as maps, first and last line, today's requests, and lines that count nowhere.
+
+    ``log`` is that of ``typed_log``; lines that are no objects are ``skipped_lines``.  With a bound, lines before it
+    are left out and lines without a readable time are ``undated_lines``.
+    """
+    line = ~F.col("skipped")
+    at = records.instant(F.col("at"))
+    undated = line & at.isNull() if bound is not None else F.lit(False)
+    counted = line & (F.coalesce(at >= bound, F.lit(False)) if bound is not None else F.lit(True))
+    state, _ = records.throttling(F.col("throttling"))
+    rows = log.select("line_no", "at", "kind", "status", "skipped", undated.alias("undated"), counted.alias("counted"), F.when(state.isin(*STATES), state).alias("state"), records.non_green(F.col("throttling")).alias("alarm"), (F.to_date(at) == today).alias("now"))
+    # one pass counts each combination; the maps are sums over its few rows
+    few = rows.groupBy("kind", "status", "state", "skipped", "undated", "counted", "now").agg(F.count(F.lit(1)).alias("n"), F.count_if("alarm").alias("alarms"), F.min_by("at", "line_no").alias("first"), F.min("line_no").alias("low"), F.max_by("at", "line_no").alias("last"), F.max("line_no").alias("high"))
+
+    def by(column: str, condition: str) -> DataFrame:
+        sums = few.where(condition).groupBy(F.col(column).alias("k")).agg(F.sum("n").alias("n"))
+        return sums.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"by_{column}"))
+
+    total = lambda condition, name: F.coalesce(F.sum(F.when(F.expr(condition), F.col("n"))), F.lit(0)).alias(name)
+    whole = few.agg(
+        total("counted", "total_requests"), F.coalesce(F.sum(F.when(F.col("counted"), F.col("alarms"))), F.lit(0)).alias("non_green_events"), F.coalesce(F.min_by("first", F.when(F.col("counted"), F.col("low"))), F.lit("")).alias("first_at"),
+        F.coalesce(F.max_by("last", F.when(F.col("counted"), F.col("high"))), F.lit("")).alias("last_at"), total("counted AND now", "today_requests"), total("skipped", "skipped_lines"), total("undated", "undated_lines"),
+    )
+    parts = [by("kind", "counted"), by("status", "counted"), by("state", "counted AND state IS NOT NULL").withColumnRenamed("by_state", "system_states"), by("kind", "counted AND now").withColumnRenamed("by_kind", "today_by_kind")]
+    for part in parts:
+        # one row beside one row
+        whole = whole.withColumn("_1", F.lit(1)).join(part.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    return whole
+
+
 def services(log: DataFrame) -> DataFrame:
     """One row for each service that a line's header names."""
     _, entries = records.throttling(F.col("throttling"))
@@ -60,16 +94,55 @@ def throttle_reaction(log: DataFrame) -> DataFrame:
     )
 
 
+#: Stored times so far ahead of an arrival are taken for a wrong clock and ignored.
+FUTURE_US = 3600 * 1_000_000
+
+
+def paced(arrivals: DataFrame, key: str = "service") -> DataFrame:
+    """``key, seq, at_us, ready_us, step_us``: when a request could go if it were the first, and the interval that holds for it.
+
+    Of the optional columns ``floor_us`` is the caller's own earliest time, ``cool_down_us`` that of the upstream
+    (ignored if too far ahead), ``tight_us`` a longer interval asked for by the upstream.
+    """
+    given = lambda c: F.col(c) if c in arrivals.columns else F.lit(None).cast("long")
+    cool = F.when(given("cool_down_us") <= F.col("at_us") + FUTURE_US, given("cool_down_us"))
+    return arrivals.select(key, "seq", "at_us", F.greatest("at_us", given("floor_us"), cool).alias("ready_us"), F.greatest("interval_us", given("tight_us")).alias("step_us"))
+
+
 def pacing_slots(arrivals: DataFrame, key: str = "service") -> DataFrame:
-    """``seq, slot``: when each request of a service may go, in whole microseconds.
+    """``key, seq, slot_us``: when each request of a service may go, in whole microseconds.
 
-    The rule is sequential: a slot is the arrival, or the slot before plus the interval.  In closed form it is
-    S(n) + max over j <= n of (e(j) - S(j)), S being the running sum of intervals; integers make both exact.
-    Needs ``key, seq, at_us, interval_us``.
+    The rule is sequential: a slot is the ready time, or the slot before plus the interval if that is later; a slot
+    before that lies FUTURE_US ahead of the arrival counts as absent.  Where that never happens the slots have a closed
+    form, S(n) + max over j <= n of (ready(j) - S(j)), S being the running sum of intervals.  Services where it does
+    are followed row by row, sorted, in bounded memory.  Needs ``key, seq, at_us, interval_us``; see ``paced``.
     """
-    upto = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = arrivals.withColumn("total", F.sum("interval_us").over(upto))
-    return total.withColumn("slot_us", F.col("total") + F.max(F.col("at_us") - F.col("total")).over(upto)).drop("total")
+    rows = paced(arrivals, key)
+    in_order = W.partitionBy(key).orderBy("seq")
+    upto = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = rows.withColumn("total", F.sum("step_us").over(upto))
+    closed = total.withColumn("slot_us", F.col("total") + F.max(F.col("ready_us") - F.col("total")).over(upto))
+    ahead = closed.withColumn("last", F.lag("slot_us").over(in_order)).groupBy(key).agg(F.max(F.col("last") > F.col("at_us") + FUTURE_US).alias("late")).where("late").select(key)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service, last = None, None
+        for b in batches:
+            slots = []
+            for k, at, ready, step in zip(b[key], b["at_us"], b["ready_us"], b["step_us"], strict=True):
+                if k != service:
+                    service, last = k, None
+                last = next_slot(last, at, ready, step)
+                slots.append(last)
+            yield pd.DataFrame({key: b[key], "seq": b["seq"], "slot_us": slots})
+
+    kind = arrivals.schema[key].dataType.simpleString()
+    followed = rows.join(ahead, key, "left_semi").repartition(key).sortWithinPartitions(key, "seq").mapInPandas(follow, f"`{key}` {kind}, seq long, slot_us long")
+    return closed.select(key, "seq", "slot_us").join(ahead, key, "left_anti").unionByName(followed)
+
+
+def next_slot(last: int | None, at: int, ready: int, step: int) -> int:
+    """One step of the rule."""
+    return max(ready, last + step) if last is not None and last <= at + FUTURE_US else ready
 
 
 def pacing_state(notes: DataFrame, now_us: int) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions import claims as claim_functions
 from docketry.functions import pubnum, records
-from docketry.operators import cache_views, hits, ledger, snapshots, usage
+from docketry.operators import cache_views, hits, snapshots, usage
 from docketry.plans.proxies import duck, legal, view
-from docketry.sources import html, xml
+from docketry.sources import xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +47,7 @@ KEYED_HITS = duck("hits") + ", " + parsed_sql("hits") + """, r AS (SELECT *, CAS
 @query(duck("pub_strings") + ", " + parsed_sql("pub_strings") + f"""SELECT idx, pub, country, number, kind, {DOCDB} AS docdb, country || number || kind AS epodoc,
     CASE WHEN country = 'US' AND regexp_full_match(number, '(19|20)[0-9]{{8}}') THEN country || number[1:4] || '0' || number[5:] || kind ELSE country || number || kind END AS google FROM p""")
 def pubnum_normalize(spark, sf_dir):
-    return pubnum.normalize(view(spark, sf_dir, "pub_strings"), "pub").drop("alternate")
+    return pubnum.normalize(view(spark, sf_dir, "pub_strings").select("idx", "pub"), "pub").drop("alternate")
 
 
 @query(duck("pub_strings") + ", " + parsed_sql("pub_strings") + """SELECT idx, CASE WHEN country = 'US' AND regexp_full_match(number, '(19|20)[0-9]{8}') THEN 'US.' || number[1:4] || '0' || number[5:] WHEN country = 'US' AND regexp_full_match(number, '(19|20)[0-9][0-9]0[0-9]{6}')
@@ -58,7 +58,7 @@ def pubnum_alternate(spark, sf_dir):
 
 @query(duck("pub_strings") + ", " + parsed_sql("pub_strings") + "SELECT idx, pub FROM p WHERE number IS NULL")
 def pubnum_unparseable(spark, sf_dir):
-    return view(spark, sf_dir, "pub_strings").where(pubnum.parse(F.col("pub")).isNull())
+    return view(spark, sf_dir, "pub_strings").select("idx", "pub").where(pubnum.parse(F.col("pub")).isNull())
 
 
 @query(KEYED_HITS + "SELECT family_key, min(idx) AS first_idx, count(*) AS n_members FROM r GROUP BY family_key")
@@ -137,7 +137,7 @@ def batch_guard(spark, sf_dir):
     return hits.batch_violations(items, max_items=10_000_000, max_total=1_000_000)
 
 
-@query(duck("pub_strings") + ", " + parsed_sql("pub_strings") + f", k AS (SELECT idx, pub, {DOCDB} AS key FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(key, pub) ORDER BY idx) AS n FROM k), x AS (SELECT idx, pub, CASE WHEN key IS NULL THEN 'unparseable' WHEN n > 1 THEN 'repeated' WHEN idx > 25 THEN 'too many' END AS problem FROM r) SELECT * FROM x WHERE problem IS NOT NULL")
+@query(duck("pub_strings") + ", " + parsed_sql("pub_strings") + f", k AS (SELECT idx, pub, {DOCDB} AS key FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(key, pub) ORDER BY idx) AS n FROM k), x AS (SELECT idx, pub, CASE WHEN key IS NULL THEN 'unparseable' WHEN n > 1 THEN 'repeated' END AS problem FROM r UNION ALL SELECT 25, NULL, 'too many' FROM (SELECT count(*) AS c FROM k) WHERE c > 25) SELECT * FROM x WHERE problem IS NOT NULL")
 def watch_list_guard(spark, sf_dir):
     return hits.watch_list_problems(view(spark, sf_dir, "pub_strings"))
 
@@ -353,11 +353,6 @@ def claim_split_marks(spark, sf_dir):
     return claim_functions.kept_marks(rows, "l_orderkey", "place", "n").drop("place")
 
 
-@query()
-def html_extract(spark, sf_dir):
-    return html.outline(view(spark, sf_dir, "pages"), "page_id", "html")
-
-
 LEGAL_XML = '<?xml version="1.0"?><ops:world-patent-data xmlns:ops="u"><ops:patent-family legal="true"><ops:family-member><ops:legal code="{code}" desc="{code} event"><ops:pre line="1"> line {n} </ops:pre><ops:L007EP desc="Gazette DATE">{date}</ops:L007EP></ops:legal></ops:family-member></ops:patent-family></ops:world-patent-data>'
 
 
@@ -394,69 +389,7 @@ def xml_family_parse(spark, sf_dir):
     return xml.family(view(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pub"), body.alias("body"))).select("requested", "family_id", F.array_join("members", ",").alias("members"))
 
 
-@query(duck("features") + "SELECT v.priority, count(f.priority) AS n FROM (VALUES ('high'), ('medium'), ('low')) v(priority) LEFT JOIN features f ON f.priority = v.priority GROUP BY v.priority")
-def ledger_enum_counts(spark, sf_dir):
-    return ledger.enum_counts(view(spark, sf_dir, "features"), "priority", ("high", "medium", "low"))
-
-
-@query(duck("watch_lines") + ", d AS (SELECT *, CASE WHEN line % 12 <> 0 THEN next_check END AS c FROM watch_lines) SELECT count(*) FILTER (status = 'open') AS open, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status = 'open' AND c <= '1995-06-17') AS due, count(*) FILTER (status = 'open' AND reason = 'provisional') AS provisional, min(c) FILTER (status = 'open') AS next_check FROM d")
-def ledger_watch_summary(spark, sf_dir):
-    rows = view(spark, sf_dir, "watch_lines").withColumn("next_check", records.iso_date(F.col("next_check")))
-    return ledger.watch_summary(rows, F.lit("1995-06-17").cast("date")).withColumn("next_check", F.col("next_check").cast("string"))
-
-
-@query(duck("runs") + "SELECT target, arg_max(run_id, line) AS run_id, arg_max(mode, line) AS mode FROM runs GROUP BY target")
-def ledger_last_run(spark, sf_dir):
-    return ledger.last_run(view(spark, sf_dir, "runs"), "run_id", "mode")
-
-
-@query(duck("features") + "SELECT target, file, line, id, first_line FROM (SELECT *, min(line) OVER (PARTITION BY target, file, id) AS first_line FROM features) WHERE line > first_line")
-def ledger_unique_ids(spark, sf_dir):
-    return ledger.unique_ids(view(spark, sf_dir, "features").select("target", "file", "line", "id"))
-
-
-@query(duck("queries_", "runs") + "SELECT target, line, run AS ref FROM queries_ WHERE run NOT IN (SELECT run_id FROM runs)")
-def ledger_run_refs(spark, sf_dir):
-    runs = view(spark, sf_dir, "runs").select("target", F.col("run_id").alias("id"))
-    refs = view(spark, sf_dir, "queries_").select("target", "file", "line", F.col("run").alias("ref"))
-    return ledger.dangling(refs, runs, runs).select("target", "line", "ref")
-
-
-@query(duck("queries_", "features") + "SELECT target, line, feature AS ref FROM queries_ WHERE feature NOT IN (SELECT id FROM features)")
-def ledger_feature_refs(spark, sf_dir):
-    features = view(spark, sf_dir, "features").select("target", "id")
-    refs = view(spark, sf_dir, "queries_").select("target", "file", "line", F.col("feature").alias("ref"))
-    return ledger.dangling(refs, features, features).select("target", "line", "ref")
-
-
-@query(duck("runs") + "SELECT target, line, started_at FROM (SELECT *, lag(started_at) OVER (PARTITION BY target ORDER BY line) AS b FROM runs) WHERE started_at < b")
-def ledger_run_order(spark, sf_dir):
-    return ledger.run_order(view(spark, sf_dir, "runs").select("target", "file", "line", "started_at")).select("target", "line", "started_at")
-
-
-def _query_lines(spark, sf_dir):
-    q = view(spark, sf_dir, "queries_")
-    obj = F.to_json(F.struct(F.concat(F.lit("Q"), F.col("line").cast("string")).alias("query_id"), F.col("segment").alias("cql"), F.array("feature").alias("features"), "status", F.col("run").alias("first_run")))
-    return q.select("target", "file", "line", F.parse_json(obj).alias("v"))
-
-
-@query(duck("queries_") + "SELECT target, line, 'status' AS key FROM queries_ WHERE status IS NULL")
-def ledger_required_keys(spark, sf_dir):
-    return ledger.required_keys(_query_lines(spark, sf_dir)).select("target", "line", "key")
-
-
-@query(duck("queries_") + "SELECT target, line, 'status' AS key FROM queries_ WHERE status IS NOT NULL")
-def ledger_enums(spark, sf_dir):
-    return ledger.enums(_query_lines(spark, sf_dir)).select("target", "line", "key")
-
-
-@query(duck("watch_lines") + "SELECT target, line, next_check = '2024-13-01' AS bad FROM watch_lines WHERE next_check = '2024-13-01'")
-def ledger_date_checks(spark, sf_dir):
-    w = view(spark, sf_dir, "watch_lines")
-    lines = w.select("target", "file", "line", F.parse_json(F.to_json(F.struct("next_check", "status"))).alias("v"))
-    return ledger.date_checks(lines).select("target", "line", (F.col("rule") == "date").alias("bad"))
-
-
-@query(duck("arrivals") + """, s AS (SELECT *, sum(interval_us) OVER (PARTITION BY service ORDER BY seq) AS t FROM arrivals) SELECT service, seq, CAST(t + max(at_us - t) OVER (PARTITION BY service ORDER BY seq) AS BIGINT) AS slot_us FROM s""")
+@query(duck("arrivals").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT service, seq, at_us, greatest(at_us, coalesce(floor_us, 0), CASE WHEN cool_down_us <= at_us + 3600000000 THEN cool_down_us ELSE 0 END) AS ready, greatest(interval_us, coalesce(tight_us, 0)) AS step, row_number() OVER (PARTITION BY service ORDER BY seq) AS n FROM arrivals),
+    r AS (SELECT service, n, seq, ready AS slot_us FROM b WHERE n = 1 UNION ALL SELECT b.service, b.n, b.seq, CASE WHEN r.slot_us <= b.at_us + 3600000000 THEN greatest(b.ready, r.slot_us + b.step) ELSE b.ready END FROM r JOIN b ON b.service = r.service AND b.n = r.n + 1) SELECT service, seq, slot_us FROM r""")
 def pacing_slots(spark, sf_dir):
     return usage.pacing_slots(view(spark, sf_dir, "arrivals")).select("service", "seq", "slot_us")

@@ -15,8 +15,11 @@ from docketry.functions.text import collapse, strip
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 REFERENCE_ROWS = ("backwardReferences", "forwardReferences", "similarDocuments")
-#: itemprops read outside reference rows, and the columns they become.
-FIELDS = {"publicationNumber": "pub_number", "title": "title", "ifiStatus": "status_display", "ifiExpiration": "expiration", "priorityDate": "priority_date", "publicationDate": "publication_date", "assigneeOriginal": "assignee"}
+# Element, itemprop, and whether reference rows count, of each field; no element stands for any.
+FIELDS = {
+    "pub_number": ("dd", "publicationNumber", True), "title": ("span", "title", False), "status_display": ("span", "status", True), "expiration": ("time", "expiration", True),
+    "priority_date": (None, "priorityDate", False), "publication_date": (None, "publicationDate", False), "assignee": (None, "assigneeCurrent", False),
+}
 CPC_LEAF = r"^[A-Z][0-9]{2}[A-Z][0-9]+/[0-9]+$"
 
 
@@ -52,15 +55,14 @@ class _Page(HTMLParser):
             self.codes.append(sink := [])
         elif tag == "tr" and prop in self.refs:
             self.refs[prop].append([])
-        elif prop == "publicationNumber" and self._row() in self.refs:
+        elif tag == "span" and prop == "publicationNumber" and self._row() in self.refs:
             own = self.refs[self._row()]
             if own and not own[-1]:
                 own[-1] = sink = [""]
-        elif prop in FIELDS and self._row() is None and FIELDS[prop] not in self.fields:
-            if tag == "meta" or "content" in a:
-                self.fields[FIELDS[prop]] = a.get("content") or ""
-            else:
-                self.fields[FIELDS[prop]] = sink = []
+        else:
+            for name, (element, wanted, anywhere) in FIELDS.items():
+                if prop == wanted and element in (None, tag) and name not in self.fields and (anywhere or self._row() is None):
+                    self.fields[name] = sink = []
         if tag not in VOID:
             self.stack.append((tag, a, sink))
 
@@ -76,17 +78,18 @@ class _Page(HTMLParser):
                 sink.append(data)
 
 
-COLUMNS = "pub string, " + ", ".join(f"{c} string" for c in FIELDS.values()) + ", abstract string, claims array<struct<number: string, text: string, refs: array<string>>>, section_text string, n_sections int, codes array<string>, backward_refs array<string>, forward_refs array<string>, similar array<string>"
+COLUMNS = "pub string, " + ", ".join(f"{c} string" for c in FIELDS) + ", abstract string, claims array<struct<number: string, text: string, refs: array<string>>>, section_text string, n_sections int, codes array<string>, backward_refs array<string>, forward_refs array<string>, similar array<string>"
 
 
 def _read(html: str, pub: str) -> tuple:
     page = _Page()
     page.feed(html)
     page.close()
-    text = lambda x: "".join(x) if isinstance(x, list) else x
-    refs = [[t for r in page.refs[k] if (t := "".join(r).strip())] for k in REFERENCE_ROWS]
+    # a title keeps the white space inside it; other fields are the stripped pieces of their text
+    clean = lambda pieces: "".join(p.strip() for p in pieces)
+    refs = [[t for r in page.refs[k] if (t := clean(r))] for k in REFERENCE_ROWS]
     return (
-        pub, *[text(page.fields.get(c, "")) for c in FIELDS.values()], text(page.abstract or ""),
+        pub, *[("".join if c == "title" else clean)(page.fields.get(c, [])) for c in FIELDS], "".join(page.abstract or []),
         [(n, "".join(t), r) for n, t, r in page.claims], " ".join("".join(s) for s in page.sections), len(page.sections), ["".join(c) for c in page.codes], *refs,
     )
 
@@ -99,7 +102,7 @@ def patent_pages(df: DataFrame, key: str = "pub", body: str = "body") -> DataFra
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split()[0] for c in ("pub, " + ", ".join(FIELDS.values()) + ", abstract, claims, section_text, n_sections, codes, backward_refs, forward_refs, similar").split(",")]
+        names = [c.strip().split()[0] for c in ("pub, " + ", ".join(FIELDS) + ", abstract, claims, section_text, n_sections, codes, backward_refs, forward_refs, similar").split(",")]
         for b in batches:
             yield pd.DataFrame([_read(h or "", p) for p, h in zip(b["pub"], b["body"], strict=True)], columns=names)
 
@@ -116,37 +119,3 @@ def patent_pages(df: DataFrame, key: str = "pub", body: str = "body") -> DataFra
         F.when(number == "", "no publication number").when(F.col("n_sections") == 0, "no claims section").alias("error"),
     )
 
-
-class _Outline(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title, self.lang, self.links, self._in = [], "", 0, False
-
-    def handle_starttag(self, tag, attributes):
-        a = dict(attributes)
-        if tag == "html" and not self.lang:
-            self.lang = a.get("lang") or ""
-        self.links += tag == "a" and "href" in a
-        self._in = tag == "title"
-
-    def handle_endtag(self, tag):
-        self._in = False
-
-    def handle_data(self, data):
-        if self._in:
-            self.title.append(data)
-
-
-def outline(df: DataFrame, key: str, body: str) -> DataFrame:
-    """``key, lang, title, links`` of any page."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for k, h in zip(b["k"], b["h"], strict=True):
-                p = _Outline()
-                p.feed(h or "")
-                rows.append((k, p.lang, "".join(p.title), p.links))
-            yield pd.DataFrame(rows, columns=[key, "lang", "title", "links"])
-
-    return df.select(F.col(key).alias("k"), F.col(body).alias("h")).mapInPandas(run, f"`{key}` long, lang string, title string, links int")

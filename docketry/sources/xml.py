@@ -157,18 +157,54 @@ def claims(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
     return split_claims(whole, "pub", "text").select("pub", "number", "text", claim_refs(F.col("text"), F.col("number")).alias("depends_on"))
 
 
+#: Prefixed and bare spellings of a search response; what isn't there is null.
+SEARCH = f"""`ops:biblio-search` struct<`_total-result-count`: string, `ops:query`: struct<_VALUE: string, _syntax: string>, `ops:range`: struct<_begin: string, _end: string>,
+  `ops:search-result`: struct<`ops:publication-reference`: array<struct<`_family-id`: string, {_ID}>>, `exchange-documents`: array<struct<`exchange-document`: array<struct<_country: string>>>>>>,
+  code string, `ops:code` string, _bad string"""
+NOT_FOUND = "SERVER.EntityNotFound"
+
+
+def _searched(df: DataFrame, body: str) -> tuple[DataFrame, Column, Column]:
+    """Parsed bodies, the fault's code, and the search section."""
+    fault = F.coalesce(F.col("x")["ops:code"], F.col("x")["code"])
+    return _parsed(df, body, SEARCH), strip(fault), F.col("x")["ops:biblio-search"]
+
+
+def _page_columns(code: Column, found: Column) -> list[Column]:
+    number = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0).cast("long"))
+    none = F.coalesce(code == NOT_FOUND, F.lit(False))
+    return [
+        F.when(none, F.lit(0).cast("long")).when(found.isNotNull(), number(found["_total-result-count"])).alias("total_count"), F.coalesce(strip(found["ops:query"]["_VALUE"]), F.lit("")).alias("searched"),
+        number(found["ops:range"]["_begin"]).alias("begin"), number(found["ops:range"]["_end"]).alias("end"), F.when(~none & found.isNull(), "upstream_data").alias("error"),
+    ]
+
+
 def search_page(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
-    """``query, total_count, error`` of search results; a fault that nothing was found is an empty page."""
-    total = F.regexp_extract(F.col(body), r'total-result-count="([0-9]+)"', 1).try_cast("bigint")
-    fault = F.regexp_extract(F.col(body), r"<(?:\w+:)?code>\s*([^<]*?)\s*</(?:\w+:)?code>", 1)
-    none = fault == "SERVER.EntityNotFound"
-    return df.select(F.col(key).alias("query"), F.when(none, F.lit(0).cast("long")).otherwise(total).alias("total_count"), F.when(~none & total.isNull(), "upstream_data").alias("error"))
+    """``query, total_count, searched, begin, end, hits, error`` of search results: hits in order, as ``pub, family_id``.
+
+    A fault that nothing was found is an empty page; another fault or body is an error.
+    """
+    rows, code, found = _searched(df, body)
+    hits = F.transform(found["ops:search-result"]["ops:publication-reference"], lambda r: F.struct(docdb_of(r["document-id"]).alias("pub"), F.coalesce(r["_family-id"], F.lit("")).alias("family_id")))
+    return rows.select(F.col(key).alias("query"), *_page_columns(code, found), F.coalesce(hits, F.array().cast("array<struct<pub: string, family_id: string>>")).alias("hits"))
 
 
 def search_hits(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
-    """``query, pos, pub, family_id``: one row for each publication reference of a search result."""
-    refs = F.regexp_extract_all(F.col(body), F.lit(r"(?s)(<(?:ops:)?publication-reference\b.*?</(?:ops:)?publication-reference>)"), F.lit(1))
-    rows = df.select(F.col(key).alias("query"), F.posexplode(refs).alias("pos", "r"))
-    field = lambda name: F.regexp_extract("r", rf"(?s)document-id-type=\"docdb\".*?<{name}>\s*([^<]*?)\s*</{name}>", 1)
-    kind = field("kind")
-    return rows.select("query", "pos", F.concat(field("country"), F.lit("."), field("doc-number"), F.when(kind != "", F.concat(F.lit("."), kind)).otherwise("")).alias("pub"), F.regexp_extract("r", r'family-id="([^"]*)"', 1).alias("family_id")).where("pub <> '.'")
+    """``query, pos, pub, family_id``: one row for each hit of a search result."""
+    return search_page(df, key, body).select("query", F.posexplode("hits").alias("pos", "h")).select("query", "pos", "h.pub", "h.family_id")
+
+
+def search_biblio_page(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
+    """``query, total_count, searched, begin, end, docs, error`` of searches that answer with documents; ``docs`` is their number."""
+    rows, code, found = _searched(df, body)
+    docs = F.aggregate(found["ops:search-result"]["exchange-documents"], F.lit(0), lambda n, d: n + F.coalesce(F.size(d["exchange-document"]), F.lit(0)))
+    return rows.select(F.col(key).alias("query"), *_page_columns(code, found), F.coalesce(docs, F.lit(0)).alias("docs"))
+
+
+def search_biblio(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
+    """The documents of such searches as ``biblio`` gives them; a search without any has no row here."""
+    inner = F.regexp_replace(F.col(body), r"(?s)^.*?(<(?:\w+:)?search-result\b)", "$1")
+    lifted = F.concat(F.lit("<w>"), F.regexp_replace(F.regexp_replace(inner, r"(?s)</?(?:\w+:)?search-result\b[^>]*>", ""), r"(?s)</(?:\w+:)?biblio-search>.*$", ""), F.lit("</w>"))
+    # each document comes in a holder of its own: they become one
+    lifted = F.regexp_replace(lifted, r"(?s)</(?:\w+:)?exchange-documents>\s*<(?:\w+:)?exchange-documents\b[^>]*>", "")
+    return biblio(df.withColumn("_lifted", lifted), key, "_lifted").where("error IS NULL")

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.functions.records import non_green
+from docketry.operators.usage import next_slot, paced
 
 SLOTS = "service string, seq long, slot_us long"
-#: Stored times so far ahead of an arrival are taken for a wrong clock and ignored.
-FUTURE_US = 3600 * 1_000_000
 
 
 def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,9 +36,8 @@ class _Pacer(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("seq")
         state = self.last.get() if self.last.exists() else None
         last, out = (state[0] if state else None), []
-        for seq, at, interval in zip(batch["seq"], batch["at_us"], batch["interval_us"], strict=True):
-            near = last is not None and last <= at + FUTURE_US
-            last = max(int(at), last + int(interval)) if near else int(at)
+        for seq, at, ready, step in zip(batch["seq"], batch["at_us"], batch["ready_us"], batch["step_us"], strict=True):
+            last = next_slot(last, int(at), int(ready), int(step))
             out.append((key[0], int(seq), last))
         if last is not None:
             self.last.update((last,))
@@ -50,5 +48,5 @@ class _Pacer(StatefulProcessor):
 
 
 def pacing_stream(arrivals: DataFrame) -> DataFrame:
-    """Slots of ``service, seq, at_us, interval_us``, one after another for each service."""
-    return arrivals.groupBy("service").transformWithStateInPandas(statefulProcessor=_Pacer(), outputStructType=SLOTS, outputMode="Append", timeMode="None")
+    """Slots of ``service, seq, at_us, interval_us`` and the optional columns of ``paced``, one after another for each service."""
+    return paced(arrivals).groupBy("service").transformWithStateInPandas(statefulProcessor=_Pacer(), outputStructType=SLOTS, outputMode="Append", timeMode="None")
