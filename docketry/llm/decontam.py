@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD_BASE, blocks, hash_words, joined, only, word_spans
+from docketry.llm.common import WORD_BASE, blocks, hash_words, joined, materialise, only, word_spans
 
 K1, B = 1.2, 0.75
 #: Score, as a share of an item's own, from which a passage is a hit.
@@ -33,7 +35,7 @@ BLOCK_ITEMS = 4
 LEAST_WORDS = 32
 #: Word triples of question and answer that a leaked item has in the passage.
 QUESTION, ANSWER = 0.6, 0.5
-#: UTF-8 bytes of item text that one index, which goes to every task, may hold; more items are taken in parts.
+#: UTF-8 bytes of item text that one index, which goes to every task, may hold; more items take more passes over the documents.
 INDEX_BYTES = 16_000_000
 BLOCK_CHARS = 1_000_000
 
@@ -97,20 +99,46 @@ def wand(lists: list[tuple[list[tuple[int, float]], float]], threshold: float) -
     return out
 
 
+@dataclass
+class Statistics:
+    """BM25's figures over all items, however many indexes hold them; ``df`` may be that of an index's own terms alone."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+    @staticmethod
+    def of(texts: list[str]) -> Statistics:
+        words, item = terms(texts)
+        length = np.bincount(item, minlength=len(texts))
+        return Statistics(len(texts), float(length.mean()) if len(texts) else 0.0, int(length.max(initial=0)), Counter(t for t, _ in set(zip(words.tolist(), item.tolist(), strict=True))))
+
+
+_HELD: dict[str, Index] = {}
+
+
+def _index(name: str, ids: list, texts: list[str], statistics: Statistics) -> Index:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Index(ids, texts, statistics, name)
+    return _HELD[name]
+
+
 class Index:
     """Postings with impacts relative to each item's own score, in blocks of items."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids, self.texts = list(ids), list(texts)
+    def __init__(self, ids: list, texts: list[str], statistics: Statistics | None = None, name: str | None = None):
+        self.ids, self.texts, self.name = list(ids), list(texts), name or uuid.uuid4().hex
+        self.statistics = statistics or Statistics.of(self.texts)
 
-    def __getstate__(self):
-        # tasks build the index anew from the texts, which are smaller
-        return {"ids": self.ids, "texts": self.texts}
+    def __reduce__(self):
+        # tasks build the index anew from the texts, which are smaller; a worker keeps the one it built last
+        return _index, (self.name, self.ids, self.texts, self.statistics)
 
-    @cached_property
+    @property
     def width(self) -> int:
-        _, doc = terms(self.texts)
-        return max(LEAST_WORDS, int(np.bincount(doc).max()) if len(doc) else 0)
+        return max(LEAST_WORDS, self.statistics.longest)
 
     @cached_property
     def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -120,19 +148,18 @@ class Index:
     def built(self) -> tuple:
         words, item = terms(self.texts)
         n, length = len(self.texts), np.bincount(item, minlength=len(self.texts))
-        mean = max(length.mean() if n else 0, 1)
+        mean, df, all_ = max(self.statistics.mean, 1), self.statistics.df, self.statistics.n
         tf = Counter(zip(words.tolist(), item.tolist(), strict=True))
-        df = Counter(t for t, _ in tf)
         impact, own = {}, defaultdict(float)
         for (t, i), k in tf.items():
-            impact[t, i] = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * length[i] / mean))
+            impact[t, i] = math.log(1 + (all_ - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * length[i] / mean))
             own[i] += impact[t, i]
         postings: dict[int, list] = defaultdict(list)
         for (t, i), v in sorted(impact.items(), key=lambda x: x[0][1]):
             postings[t].append((i, v / own[i]))
         # the most frequent terms are non-essential, as long as no item collects more than SPARE from them
         spent, spare = np.zeros(n), set()
-        for t in sorted(df, key=lambda t: (-df[t], t)):
+        for t in sorted(postings, key=lambda t: (-df[t], t)):
             after = spent.copy()
             for i, v in postings[t]:
                 after[i] += v
@@ -207,62 +234,103 @@ class Index:
         return np.unique(span if n < 2 else span[:-1] + span[1:])
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """The items as indexes of INDEX_BYTES at most each, by a hash of the id.
+def _item_terms(rows: DataFrame) -> DataFrame:
+    """``part, item, text, length, term``: each distinct term of every item with words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for part, text in zip(batch["part"], batch["text"], strict=True):
+                words = terms([text])[0]
+                out += [(part, len(words), t) for t in np.unique(words).view(np.int64).tolist()]
+            yield pd.DataFrame(out, columns=["part", "length", "term"]).astype("int64")
+
+    return rows.select("part", "text").mapInPandas(run, "part long, length long, term long")
+
+
+def indexes(items: DataFrame, index_bytes: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The items as indexes of about ``index_bytes`` each, one after another, by a hash of id and text.
 
-    Items without words can't leak.  BM25's statistics are those of an index.
+    Items without words can't leak.  The statistics are those of all items: frequencies come from a grouped
+    aggregation, of which an index takes those of its own terms.
     """
     rows = only(items, item=id_col, text=text_col).select(F.col("item").cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // INDEX_BYTES))
-    out = []
+    parts = max(1, -(-size // index_bytes))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"length": np.bincount(terms(batch["text"].tolist())[1], minlength=len(batch)).astype(np.int64)})
+
+    n, mean, longest = rows.select("text").mapInPandas(lengths, "length long").where("length > 0").agg(F.count(F.lit(1)), F.avg("length"), F.max("length")).first()
+    if not n:
+        return
+    spread = materialise(_item_terms(rows).groupBy("part", "term").agg(F.count(F.lit(1)).alias("n")), "decontam-terms")
+    df = materialise(spread.groupBy("term").agg(F.sum("n").alias("df")), "decontam-df")
     for k in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).orderBy("item", "text").collect()
-        own = [r for r in own if len(terms([r["text"]])[0])]
+        own = [r for r in rows.where(F.col("part") == k).select("item", "text").orderBy("item", "text").collect() if len(terms([r["text"]])[0])]
         if own:
-            out.append(Index([r["item"] for r in own], [r["text"] for r in own]))
-    return out
+            counts = spread.where(F.col("part") == k).join(df, "term").select("term", "df").toPandas()
+            frequency = dict(zip(counts["term"].to_numpy(dtype=np.int64).view(np.uint64).tolist(), counts["df"].tolist(), strict=True))
+            yield Index([r["item"] for r in own], [r["text"] for r in own], Statistics(n, float(mean), int(longest), frequency))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: one row for each document and item that leaked into it.
 
     Every passage of every whole text is a query and all items above the threshold are retrieved; clean documents
     give no rows, nor do null and empty texts.  Repeated rows give repeated results; items of equal text are found
     alike; an empty table on either side gives no rows; other columns are ignored.
     """
-    found = indexes(items)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = zip(batch["doc_id"], [t if isinstance(t, str) else "" for t in batch["text"]], strict=True)
-            for some in blocks(rows, lambda r: len(r[1]), BLOCK_CHARS):
-                out = []
-                for index in found:
+    def searched(index: Index) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = zip(batch["doc_id"], [t if isinstance(t, str) else "" for t in batch["text"]], strict=True)
+                for some in blocks(texts, lambda r: len(r[1]), BLOCK_CHARS):
                     most: dict[tuple[int, int], tuple] = {}
                     for d, item, *values in index.search([t for _, t in some]):
                         most[d, item] = max(most.get((d, item), (0.0,)), tuple(values))
-                    out += [(None if pd.isna(some[d][0]) else int(some[d][0]), index.ids[item], *v) for (d, item), v in most.items()]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
-
-    rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, schema)
-
-
-def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text no item leaked into; no shuffle."""
-    found = indexes(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            keep, begin = np.ones(len(texts), dtype=bool), 0
-            for some in blocks(texts, len, BLOCK_CHARS):
-                for index in found:
+                    out = [(None if pd.isna(some[d][0]) else int(some[d][0]), index.ids[item], *v) for (d, item), v in most.items()]
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+
+        return rows.mapInPandas(run, schema)
+
+    found, before = None, None
+    for index in indexes(items, index_bytes):
+        if before is not None:
+            # another pass follows: this one's hits are written, and its index can go
+            written = materialise(searched(before), "decontam-found")
+            found = written if found is None else found.unionByName(written)
+        before = index
+    if before is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    last = searched(before)
+    return last if found is None else found.unionByName(last)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text no item leaked into; no shuffle, one pass for each index."""
+
+    def kept(docs: DataFrame, index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(text_col).to_pylist()]
+                keep, begin = np.ones(len(texts), dtype=bool), 0
+                for some in blocks(texts, len, BLOCK_CHARS):
                     for d, *_ in index.search(some):
                         keep[begin + d] = False
-                begin += len(some)
-            yield batch.filter(pa.array(keep))
+                    begin += len(some)
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    before = None
+    for index in indexes(items, index_bytes):
+        if before is not None:
+            docs = materialise(kept(docs, before), "decontam-kept")
+        before = index
+    return docs if before is None else kept(docs, before)
