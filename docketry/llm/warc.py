@@ -53,14 +53,18 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", payload_co
     Of equal payloads of at least ``min_bytes`` the row with the smallest id is a response and the others are
     revisits; rows that repeat that id are responses too, since a record can't revisit itself.  A null id sorts
     last: it revisits the group's smallest id, or is a response where there is none.  Null payloads are empty.
+    Record ids are unique: those of null and repeated row ids take the row's place in the write as well, so a revisit
+    of such a row names it by address alone.
     """
     headers = _headers(df, id_col, payload_col, uri_col)
     first = first_records(headers.select("row_id", "uri", "digest", "bytes"), min_bytes)
-    rows = headers.join(first, "digest", "left")
+    repeated = materialise(headers.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND row_id IS NOT NULL").select("row_id", F.lit(True).alias("again")), "warc-repeated")
+    first = first.join(repeated.select(F.col("row_id").alias("first_id"), F.col("again").alias("first_again")), "first_id", "left")
+    rows = headers.join(first, "digest", "left").join(repeated, "row_id", "left")
     revisit = F.col("first_id").isNotNull() & (F.col("bytes") >= min_bytes) & ~F.col("row_id").eqNullSafe(F.col("first_id"))
 
-    def urn(c):
-        x = F.md5(F.concat(F.lit("record "), F.coalesce(c.cast("string"), F.lit(""))))
+    def urn(c, place=None):
+        x = F.md5(F.concat_ws(" ", F.lit("record"), c.cast("string"), *([] if place is None else [place])))
         return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(x, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
     def lines(*parts):
@@ -70,10 +74,10 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", payload_co
         return F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")))
 
     http = lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", field("Content-Length", F.col("bytes")), "", "")
-    common = [field("WARC-Record-ID", urn(F.col("row_id"))), f"WARC-Date: {date}", field("WARC-Target-URI", F.col("uri")), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), field("X-Row-ID", F.col("row_id"))]
+    common = [field("WARC-Record-ID", urn(F.col("row_id"), F.when(F.col("row_id").isNull() | F.col("again"), F.concat(F.lit("place "), F.monotonically_increasing_id().cast("string"))))), f"WARC-Date: {date}", field("WARC-Target-URI", F.col("uri")), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), field("X-Row-ID", F.col("row_id"))]
     kind = "Content-Type: application/http; msgtype=response"
     response = F.concat(lines("WARC/1.1", "WARC-Type: response", *common, kind, field("Content-Length", F.octet_length(http) + F.col("bytes")), "", ""), http, F.col("payload"))
-    again = F.concat(lines("WARC/1.1", "WARC-Type: revisit", f"WARC-Profile: {PROFILE}", *common, field("WARC-Refers-To", urn(F.col("first_id"))), field("WARC-Refers-To-Target-URI", F.col("first_uri")), field("X-Refers-To-Row-ID", F.col("first_id")), kind, field("Content-Length", F.octet_length(http)), "", ""), http)
+    again = F.concat(lines("WARC/1.1", "WARC-Type: revisit", f"WARC-Profile: {PROFILE}", *common, F.when(F.col("first_again").isNull(), field("WARC-Refers-To", urn(F.col("first_id")))), field("WARC-Refers-To-Target-URI", F.col("first_uri")), field("X-Refers-To-Row-ID", F.col("first_id")), kind, field("Content-Length", F.octet_length(http)), "", ""), http)
     # two line ends close a record, so they serve as the text sink's separator
     rows.select(F.when(revisit, again).otherwise(response).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
