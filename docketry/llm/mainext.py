@@ -21,7 +21,7 @@ from docketry.llm.common import only, text_or_empty
 
 # Element names of HTML.
 #: Elements whose content is never text.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas video audio map head title textarea select option datalist button".split())
+DROPPED = frozenset("script style noscript template svg iframe object canvas video audio map head title textarea select option datalist button".split())
 #: Elements whose content stands beside an article.
 ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 #: Elements that begin and end blocks.
@@ -37,11 +37,13 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored sponsors promo promoted promotion promotions"
     " nav navbar navigation menu menus breadcrumb breadcrumbs crumbs pagination pager toolbar topbar"
     " sidebar sidebars rail widget widgets related recommended recommendations trending popular teaser"
-    " footer foot masthead"
+    " footer masthead"
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay disclaimer paywall"
     " comment comments commentlist respond reply replies discussion disqus"
     " share sharing social subscribe subscription newsletter signup login signin search searchbox contentinfo complementary dialog alertdialog".split()
 )
+# Words that turn such a word into a remark on the layout, as in "has-sidebar" or "ad-free".
+LAYOUT = frozenset("has have with without no not non free is".split())
 # Frequent function words of English, German, Spanish and French.
 STOP_WORDS = frozenset(
     "the of and to a in is it that for was are be with as on by this from at or an not which have has had were but they you we his her she he their its if will would can"
@@ -51,11 +53,13 @@ STOP_WORDS = frozenset(
 )
 #: Characters from which a block is long, and below which it is short.
 LONG, SHORT = 200, 70
+#: A container with this share of the page's text is no notice or sidebar, whatever its name.
+WHOLE = 0.9
 STOP_HIGH, STOP_LOW = 0.30, 0.10
 LINKS = 0.4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^"'<>]++|"[^"]*"|'[^']*')*+)>|<[!?][^<>]*>""", re.DOTALL)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -70,43 +74,125 @@ class Block:
     label: str = field(default="")
 
 
-def _is_noise(attributes: str) -> bool:
-    for name, value in _MARK.findall(attributes):
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its class, id or role names it as something beside the article."""
+    hidden = named = False
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _NO_DISPLAY.search(value)):
-            return True
-        if name in ("class", "id", "role") and not NOISE.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                named = named or not (NOISE.isdisjoint(words) or words & LAYOUT)
+    return hidden, named
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order.  Tags left open or closed wrongly end with the element around them."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, whether noise from here on, number of its article
-    text: list[str] = []
-    state = {"links": 0, "heading": False}
-    depth_a = sections = 0
-    at = 0
-
-    def close() -> None:
-        joined = " ".join("".join(text).split())
+class _Reader:
+    """Cuts a page into blocks.  Tags left open or closed wrongly end with the element around them."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        #: Of the block: innermost container whose name marks it, or -1.
+        self.held_by: list[int] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # element, whether it stands aside from here on, number of its article, marked container
+        #: Of marked containers: the one around it, whether it holds an article, characters of its own blocks.
+        self.around: list[int] = []
+        self.has_article: list[bool] = []
+        self.text: list[str] = []
+        self.links, self.heading, self.in_links, self.sections = 0, False, 0, 0
+        #: An inline element whose text is left out, and how deep elements of its name are open in it.
+        self.muted: tuple[str, int] | None = None
+
+    def close(self) -> None:
+        joined = " ".join("".join(self.text).split())
         if joined:
-            top = stack[-1] if stack else ("", False, 0)
-            out.append(Block(joined, state["links"], state["heading"], top[2], top[1]))
-        text.clear()
-        state.update(links=0, heading=False)
+            _, aside, section, mark = self.stack[-1] if self.stack else ("", False, 0, -1)
+            self.blocks.append(Block(joined, self.links, self.heading, section, aside))
+            self.held_by.append(mark)
+        self.text.clear()
+        self.links, self.heading = 0, False
 
-    def say(raw: str) -> None:
-        if raw:
+    def say(self, raw: str) -> None:
+        if raw and not self.muted:
             plain = html.unescape(raw)
-            text.append(plain)
-            if depth_a:
-                state["links"] += len(" ".join(plain.split()))
+            self.text.append(plain)
+            if self.in_links:
+                self.links += len(" ".join(plain.split()))
+
+    def start(self, name: str, attributes: str, closed: bool) -> None:
+        if self.muted and name == self.muted[0] and not closed:
+            self.muted = (name, self.muted[1] + 1)
+        if name == "br" and not self.muted:
+            self.text.append(" ")
+        elif name == "a":
+            self.in_links += 1
+        elif name in BLOCK:
+            self.close()
+            if name == "p" and self.stack and self.stack[-1][0] == "p":
+                self.stack.pop()
+            self.heading = name in HEADING
+            if name not in VOID and not closed:
+                _, aside, section, mark = self.stack[-1] if self.stack else ("", False, 0, -1)
+                hidden, named = _marks(attributes) if attributes else (False, False)
+                if name in SECTION:
+                    self.sections += 1
+                    section = self.sections
+                    if mark >= 0:
+                        self.has_article[mark] = True
+                if named and name not in ("html", "body", "article", "main"):
+                    self.around.append(mark)
+                    self.has_article.append(False)
+                    mark = len(self.around) - 1
+                self.stack.append((name, aside or hidden or name in ASIDE or (name == "header" and not section), section, mark))
+        elif attributes and name not in VOID and not closed and not self.muted and any(_marks(attributes)):
+            self.muted = (name, 1)
+
+    def end(self, name: str) -> None:
+        if self.muted and name == self.muted[0]:
+            self.muted = (name, self.muted[1] - 1) if self.muted[1] > 1 else None
+        if name == "a":
+            self.in_links = max(0, self.in_links - 1)
+        if name in BLOCK:
+            self.close()
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] == name:
+                    del self.stack[k:]
+                    # an inline element left open ends here too
+                    self.muted = None
+                    break
+                if self.stack[k][0] in SECTION and name not in SCOPES:
+                    break
+
+    def finish(self) -> list[Block]:
+        """The blocks; a container's name counts against what is in it, unless it holds an article or nearly all of the page's text."""
+        self.close()
+        size = [0] * len(self.around)
+        total = 0
+        for block, mark in zip(self.blocks, self.held_by, strict=True):
+            if not block.noise:
+                total += len(block.text)
+                if mark >= 0:
+                    size[mark] += len(block.text)
+        # containers come before those inside them
+        for k in range(len(self.around) - 1, -1, -1):
+            if (up := self.around[k]) >= 0:
+                size[up] += size[k]
+                self.has_article[up] = self.has_article[up] or self.has_article[k]
+        beside: list[bool] = []
+        for k, up in enumerate(self.around):
+            beside.append((up >= 0 and beside[up]) or not (self.has_article[k] or size[k] >= WHOLE * total))
+        for block, mark in zip(self.blocks, self.held_by, strict=True):
+            block.noise = block.noise or (mark >= 0 and beside[mark])
+        return self.blocks
 
+
+def blocks_of(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    reader, at = _Reader(), 0
     while at < len(page):
         m = _TOKEN.search(page, at)
-        say(page[at : m.start()] if m else page[at:])
+        reader.say(page[at : m.start()] if m else page[at:])
         if not m:
             break
         at = m.end()
@@ -114,51 +200,19 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            if name == "a":
-                depth_a = max(0, depth_a - 1)
-            if name in BLOCK:
-                close()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SECTION and name not in SCOPES:
-                        break
-            continue
-        if name in DROPPED and name not in ("head", "title"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            # content left open runs to the end, as it does in a browser
-            at = end.end() if end else len(page)
-            text.append(" ")
-            continue
-        if name in ("head", "title"):
-            if name == "title":
-                end = re.compile(r"</title\s*>|<body\b", re.IGNORECASE).search(page, at)
-                at = (end.end() if end[0][1] == "/" else end.start()) if end else len(page)
-            continue
-        if name == "br":
-            text.append(" ")
-        elif name == "a":
-            depth_a += 1
-        elif name in BLOCK:
-            close()
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in HEADING:
-                state["heading"] = True
-            if name not in VOID and not m[3].rstrip().endswith("/"):
-                _, noise, section = stack[-1] if stack else ("", False, 0)
-                if name in SECTION:
-                    sections += 1
-                    section = sections
-                beside = name in ASIDE or (name == "header" and not section)
-                stack.append((name, noise or beside or (name not in ("html", "body", "article", "main") and bool(m[3]) and _is_noise(m[3])), section))
-        elif m[3] and name not in VOID and _is_noise(m[3]):
-            # an inline element that is marked as noise: leave its text out
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else at
-    close()
-    return out
+            reader.end(name)
+        elif name == "title":
+            end = re.compile(r"</title\s*>|<body\b", re.IGNORECASE).search(page, at)
+            at = (end.end() if end[0][1] == "/" else end.start()) if end else len(page)
+        elif name in DROPPED:
+            if name != "head":
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                # content left open runs to the end, as it does in a browser
+                at = end.end() if end else len(page)
+                reader.text.append(" ")
+        else:
+            reader.start(name, m[3], m[3].rstrip().endswith("/"))
+    return reader.finish()
 
 
 def classify(blocks: list[Block]) -> None:
