@@ -114,10 +114,14 @@ def pages_as_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
 
 
-def documents_as_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``id, host, declared, suffix, text`` of documents: the source stands for the host, and there is no address."""
-    rows = only(docs, id=id_col, text=text_col, lang=lang_col, source=source_col)
-    return rows.select(F.col("id").cast("long").alias("id"), F.lower(text_or_empty("source")).alias("host"), F.lower(F.substring(F.trim(text_or_empty("lang")), 1, 2)).alias("declared"), F.lit("").alias("suffix"), text_or_empty("text").alias("text"))
+def documents_as_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str | None = None) -> DataFrame:
+    """``id, host, declared, suffix, text`` of documents: the source stands for the host, and there is no address.
+
+    A declared language (``lang_col``) is evidence only where it hasn't trained the trigram table; by default there is none.
+    """
+    rows = only(docs, id=id_col, text=text_col, source=source_col, **({"lang": lang_col} if lang_col else {}))
+    declared = F.lower(F.substring(F.trim(text_or_empty("lang")), 1, 2)) if lang_col else F.lit("")
+    return rows.select(F.col("id").cast("long").alias("id"), F.lower(text_or_empty("source")).alias("host"), declared.alias("declared"), F.lit("").alias("suffix"), text_or_empty("text").alias("text"))
 
 
 def _evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
