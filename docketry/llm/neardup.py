@@ -27,7 +27,7 @@ MINIMA = 2 * SUB * PER
 #: Of the minima so many must agree before full sets are compared; at similarity 0.8 a pair misses this with probability 0.0001.
 AGREE = 22
 BLOCK_CHARS = 1_000_000
-#: Members of a bucket up to which its pairs are formed; larger ones are searched in blocks.
+#: Members of a bucket up to which its pairs are formed, AGREE first; larger ones are searched in blocks, on full sets alone.
 SMALL = 32
 #: Shingles of one block.
 BLOCK_SHINGLES = 400_000
@@ -209,7 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         start = collection * SUB * PER
         return F.array(*[F.xxhash64(F.lit(start + i), *[F.col("minima")[start + i * PER + t] for t in range(PER)]) for i in range(SUB)])
 
-    halves = classes.select("node", F.posexplode(sub_key(0)).alias("i", "x"), sub_key(1).alias("ys")).select("node", "i", "x", F.posexplode("ys").alias("j", "y"))
+    # few small files hold the classes: dealt anew, so that all tasks share the keys
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = classes.select("node", sub_key(0).alias("xs"), sub_key(1).alias("ys")).repartition(tasks, "node")
+    halves = dealt.select("node", F.posexplode("xs").alias("i", "x"), "ys").select("node", "i", "x", F.posexplode("ys").alias("j", "y"))
     rows = halves.select("node", F.xxhash64("i", "x", "j", "y").alias("key"))
     shared = materialise(rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-keys")
     members = materialise(rows.join(shared, "key"), "neardup-members")
