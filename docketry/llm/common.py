@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset on a local master."""
     path, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not path and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="docketry-"))
     return path or context.getCheckpointDir()
