@@ -40,3 +40,32 @@ def test_tokens_are_decoded(spark):
     # this vocabulary's decoder sets words apart by their end marks
     (row,) = corpus_pipeline.tokens(spark, docs, "").collect()
     assert row.doc_id == 1 and row.ids and "".join(row.decoded.split()).replace("</w>", "") == A.replace(" ", "")
+
+
+def test_run_keeps_clean_rows(spark, tmp_path):
+    """All stages over a small folder with nulls, repeated ids and extra columns, and over an empty table."""
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    odd = spark.createDataFrame([(-1, A, "en", "s"), (-1, None, None, None), (None, "", "en", "s"), (-1, "Ελληνικά " * 60, "en", "s")], DOCS)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(odd)
+    both.withColumn("row_key2", both["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows and all(r.doc_id in texts or r.doc_id in (-1, None) for r in rows)
+    kept = {r.doc_id for r in rows if r.doc_id in texts}
+    assert len(kept) == len([r for r in rows if r.doc_id in texts])
+    # brute force: of what quality and language keep, one of each group stays, and none that holds a benchmark item
+    stage = both
+    for step in (corpus_pipeline.quality_classifier, corpus_pipeline.language_id):
+        stage = step(spark, stage, str(tmp_path))
+    left = [(r.doc_id, r.text) for r in stage.collect() if r.doc_id in texts]
+    alike = {i for i, _ in brute(left)}
+    items = [r.text for r in spark.read.parquet(f"{source}/benchmark.parquet").collect()]
+    assert kept <= alike and all(not any(x in texts[i] for x in items) for i in kept)
+    assert len(kept) >= 0.9 * len([i for i in alike if not any(x in (texts[i] or "") for x in items)])
+    empty = tmp_path / "none"
+    for name in ("labels", "benchmark", "documents"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
