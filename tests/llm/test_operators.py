@@ -417,7 +417,25 @@ def test_held_out_accuracy(spark, odd, none):
     assert quality.only_good(odd, model).columns == odd.columns and quality.score_quality(none, model).count() == 0
 
 
+def test_fit_is_the_optimum():
+    """The pairwise logistic loss, written out, rises from the fitted weights in every direction."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "BUY", "now!!", "on"], 40, p=p)) for p in ([0.3, 0.2, 0.2, 0.05, 0.05, 0.2], [0.2, 0.1, 0.1, 0.25, 0.25, 0.1]) for _ in range(60)]
+    x, good = quality.features(texts), np.repeat([1, 0], 60)
+    model = quality.fit_pairs(x, good, pairs=3000)
+    z, pairs = quality.standard(x, model.mean, model.scale), np.random.default_rng(7)
+    diff = z[pairs.choice(np.flatnonzero(good == 1), 3000)] - z[pairs.choice(np.flatnonzero(good == 0), 3000)]
+    loss = lambda w: np.mean([math.log1p(math.exp(-d)) for d in diff @ w]) + 0.5e-3 * (w @ w)
+    least = loss(model.weight)
+    for k in range(0, len(model.weight), 7):
+        for by in (-1e-2, 1e-2):
+            other = model.weight.copy()
+            other[k] += by
+            assert loss(other) > least
+    assert quality.features(["x", ""]).shape == quality.features(texts[:2]).shape and quality.features([]).shape[1] == x.shape[1]
+
+
 def test_training_without_labels(spark, none):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     model = quality.train_quality(none, labels)
-    assert quality.features([]).shape == (0, len(quality.NAMES)) and (model.score(quality.features(["x"])) >= quality.CUT).all()
+    assert quality.features([]).shape[0] == 0 and (model.score(quality.features(["x"])) >= quality.CUT).all()
