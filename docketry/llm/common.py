@@ -34,12 +34,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docketry/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one computation, written to the shared folder; ``drop`` removes those that nothing will read again."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it again, as ``materialise`` does."""
+        self.paths.append(new_path(self.spark, label))
+        return _written(df, self.paths[-1])
+
+    def drop(self, but: int = 0) -> None:
+        """Remove the tables, all but the last ``but``; what was made from them has been written by then."""
+        gone = self.paths[: len(self.paths) - but]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and gives the optimizer the true size."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_path(df.sparkSession, label))
 
 
 def text_or_empty(column: str):

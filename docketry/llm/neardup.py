@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD_BASE, blocks, hash_words, joined, materialise, mix64, only, word_spans
+from docketry.llm.common import WORD_BASE, Scratch, blocks, hash_words, joined, materialise, mix64, only, word_spans
 
 SUB, PER = 10, 2
 MINIMA = 2 * SUB * PER
@@ -124,18 +124,21 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``id, component``: the smallest id each node can reach over ``edges(a, b)``.
 
     Nodes take the smallest label among their neighbours, then the label of that label; every round is written
-    to the shared folder.  Rounds end when no label falls.
+    to the shared folder, and its predecessor removed.  Rounds end when no label falls.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), label)
+    edge, rounds = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    both = edge.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
+    labels = rounds.write(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), label)
     while True:
         heard = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "id", "left").select("id", "component", F.least("component", F.coalesce("heard", "component")).alias("next"))
-        lower = materialise(lower, label)
+        lower = rounds.write(lower, label)
         jump = lower.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = materialise(lower.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "component"), label)
+        new = rounds.write(lower.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "component"), label)
+        rounds.drop(but=1)
         labels = new.select("id", F.col("now").alias("component"))
         if new.where("now < component").isEmpty():
+            edge.drop()
             return labels
 
 
@@ -145,21 +148,22 @@ def _searched(large: DataFrame, sets_of, classes: DataFrame, percent: int) -> Da
     Buckets that share members make a cluster.  Its queries are the members outside its largest component; they are
     held against all its members, block by block, with exact intersections.  Blocks hold BLOCK_SHINGLES.
     """
+    scratch = Scratch(large.sparkSession)
     # a node lies in one bucket of each table at most, so its set of first members is no longer than there are tables
     nodes = large.groupBy("node").agg(F.min("component").alias("component"), F.collect_set("first").alias("firsts")).withColumn("low", F.array_min("firsts"))
-    nodes = materialise(nodes, "neardup-large")
+    nodes = scratch.write(nodes, "neardup-large")
     meet = nodes.select(F.col("low").alias("a"), F.explode("firsts").alias("b")).where("a < b").distinct()
     clusters = components(meet, "neardup-clusters").select(F.col("id").alias("low"), F.col("component").alias("cluster"))
     placed = nodes.select("node", "component", "low").join(clusters, "low", "left").select("node", "component", F.coalesce("cluster", "low").alias("cluster"))
-    placed = materialise(placed.join(classes.select("node", "n"), "node"), "neardup-placed")
+    placed = scratch.write(placed.join(classes.select("node", "n"), "node"), "neardup-placed")
     sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     whole = sizes.groupBy("cluster").agg(F.max_by("component", "m").alias("main"), F.sum("n").alias("all"))
     parts = whole.join(sizes, "cluster").groupBy("cluster", "main", "all").agg(F.sum(F.when(F.col("component") != F.col("main"), F.col("n")).otherwise(0)).alias("asked"))
     count = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int").alias(f"{c}_blocks")
-    parts = materialise(parts.where("asked > 0").select("cluster", "main", count("all"), count("asked")), "neardup-parts")
+    parts = scratch.write(parts.where("asked > 0").select("cluster", "main", count("all"), count("asked")), "neardup-parts")
     rows = placed.join(parts, "cluster")
     sets = sets_of(rows.select("node")).dropDuplicates(["node"])
-    rows = materialise(rows.join(sets, "node"), "neardup-rows")
+    rows = scratch.write(rows.join(sets, "node"), "neardup-rows")
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(f"{c}_blocks")).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}_blocks") - 1))
     held = rows.select("cluster", "node", "component", "members", F.lit(False).alias("asks"), own("all").alias("x"), each("asked").alias("y"))
@@ -186,7 +190,9 @@ def _searched(large: DataFrame, sets_of, classes: DataFrame, percent: int) -> Da
                     out.append((q, node[hit[component[hit] == other][0]]))
         return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"]).astype("int64")
 
-    return materialise(held.unionByName(asking).groupBy("cluster", "x", "y").applyInPandas(search, "a long, b long"), "neardup-found")
+    found = materialise(held.unionByName(asking).groupBy("cluster", "x", "y").applyInPandas(search, "a long, b long"), "neardup-found")
+    scratch.drop()
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -215,8 +221,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = classes.select("node", sub_key(0).alias("xs"), sub_key(1).alias("ys")).repartition(tasks, "node")
     halves = dealt.select("node", F.posexplode("xs").alias("i", "x"), "ys").select("node", "i", "x", F.posexplode("ys").alias("j", "y"))
     rows = halves.select("node", F.xxhash64("i", "x", "j", "y").alias("key"))
-    shared = materialise(rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-keys")
-    members = materialise(rows.join(shared, "key"), "neardup-members")
+    buckets = Scratch(spark)
+    shared = buckets.write(rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-keys")
+    members = buckets.write(rows.join(shared, "key"), "neardup-members")
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
     agree = "size(filter(zip_with(x.minima, y.minima, (p, q) -> p = q), s -> s))"
@@ -224,22 +231,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of the pairs those whose full sets are alike: sketches first, then sets."""
+        scratch = Scratch(spark)
         sketch = classes.select("node", "n", "minima")
         near = pairs.alias("p").join(sketch.alias("x"), F.expr("p.a = x.node")).join(sketch.alias("y"), F.expr(f"p.b = y.node AND {fits}"))
-        near = materialise(near.where(f"{agree} >= {AGREE}").select("p.a", "p.b"), "neardup-near")
+        near = scratch.write(near.where(f"{agree} >= {AGREE}").select("p.a", "p.b"), "neardup-near")
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         sets = _full_sets(classes.select("node", "id", "set_key").join(wanted, "node").join(docs, "id"), words)
-        sets = materialise(sets.groupBy("node").agg(F.first("members").alias("members")) if repeated else sets, "neardup-sets")
+        sets = scratch.write(sets.groupBy("node").agg(F.first("members").alias("members")) if repeated else sets, "neardup-sets")
         full = near.alias("p").join(sets.alias("x"), F.expr("p.a = x.node")).join(sets.alias("y"), F.expr("p.b = y.node"))
         full = full.select("p.a", "p.b", F.size("x.members").alias("nx"), F.size("y.members").alias("ny"), F.size(F.array_intersect("x.members", "y.members")).alias("both"))
-        return materialise(full.where(f"100L * both >= {percent}L * (nx + ny - both)").select("a", "b"), "neardup-linked")
+        found = materialise(full.where(f"100L * both >= {percent}L * (nx + ny - both)").select("a", "b"), "neardup-linked")
+        scratch.drop()
+        return found
 
     edges = linked(pairs)
     labels = components(edges).withColumnRenamed("id", "node")
     # buckets of two have been compared in full; of the others those count that reach over several components
     open_ = members.where("size > 2").join(labels, "node", "left").select("key", "first", "node", "size", F.coalesce("component", "node").alias("component"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = materialise(open_.join(materialise(mixed, "neardup-mixed"), "key"), "neardup-open")
+    open_ = materialise(open_.join(buckets.write(mixed, "neardup-mixed"), "key"), "neardup-open")
+    buckets.drop()
     more = []
     few = open_.where(f"size <= {SMALL} AND node <> first")
     new = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.component < y.component")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
