@@ -123,8 +123,8 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``id, component``: the smallest id each node can reach over ``edges(a, b)``.
 
-    Nodes take the smallest label among their neighbours, then the label of that label; every round is written
-    to the shared folder, and its predecessor removed.  Rounds end when no label falls.
+    Nodes take the smallest label among their neighbours, then the label that the round before gave to that label;
+    every round is one table in the shared folder, and its predecessor is removed.  Rounds end when no label falls.
     """
     edge, rounds = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
     both = edge.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
@@ -132,8 +132,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while True:
         heard = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "id", "left").select("id", "component", F.least("component", F.coalesce("heard", "component")).alias("next"))
-        lower = rounds.write(lower, label)
-        jump = lower.select(F.col("id").alias("next"), F.col("next").alias("far"))
+        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
         new = rounds.write(lower.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "component"), label)
         rounds.drop(but=1)
         labels = new.select("id", F.col("now").alias("component"))
