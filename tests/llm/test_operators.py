@@ -2,12 +2,14 @@ import hashlib
 import html.parser
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docketry.llm import bpe, chat, decontam, images, langid, mainext, quality, sharding, warc
@@ -62,6 +64,45 @@ def test_permutation_and_inverse(spark, n):
     assert sorted(r.p for r in rows) == list(range(n)) and all(r.id == r.back for r in rows)
 
 
+def hashed(*values):
+    """Spark's xxhash64 of longs and ints (pairs of a value and its format); nulls leave the hash as it is."""
+    h = 42
+    for v, form in values:
+        h = h if v is None else xxhash.xxh64(struct.pack(form, v), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def placed(x, n, seed):
+    """The permutation in plain Python: passes of the network until the place lies below n."""
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = -(-n // a)
+    while True:
+        left, right = divmod(x, b)
+        for r in range(sharding.ROUNDS):
+            if r % 2 == 0:
+                left = (left + hashed((right, "<q"), (r, "<i"), (seed, "<i")) % a) % a
+            else:
+                right = (right + hashed((left, "<q"), (r, "<i"), (seed, "<i")) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+def test_shards_are_recomputed(spark, odd):
+    """Row numbers, places, shards and slots of all rows against plain Python, and the closed formulas both ways."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    frame = docs.unionByName(odd.select("doc_id", "text"))
+    keys = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in frame.collect()]
+    keys.sort(key=lambda k: (hashed(*[(v, "<q") for v in k]) % 4096, k[0] is not None, k))
+    n = len(keys)
+    want = Counter((*k, i, placed(i, n, 5) % 7, placed(i, n, 5) // 7) for i, k in enumerate(keys))
+    got = sharding.feistel_shards(frame, n_shards=7, seed=5)
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.row_number, r.shard, r.slot) for r in got.collect()) == want
+    shard, slot = sharding.locate(F.col("row_number"), n, 7, 5)
+    rows = got.select("row_number", "shard", "slot", shard.alias("to_shard"), slot.alias("to_slot"), sharding.row_at(F.col("shard"), F.col("slot"), n, 7, 5).alias("back")).collect()
+    assert all((r.to_shard, r.to_slot, r.back) == (r.shard, r.slot, r.row_number) for r in rows)
+
+
 def test_many_copies_of_one_row(spark):
     frame = spark.range(25_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     rows = sharding.feistel_shards(frame, n_shards=7)
