@@ -74,6 +74,26 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+#: Shares of a table from which on a key counts as hot: at most so many keys reach one in so many rows.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, size: str = "n") -> DataFrame:
+    """``rows`` joined to the one row of ``values`` for their key, which holds in ``size`` how many rows have it.
+
+    Keys of at least one in ``HOT`` rows, no more than ``HOT`` by count, are broadcast: their rows aren't shuffled, so
+    none of them fills a task.  All other keys are joined by a shuffle.  Null keys match each other.
+    """
+    total = values.agg(F.sum(size).alias("n")).first()["n"] or 0
+    is_hot = F.col(size) * HOT >= total
+    side = values.withColumnRenamed(key, "hot_key")
+    match = F.col(key).eqNullSafe(F.col("hot_key"))
+    hot = F.broadcast(side.where(is_hot))
+    few = rows.join(hot, match).drop("hot_key")
+    rest = rows.join(hot.select("hot_key"), match, "left_anti").join(side.where(~is_hot), match).drop("hot_key")
+    return few.unionByName(rest)
+
+
 #: Odd multiplier of the polynomial word hash, modulo 2**64.
 WORD_BASE = 0x9E3779B97F4A7C15
 

@@ -12,6 +12,7 @@ from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
 from docketry.llm.common import new_path, table
 from docketry.llm.decontam import find_leaks
+from docketry.llm.exactdup import exact_groups
 from docketry.llm.images import image_copies, media_of
 from docketry.llm.langid import documents_as_rows, identify, learn, pages_as_rows
 from docketry.llm.mainext import extract_main_text
@@ -84,6 +85,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents grouped by their text without white space, and the one of each group that stays."""
+    return exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("text_digest", "text_sha256").drop("n_chars")
+
+
 def _escaped_sql(column: str) -> str:
     """The template's escapes in SQL.  No control string begins inside another, so one may follow the other."""
     out = f"replace({column}, '\\', '\\\\')"
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_images": op8_images,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op13_exact": op13_exact,
 }
 
 ORACLES: dict[str, str] = {
@@ -136,4 +143,8 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('{TURN}') + length(replace({_escaped_sql("role")}, chr(10), '{BREAK}')) + length('{TEXT}') + length({_escaped_sql("text")}) + length('{END}')) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op13_exact": r"""
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+        r AS (SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM r""",
 }
