@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.bpe import bpe_encode
 from docketry.llm.chat import BREAK, CONTROLS, END, TEXT, TURN, conversation_digests
+from docketry.llm.codes import compress_vectors
 from docketry.llm.common import new_path, table
 from docketry.llm.decontam import find_leaks
 from docketry.llm.exactdup import exact_groups
@@ -20,6 +21,7 @@ from docketry.llm.neardup import near_duplicates
 from docketry.llm.quality import score_quality, train_quality
 from docketry.llm.sharding import feistel_shards
 from docketry.llm.warc import read_archives, resolve_revisits, write_archives
+from docketry.llm.whitening import whiten
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +87,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite embeddings as codes of 16 parts, with their errors."""
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.drop("label").withColumn("codebooks_sha256", F.lit(books.digest()))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite embeddings, whitened along eight components; a deviation too large for a long is null."""
+    white, m, c, error = whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(e) / c.trace) for e in c.values]).cast("array<double>")
+    rows = white.select("vec_id", F.lit(m.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", explained[F.col("place")].alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents grouped by their text without white space, and the one of each group that stays."""
     return exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("text_digest", "text_sha256").drop("n_chars")
@@ -98,6 +114,19 @@ def _escaped_sql(column: str) -> str:
     return out
 
 
+def _assign_sql(r: int) -> str:
+    """CTE ``a{r}``: the nearest entry of codebook ``b{r}`` for every part."""
+    return f"""a{r} AS MATERIALIZED (SELECT vec_id, p, x, j, d FROM (SELECT v.vec_id, v.p, x, j, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+                row_number() OVER (PARTITION BY v.vec_id, v.p ORDER BY d, j) AS nth FROM v JOIN b{r} USING (p)) WHERE nth = 1)"""
+
+
+def _lloyd_sql(r: int) -> str:
+    """CTEs ``a{r}`` and ``b{r + 1}``: assignment, then entries moved to the floored mean."""
+    return f"""{_assign_sql(r)},
+        m{r} AS (SELECT p, j, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, j, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL),
+        b{r + 1} AS MATERIALIZED (SELECT p, j, coalesce(c1, c) AS c FROM b{r} LEFT JOIN (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c1 FROM m{r} GROUP BY ALL) USING (p, j))"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontam": op2_decontam,
@@ -109,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_images": op8_images,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op11_codes": op11_codes,
+    "op12_whitening": op12_whitening,
     "op13_exact": op13_exact,
 }
 
@@ -143,6 +174,14 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('{TURN}') + length(replace({_escaped_sql("role")}, chr(10), '{BREAK}')) + length('{TEXT}') + length({_escaped_sql("text")}) + length('{END}')) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_codes": f"""
+        WITH RECURSIVE e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+        parts AS (SELECT range AS p FROM range(16)), v AS MATERIALIZED (SELECT vec_id, p, list_transform(embedding[1 + p * len(embedding) // 16 : (p + 1) * len(embedding) // 16], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM e, parts),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 64)),
+        {_lloyd_sql(0)}, {_lloyd_sql(1)}, {_assign_sql(2)},
+        s AS (SELECT a.vec_id, label, string_agg(printf('%02x', CAST(j AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 a JOIN e ON e.vec_id = a.vec_id GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) FROM b2) AS codebooks_sha256 FROM s""",
     "op13_exact": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
         r AS (SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size FROM t)
