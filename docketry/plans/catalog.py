@@ -223,9 +223,16 @@ def event_key(spark, sf_dir):
 
 @query(EVENTS + "SELECT pub, string_agg(key, ',' ORDER BY key) AS events FROM k GROUP BY pub")
 def snapshot_build(spark, sf_dir):
-    e = legal(spark, sf_dir)
-    built = snapshots.build_snapshot(e, e.select("pub", F.col("pub").alias("member")))
-    return built.select("pub", F.array_join(F.transform("events", lambda k: F.array_join(k, "|")), ",").alias("events"))
+    built = snapshots.build_snapshot(_status(legal(spark, sf_dir)), _kin(legal(spark, sf_dir)))
+    return built.select("pub", F.array_join(F.transform("snapshot.legal.events", lambda k: F.array_join(k, "|")), ",").alias("events"))
+
+
+def _status(events, at="now"):
+    return snapshots.reported(events).withColumn("fetched_at", F.lit(at))
+
+
+def _kin(events, family_id="f1", members=("m1", "m2"), at="now"):
+    return events.select("pub").distinct().select("pub", F.lit(at).alias("fetched_at"), F.lit(family_id).alias("family_id"), F.array(*map(F.lit, members)).alias("members"))
 
 
 @query(HALVES + f", n AS (SELECT pub, key, pos, row_number() OVER (PARTITION BY pub, key ORDER BY pos) AS nth FROM k WHERE ts >= {HALF}) SELECT n.pub, n.key, n.pos FROM n LEFT JOIN b USING (pub, key) WHERE nth > coalesce(nb, 0)")

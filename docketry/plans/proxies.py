@@ -33,7 +33,7 @@ SHARED = {
     "features": "SELECT 'main' AS target, 'features.jsonl' AS file, CAST(n_nationkey + 1 AS int) AS line, concat('F', CAST(n_nationkey % 20 AS {text})) AS id, CASE n_regionkey WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'other' END AS priority, CASE WHEN n_nationkey % 6 = 0 THEN 'excluded' ELSE 'active' END AS status FROM nation",
     "queries_": "SELECT 'main' AS target, 'queries.jsonl' AS file, CAST(c_custkey AS int) AS line, concat(CASE WHEN c_custkey % 9 = 0 THEN 'q' ELSE 'Q' END, CAST(c_custkey AS {text})) AS id, concat('F', CAST(c_nationkey AS {text})) AS feature, concat('2024010', CAST(c_custkey % 6 AS {text}), '-0001') AS run, CASE WHEN c_custkey % 7 = 0 THEN 'ta=x and PD within 1' ELSE c_mktsegment END AS cql, c_mktsegment AS segment, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'rejected' WHEN c_custkey % 10 = 2 THEN 'kept' ELSE 'adopted' END AS status, CASE WHEN c_custkey % 8 = 0 THEN '2024' ELSE 'all' END AS win FROM customer",
     "families": "SELECT 'main' AS target, 'families.jsonl' AS file, CAST(p_partkey AS int) AS line, CAST(p_partkey AS {text}) AS family_id, CASE p_partkey % 11 WHEN 0 THEN concat('EP', CAST(p_partkey AS {text}), 'A1') WHEN 1 THEN 'not a number' ELSE concat('EP.', CAST(p_partkey AS {text}), '.A1') END AS pub, CASE WHEN p_partkey % 9 = 0 THEN 'D' ELSE 'A' END AS stage1 FROM part",
-    "watch_lines": "SELECT 'main' AS target, 'watch.jsonl' AS file, CAST(o_orderkey AS int) AS line, CASE WHEN o_orderkey % 15 = 0 THEN concat('EP.', CAST(o_orderkey AS {text})) ELSE concat('EP.', CAST(o_orderkey AS {text}), '.A1') END AS pub, CAST(o_orderkey % 3000 AS {text}) AS family_id, concat('2024010', CAST(1 + o_orderkey % 2 AS {text}), '-0001') AS run, CASE WHEN o_orderkey % 12 = 0 THEN '2024-13-01' ELSE {iso} END AS next_check, CASE WHEN o_orderstatus = 'F' THEN '20240100-0001' END AS closed_run, CASE WHEN o_orderkey % 6 = 0 THEN 'provisional' ELSE 'in-force' END AS reason, o_orderkey % 14 = 0 AS shotless, CASE WHEN o_orderkey % 28 = 0 THEN 'timeout' END AS shot_error FROM orders",
+    "watch_lines": "SELECT 'main' AS target, 'watch.jsonl' AS file, CAST(o_orderkey AS int) AS line, CASE WHEN o_orderkey % 15 = 0 THEN concat('EP.', CAST(o_orderkey AS {text})) ELSE concat('EP.', CAST(o_orderkey AS {text}), '.A1') END AS pub, CAST(o_orderkey % 3000 AS {text}) AS family_id, concat('2024010', CAST(1 + o_orderkey % 2 AS {text}), '-0001') AS run, CASE WHEN o_orderkey % 12 = 0 THEN '2024-13-01' ELSE {iso} END AS next_check, CASE WHEN o_orderstatus = 'F' THEN '20240100-0001' END AS closed_run, CASE WHEN o_orderkey % 6 = 0 THEN 'provisional' ELSE 'in-force' END AS reason, o_orderkey % 7 = 0 AS shotless, CASE WHEN o_orderkey % 4 < 2 AND o_orderkey % 7 = 0 THEN 'timeout' END AS shot_error FROM orders",
     "nation_targets": "SELECT CASE WHEN n_nationkey % 7 = 0 THEN n_name ELSE concat('t', CAST(n_nationkey AS {text})) END AS target, n_nationkey AS k, n_nationkey % 7 = 0 AS bad FROM nation",
     "arrivals": """SELECT event_type AS service, event_id AS seq, {micros} AS at_us, CASE WHEN event_id % 10 = 0 THEN 4000000000 ELSE 1000000000 END AS interval_us, CASE WHEN event_id % 25 = 0 THEN {micros} + 1500000000 END AS floor_us,
         CASE WHEN event_id % 40 = 0 THEN {micros} + 900000000 WHEN event_id % 41 = 0 THEN {micros} + 9000000000 END AS cool_down_us, CASE WHEN event_id % 16 = 0 THEN 2000000000 END AS tight_us FROM events""",

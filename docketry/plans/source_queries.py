@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docketry.functions import claims as claim_functions
 from docketry.functions import pubnum, records
 from docketry.operators import cache_views, hits, snapshots, usage
-from docketry.plans.catalog import CACHE, HALVES, LOG, _cache, _halves, _now, _wrap, query
-from docketry.plans.proxies import duck, view
+from docketry.plans.catalog import CACHE, EVENTS, HALVES, LOG, _cache, _halves, _kin, _now, _status, _wrap, query
+from docketry.plans.proxies import duck, legal, view
 from docketry.sources import html, jsonl, xml
 
 PAGE = """<html><head><title>x</title></head><body><table><tr itemprop="backwardReferences"><td><span itemprop="publicationNumber"> US$oA </span><span itemprop="title">other</span><span itemprop="priorityDate">no</span></td></tr>
@@ -214,10 +214,47 @@ def claim_split(spark, sf_dir):
     CASE WHEN max(sb.pub) IS NULL THEN '' ELSE 'm2' END AS new_members, CASE WHEN max(sb.pub) IS NULL THEN '' ELSE 'm0' END AS missing_members, CASE WHEN max(sb.pub) IS NOT NULL THEN 'f0' END AS moved_from FROM (SELECT DISTINCT pub FROM a) a LEFT JOIN (SELECT DISTINCT pub FROM b) sb USING (pub) LEFT JOIN ne USING (pub) LEFT JOIN me USING (pub) GROUP BY a.pub""")
 def watch_report(spark, sf_dir):
     before, after = _halves(spark, sf_dir)
-    some = lambda *m: F.array(*map(F.lit, m)).alias("members")
-    events = F.transform(F.sort_array(F.collect_list(F.struct("pos", "gazette_date", "code", "desc", "pre_lines"))), lambda e: F.struct(e["gazette_date"].alias("gazette_date"), e["code"].alias("code"), e["desc"].alias("desc"), e["pre_lines"].alias("pre_lines")))
-    current = after.groupBy("pub").agg(events.alias("events")).select("pub", F.lit("now").alias("fetched_at"), F.lit("f1").alias("family_id"), some("m1", "m2"), "events")
-    stored = snapshots.build_snapshot(before, before.select("pub", F.col("pub").alias("member"))).select("pub", F.lit("then").alias("fetched_at"), F.lit("f0").alias("family_id"), some("m0", "m1"), "events")
-    out = snapshots.diff_report(current, stored)
-    size = lambda c: F.size(c).cast("long").alias(c)
-    return out.select("pub", "first_snapshot", size("new_events"), size("missing_events"), F.array_join("new_members", ",").alias("new_members"), F.array_join("missing_members", ",").alias("missing_members"), F.col("family_id_changed.from").alias("moved_from"))
+    out = snapshots.diff_snapshots(_status(after), _kin(after), _stored(before))
+    size = lambda c: F.size(f"legal.{c}").cast("long").alias(c)
+    joined = lambda c: F.array_join(f"family.{c}", ",").alias(c)
+    return out.select("pub", "first_snapshot", size("new_events"), size("missing_events"), joined("new_members"), joined("missing_members"), F.col("family.family_id_changed.from").alias("moved_from"))
+
+
+def _stored(before):
+    """Snapshots of ``before`` as a ledger gives them back: JSON text, parsed."""
+    built = snapshots.build_snapshot(_status(before, "then"), _kin(before, "f0", ("m0", "m1"), "then"))
+    return built.select(F.col("pub").alias("idx"), F.parse_json(F.to_json("snapshot")).alias("v"))
+
+
+@query(EVENTS + "SELECT pub, count(*) AS event_count, true AS unchanged, true AS same FROM k GROUP BY pub")
+def snapshot_round_trip(spark, sf_dir):
+    status, kin = _status(legal(spark, sf_dir)), _kin(legal(spark, sf_dir))
+    # every publication's events come back in another order, as an office may report them
+    turned = status.withColumn("events", F.reverse("events"))
+    stored = snapshots.build_snapshot(status, kin).select(F.col("pub").alias("idx"), F.parse_json(F.to_json("snapshot")).alias("v"))
+    out = snapshots.diff_snapshots(turned, kin, stored).join(stored.select(F.col("idx").alias("pub"), "v"), "pub")
+    same = F.to_json("snapshot") == F.to_json(F.from_json(F.to_json("v"), out.schema["snapshot"].dataType))
+    return out.select("pub", F.col("snapshot.legal.event_count").cast("long").alias("event_count"), (~F.col("changed") & ~F.col("first_snapshot")).alias("unchanged"), same.alias("same"))
+
+
+@query(HALVES + """, n AS (SELECT pub, key, pos, row_number() OVER (PARTITION BY pub, key ORDER BY pos) AS nth FROM k WHERE ts >= TIMESTAMP '2024-01-16 00:00:00')
+    SELECT n.pub, string_agg(CAST(n.pos AS VARCHAR), ',' ORDER BY n.pos) AS new_pos FROM n LEFT JOIN b USING (pub, key) WHERE nth > coalesce(nb, 0) AND n.pub IN (SELECT pub FROM b) GROUP BY n.pub""")
+def watch_new_in_order(spark, sf_dir):
+    before, after = _halves(spark, sf_dir)
+    # an event's text is no longer than its place, so the place rides in a field that isn't part of its key
+    status = after.groupBy("pub").agg(F.array_sort(F.collect_list(F.struct("pos", "code", "desc", "gazette_date", "pre_lines"))).alias("events")).withColumn("fetched_at", F.lit("now"))
+    out = snapshots.diff_snapshots(status, _kin(after), _stored(before)).where("size(legal.new_events) > 0")
+    return out.select("pub", F.array_join(F.transform("legal.new_events", lambda e: e["pos"].cast("string")), ",").alias("new_pos"))
+
+
+@query("""SELECT o_orderkey AS idx, CASE WHEN k IN (0, 1, 2, 3) THEN NULL ELSE 'EP.' || (o_orderkey - o_orderkey % 2) || '.A1' END AS key,
+    CASE k WHEN 0 THEN 'no object' WHEN 1 THEN 'pub missing' WHEN 2 THEN 'pub is no text' WHEN 3 THEN 'pub unparseable' WHEN 4 THEN 'format' WHEN 5 THEN 'legal' WHEN 6 THEN 'family' ELSE CASE WHEN o_orderkey % 2 = 1 AND row_number() OVER (PARTITION BY o_orderkey // 2, k > 6 ORDER BY o_orderkey) > 1 THEN 'repeated' END END AS problem,
+    CASE WHEN k > 3 AND k <> 5 THEN 'a||1-b||2' ELSE '' END AS keys FROM (SELECT *, o_orderkey % 13 AS k FROM orders)""")
+def previous_index(spark, sf_dir):
+    o = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 13).alias("k"))
+    pub = F.concat(F.lit('"pub": "ep-'), (F.col("idx") - F.col("idx") % 2).cast("string"), F.lit(' a1"'))
+    legal_part = F.lit('"legal": {"events": [["a", 5, "1"], [], "x", ["b", null, "2"]]}')
+    whole = F.concat_ws(", ", F.when(F.col("k") == 1, None).when(F.col("k") == 2, F.lit('"pub": 5')).when(F.col("k") == 3, F.lit('"pub": "?"')).otherwise(pub), F.when(F.col("k") == 4, F.lit('"snapshot_format": "1"')).otherwise(F.lit('"snapshot_format": 1')), F.when(F.col("k") == 5, F.lit('"legal": []')).otherwise(legal_part), F.when(F.col("k") != 6, F.lit('"family": {}')))
+    rows = o.select("idx", F.parse_json(F.when(F.col("k") == 0, F.lit("[1]")).otherwise(F.concat(F.lit("{"), whole, F.lit("}")))).alias("v"))
+    out = snapshots.index_previous(rows)
+    return out.select("idx", "key", "problem", F.when(F.col("problem").isin("no object", "pub missing", "pub is no text", "pub unparseable"), "").otherwise(F.array_join(F.transform("keys", lambda k: F.array_join(k, "|")), "-")).alias("keys"))
