@@ -1,13 +1,9 @@
-"""Request logs summarised, and the pacing of requests."""
+"""Request logs summarised, and what throttling headers ask for."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from docketry.functions import records
 
@@ -92,61 +88,3 @@ def throttle_reaction(log: DataFrame) -> DataFrame:
         F.when((state == "overloaded") & (limit > 0), F.greatest(base, 60 / limit)).otherwise(base).alias("interval_seconds"),
         F.when((F.col("status") == 403) | F.coalesce(own["colour"] == "black", F.lit(False)), records.BLOCKED).otherwise(0).alias("blocked_seconds"),
     )
-
-
-#: Stored times so far ahead of an arrival are taken for a wrong clock and ignored.
-FUTURE_US = 3600 * 1_000_000
-
-
-def paced(arrivals: DataFrame, key: str = "service") -> DataFrame:
-    """``key, seq, at_us, ready_us, step_us``: when a request could go if it were the first, and the interval that holds for it.
-
-    Of the optional columns ``floor_us`` is the caller's own earliest time, ``cool_down_us`` that of the upstream
-    (ignored if too far ahead), ``tight_us`` a longer interval asked for by the upstream.
-    """
-    given = lambda c: F.col(c) if c in arrivals.columns else F.lit(None).cast("long")
-    cool = F.when(given("cool_down_us") <= F.col("at_us") + FUTURE_US, given("cool_down_us"))
-    return arrivals.select(key, "seq", "at_us", F.greatest("at_us", given("floor_us"), cool).alias("ready_us"), F.greatest("interval_us", given("tight_us")).alias("step_us"))
-
-
-def pacing_slots(arrivals: DataFrame, key: str = "service") -> DataFrame:
-    """``key, seq, slot_us``: when each request of a service may go, in whole microseconds.
-
-    The rule is sequential: a slot is the ready time, or the slot before plus the interval if that is later; a slot
-    before that lies FUTURE_US ahead of the arrival counts as absent.  Where that never happens the slots have a closed
-    form, S(n) + max over j <= n of (ready(j) - S(j)), S being the running sum of intervals.  Services where it does
-    are followed row by row, sorted, in bounded memory.  Needs ``key, seq, at_us, interval_us``; see ``paced``.
-    """
-    rows = paced(arrivals, key)
-    in_order = W.partitionBy(key).orderBy("seq")
-    upto = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = rows.withColumn("total", F.sum("step_us").over(upto))
-    closed = total.withColumn("slot_us", F.col("total") + F.max(F.col("ready_us") - F.col("total")).over(upto))
-    ahead = closed.withColumn("last", F.lag("slot_us").over(in_order)).groupBy(key).agg(F.max(F.col("last") > F.col("at_us") + FUTURE_US).alias("late")).where("late").select(key)
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        service, last = None, None
-        for b in batches:
-            slots = []
-            for k, at, ready, step in zip(b[key], b["at_us"], b["ready_us"], b["step_us"], strict=True):
-                if k != service:
-                    service, last = k, None
-                last = next_slot(last, at, ready, step)
-                slots.append(last)
-            yield pd.DataFrame({key: b[key], "seq": b["seq"], "slot_us": slots})
-
-    kind = arrivals.schema[key].dataType.simpleString()
-    followed = rows.join(ahead, key, "left_semi").repartition(key).sortWithinPartitions(key, "seq").mapInPandas(follow, f"`{key}` {kind}, seq long, slot_us long")
-    return closed.select(key, "seq", "slot_us").join(ahead, key, "left_anti").unionByName(followed)
-
-
-def next_slot(last: int | None, at: int, ready: int, step: int) -> int:
-    """One step of the rule."""
-    return max(ready, last + step) if last is not None and last <= at + FUTURE_US else ready
-
-
-def pacing_state(notes: DataFrame, now_us: int) -> DataFrame:
-    """The latest note of each upstream and service, by ``seq``; what has expired is left out."""
-    last = notes.groupBy("upstream", "service").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("interval_us", "blocked_until_us", "blocked_reason", "cool_down_until_us")])
-    live = lambda c: F.when(F.col(c) > now_us, F.col(c)).alias(c)
-    return last.select("upstream", "service", "interval_us", live("blocked_until_us"), F.when(F.col("blocked_until_us") > now_us, F.col("blocked_reason")).alias("blocked_reason"), live("cool_down_until_us"))

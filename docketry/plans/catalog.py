@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import claims as claim_functions
 from docketry.functions import pubnum, records
-from docketry.operators import cache_views, hits, snapshots, usage
+from docketry.operators import cache_views, hits, pacing, snapshots, usage
 from docketry.plans.proxies import duck, legal, view
 from docketry.sources import xml
 
@@ -399,4 +399,4 @@ def xml_family_parse(spark, sf_dir):
 @query(duck("arrivals").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT service, seq, at_us, greatest(at_us, coalesce(floor_us, 0), CASE WHEN cool_down_us <= at_us + 3600000000 THEN cool_down_us ELSE 0 END) AS ready, greatest(interval_us, coalesce(tight_us, 0)) AS step, row_number() OVER (PARTITION BY service ORDER BY seq) AS n FROM arrivals),
     r AS (SELECT service, n, seq, ready AS slot_us FROM b WHERE n = 1 UNION ALL SELECT b.service, b.n, b.seq, CASE WHEN r.slot_us <= b.at_us + 3600000000 THEN greatest(b.ready, r.slot_us + b.step) ELSE b.ready END FROM r JOIN b ON b.service = r.service AND b.n = r.n + 1) SELECT service, seq, slot_us FROM r""")
 def pacing_slots(spark, sf_dir):
-    return usage.pacing_slots(view(spark, sf_dir, "arrivals")).select("service", "seq", "slot_us")
+    return pacing.pacing_slots(view(spark, sf_dir, "arrivals")).select("service", "seq", "slot_us")

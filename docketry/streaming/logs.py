@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.functions.records import non_green
-from docketry.operators.usage import next_slot, paced
+from docketry.operators.pacing import next_slot, paced
 
 SLOTS = "service string, seq long, slot_us long"
 

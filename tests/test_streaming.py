@@ -1,4 +1,4 @@
-from docketry.operators.usage import pacing_slots
+from docketry.operators.pacing import pacing_slots
 from docketry.streaming.logs import log_stream, pacing_stream, usage_by_window
 
 SCHEMA = "service string, seq long, at_us long, interval_us long"
