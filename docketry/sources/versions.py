@@ -25,13 +25,12 @@ class Conflict(RuntimeError):
     """Another writer committed first."""
 
 
-class Versioned:
-    """The table at ``path``, a folder that driver and executors share."""
+class Commits:
+    """Markers ``commits/<version>.json`` of a table at ``path``, a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        jvm = spark._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._context = self._hadoop.FileContext.getFileContext(self._hadoop.Path(self.path).toUri(), spark._jsc.hadoopConfiguration())
         self._files = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -46,13 +45,39 @@ class Versioned:
         names = [s.getPath().getName() for s in self._files.listStatus(folder)]
         return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()), default=0)
 
-    def _parts(self, version: int) -> dict[str, str]:
-        """Folder of each partition ``kind/bucket`` in a version; as many as there are kinds times buckets at most."""
+    def marker(self, version: int) -> dict:
+        """What a version's marker says; it names folders, never rows."""
         if not version:
             return {}
-        # one small file: partitions alone, never rows
-        text = self.spark.read.option("wholetext", "true").text(f"{self.path}/commits/{version:012d}.json").first()["value"]
-        return json.loads(text)["parts"]
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/commits/{version:012d}.json").first()["value"])
+
+    def commit(self, version: int, marker: dict) -> None:
+        """Write the marker beside its place and move it there, unless one is there already."""
+        tmp, final = self._place("commits", f"{uuid.uuid4().hex}.tmp"), self._place("commits", f"{version:012d}.json")
+        self._files.mkdirs(self._place("commits"))
+        out = self._files.create(tmp, False)
+        out.write(bytearray(json.dumps(marker, sort_keys=True).encode()))
+        out.close()
+        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(tmp, final, options)
+        except Exception as refused:
+            self._files.delete(tmp, False)
+            if self._files.exists(final):
+                raise Conflict(f"version {version} was committed by another writer") from refused
+            raise
+
+
+class Versioned(Commits):
+    """The table of stored documents at ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        super().__init__(spark, path)
+        self.buckets = buckets
+
+    def _parts(self, version: int) -> dict[str, str]:
+        """Folder of each partition ``kind/bucket`` in a version; as many as there are kinds times buckets at most."""
+        return self.marker(version).get("parts", {})
 
     def read(self, version: int | None = None, kinds: list[str] | None = None) -> DataFrame:
         """All rows of a version, the last unless given; other kinds' partitions aren't listed where ``kinds`` is given."""
@@ -88,7 +113,7 @@ class Versioned:
         placed.repartition("k", "b").write.partitionBy("k", "b").parquet(f"{self.path}/{folder}")
         written = {f"{p['k']}/{p['b']}": f"{folder}/k={p['k']}/b={p['b']}" for p in self._written(folder)}
         parts = {p: f for p, f in held.items() if p not in touched} | written
-        self._commit(base + 1, parts)
+        self.commit(base + 1, {"version": base + 1, "parts": parts})
         return base + 1
 
     def _written(self, folder: str) -> list[dict[str, str]]:
@@ -99,22 +124,6 @@ class Versioned:
                 found += [{"k": kind, "b": b.getPath().getName().removeprefix("b=")} for b in self._files.listStatus(k.getPath()) if b.isDirectory()]
         return found
 
-    def _commit(self, version: int, parts: dict[str, str]) -> None:
-        """Write the marker beside its place and move it there, unless one is there already."""
-        tmp, final = self._place("commits", f"{uuid.uuid4().hex}.tmp"), self._place("commits", f"{version:012d}.json")
-        self._files.mkdirs(self._place("commits"))
-        out = self._files.create(tmp, False)
-        out.write(bytearray(json.dumps({"version": version, "parts": parts}, sort_keys=True).encode()))
-        out.close()
-        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            self._context.rename(tmp, final, options)
-        except Exception as refused:
-            self._files.delete(tmp, False)
-            if self._files.exists(final):
-                raise Conflict(f"version {version} was committed by another writer") from refused
-            raise
-
     def vacuum(self, keep: int = 2) -> int:
         """Remove markers older than the last ``keep`` versions, then data that no marker names; how many folders went.
 

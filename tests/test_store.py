@@ -129,7 +129,7 @@ def test_commits(spark, tmp_path):
     assert table.version() == 2 and held(table) == second
     # so does one that fails just before its marker
     lost = Versioned(spark, str(tmp_path), buckets=4)
-    lost._commit = lambda *_: (_ for _ in ()).throw(OSError("gone"))
+    lost.commit = lambda *_: (_ for _ in ()).throw(OSError("gone"))
     with pytest.raises(OSError):
         lost.replace(rows(spark, ("gp", "k6", NOW, "three")))
     assert held(Versioned(spark, str(tmp_path), buckets=4)) == second
