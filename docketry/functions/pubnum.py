@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import strip
+from docketry.functions.text import let, strip
 
 # Limits and office lists that decide what parses.
 MAX_DIGITS = 12
@@ -13,6 +13,9 @@ LEADING_LETTER_OFFICES = ("JP", "TW", "HU", "BR")
 ELEVEN_DIGITS_FROM = 2026
 OFFICE_ORDER = ("US", "EP", "WO", "GB", "CA", "AU", "KR", "CN", "JP")
 
+#: Between matched groups.
+CUT = "\x01"
+
 # The accepted spellings.  Groups: country, separator, number, leading letters, kind.
 PATTERN = (
     r"^([A-Z]{2})([.\- ]?)"
@@ -26,18 +29,23 @@ def parse(text: Column) -> Column:
 
     US A-documents of an 11-digit number with a year before 2026 take their 10-digit form.
     """
-    clean = F.upper(strip(text))
-    part = lambda k: F.regexp_extract(clean, PATTERN, k)
-    country, separator, lead, kind = part(1), part(2), part(4), part(5)
-    number = F.replace(part(3), F.lit("/"), F.lit(""))
-    valid = (country != "") & (F.length(number) <= MAX_DIGITS) & ((lead == "") | (separator != "") | country.isin(*LEADING_LETTER_OFFICES))
+    # one match gives all groups: joined by a character that no number has, and cut there again
+    groups = F.regexp_replace(F.upper(strip(text)), PATTERN, CUT.join(f"${k}" for k in range(1, 6)))
+    return let(F.when(~F.contains(text, F.lit(CUT)), F.split(groups, CUT)), _read)
+
+
+def _read(g: Column) -> Column:
+    """The number of matched groups, null where the pattern didn't match."""
+    number = F.replace(F.get(g, F.lit(2)), F.lit("/"), F.lit(""))
+    country, separator, lead, kind = (F.get(g, F.lit(k)) for k in (0, 1, 3, 4))
+    valid = (F.size(g) == 5) & (F.length(number) <= MAX_DIGITS) & ((lead == "") | (separator != "") | country.isin(*LEADING_LETTER_OFFICES))
     shrink = (country == "US") & kind.startswith("A") & number.rlike("^(?:19|20)[0-9]{2}0[0-9]{6}$") & (F.substring(number, 1, 4) < F.lit(str(ELEVEN_DIGITS_FROM)))
     number = F.when(shrink, F.concat(F.substring(number, 1, 4), F.substring(number, 6, 12))).otherwise(number)
     return F.when(valid, F.struct(country.alias("country"), number.alias("number"), kind.alias("kind")))
 
 
 def docdb(p: Column) -> Column:
-    return F.when(p.isNotNull(), F.concat(p["country"], F.lit("."), p["number"], F.when(p["kind"] != "", F.concat(F.lit("."), p["kind"])).otherwise("")))
+    return let(p, lambda q: F.when(q.isNotNull(), F.concat(q["country"], F.lit("."), q["number"], F.when(q["kind"] != "", F.concat(F.lit("."), q["kind"])).otherwise(""))))
 
 
 def epodoc(p: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def present(c: Column) -> Column:
     """Null and empty text alike count as absent."""
     return F.coalesce(c, F.lit("")) != ""

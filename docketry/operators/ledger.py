@@ -7,6 +7,7 @@ so each file is read once however many rules it has; references are joined with
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection, Iterable
 from functools import reduce
 from typing import NamedTuple
 
@@ -44,11 +45,22 @@ FOUND = "array<struct<rule: string, severity: string, key: string>>"
 REFS = "array<struct<rule: string, key: string, ref: string>>"
 
 
-class Many(NamedTuple):
-    """An array of findings or references, where others are single ones."""
+class One(NamedTuple):
+    """A finding or reference, null where its rule is kept."""
 
+    rule: str
     column: Column
 
+    def only(self, condition: Column) -> One:
+        return One(self.rule, F.when(condition, self.column))
+
+
+class Many(NamedTuple):
+    """Findings or references of an array's elements: ``made`` gives those of an element and its place."""
+
+    items: Column
+    made: Callable[[Column, Column], list[One]]
+
 
 class Node:
     """Values under a VARIANT column.  ``path`` leads to an inner object; ``label`` stands before its keys in findings.
@@ -60,10 +72,11 @@ class Node:
     def __init__(self, v: Column, path: str = "", label: Column | None = None, held: dict[str, Column] | None = None):
         self.v, self.path, self.label, self.held = v, path, F.lit(path) if label is None else label, held
 
-    def keep(self, name: str, made: Column) -> Column:
+    def keep(self, name: str, make: Callable[[], Column]) -> Column:
         if self.held is None:
-            return made
-        self.held[name] = made
+            return make()
+        if name not in self.held:
+            self.held[name] = make()
         return F.col(f"`{name}`")
 
     def inner(self, key: str) -> Node:
@@ -74,15 +87,15 @@ class Node:
 
     def kind(self, key: str) -> Column:
         """The type of a value, null where the key is missing; JSON null is VOID."""
-        return self.keep(f"kind {self.path}{key}", F.schema_of_variant(self._as(key, "variant")))
+        return self.keep(f"kind {self.path}{key}", lambda: F.schema_of_variant(self._as(key, "variant")))
 
     def text(self, key: str) -> Column:
         """The value where it is text, else null."""
-        return self.keep(f"text {self.path}{key}", F.when(F.schema_of_variant(self._as(key, "variant")) == "STRING", self._as(key, "string")))
+        return self.keep(f"text {self.path}{key}", lambda: F.when(F.schema_of_variant(self._as(key, "variant")) == "STRING", self._as(key, "string")))
 
     def whole(self, key: str) -> Column:
         """The value where it is a whole number, else null."""
-        return self.keep(f"whole {self.path}{key}", F.when(F.schema_of_variant(self._as(key, "variant")) == "BIGINT", self._as(key, "bigint")))
+        return self.keep(f"whole {self.path}{key}", lambda: F.when(F.schema_of_variant(self._as(key, "variant")) == "BIGINT", self._as(key, "bigint")))
 
     def has(self, key: str) -> Column:
         return F.coalesce(self.kind(key), F.lit("VOID")) != "VOID"
@@ -92,14 +105,14 @@ class Node:
 
     def items(self, key: str) -> Column:
         """The elements of an array, none where it isn't one."""
-        return self.keep(f"items {self.path}{key}", F.coalesce(self._as(key, "array<variant>"), F.array().cast("array<variant>")))
+        return self.keep(f"items {self.path}{key}", lambda: F.coalesce(self._as(key, "array<variant>"), F.array().cast("array<variant>")))
 
     def is_list(self, key: str) -> Column:
         return F.coalesce(self.kind(key).like("ARRAY%"), F.lit(False))
 
     def pub(self, key: str) -> Column:
         """``text, p``: the value where it is text, and the publication number it parses to."""
-        return self.keep(f"pub {self.path}{key}", numbered(F.when(F.schema_of_variant(self._as(key, "variant")) == "STRING", self._as(key, "string"))))
+        return self.keep(f"pub {self.path}{key}", lambda: numbered(F.when(F.schema_of_variant(self._as(key, "variant")) == "STRING", self._as(key, "string"))))
 
     def named(self, key: str) -> Column:
         return F.concat(self.label, F.lit(key))
@@ -109,37 +122,36 @@ def numbered(text: Column) -> Column:
     return F.struct(text.alias("text"), pubnum.parse(text).alias("p"))
 
 
-def finding(condition: Column, rule: str | Column, key: Column, severity: str | Column = "error") -> Column:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.when(F.coalesce(condition, F.lit(False)), F.struct(lit(rule).alias("rule"), lit(severity).alias("severity"), key.alias("key")))
+def finding(condition: Column, rule: str, key: Column, severity: str = "error") -> One:
+    return One(rule, F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), key.alias("key"))))
 
 
-def reference(condition: Column, rule: str, key: Column, ref: Column) -> Column:
-    return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(rule).alias("rule"), key.alias("key"), ref.alias("ref")))
+def reference(condition: Column, rule: str, key: Column, ref: Column) -> One:
+    return One(rule, F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(rule).alias("rule"), key.alias("key"), ref.alias("ref"))))
 
 
-def _required(n: Node, *keys: str) -> list[Column]:
+def _required(n: Node, *keys: str) -> list[One]:
     return [finding(~n.has(k), "required-key", n.named(k)) for k in keys]
 
 
-def _enum(n: Node, key: str, accepted: tuple[str, ...]) -> Column:
+def _enum(n: Node, key: str, accepted: tuple[str, ...]) -> One:
     return finding(n.has(key) & ~F.coalesce(n.text(key).isin(*accepted), F.lit(False)), "enum", n.named(key))
 
 
-def _shape(n: Node, key: str, good: Column) -> Column:
+def _shape(n: Node, key: str, good: Column) -> One:
     """A container of the wrong shape counts as a value that isn't accepted."""
     return finding(n.has(key) & ~good, "enum", n.named(key))
 
 
-def _id(n: Node, key: str, pattern: str) -> Column:
+def _id(n: Node, key: str, pattern: str) -> One:
     return finding(n.has(key) & ~F.coalesce(n.text(key).rlike(pattern), F.lit(False)), "id-format", n.named(key))
 
 
-def _date(n: Node, key: str) -> Column:
+def _date(n: Node, key: str) -> One:
     return finding(n.has(key) & iso_date(n.text(key)).isNull(), "date", n.named(key))
 
 
-def _timestamp(n: Node, key: str) -> Column:
+def _timestamp(n: Node, key: str) -> One:
     return finding(n.has(key) & with_time(n.text(key)).isNull(), "timestamp", n.named(key))
 
 
@@ -147,7 +159,7 @@ def _blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
-def _pub(condition: Column, pub: Column, key: Column, coded: bool, tolerant: bool = False) -> list[Column]:
+def _pub(condition: Column, pub: Column, key: Column, coded: bool, tolerant: bool = False) -> list[One]:
     """A publication ``text, p`` that can't be read, isn't in DOCDB spelling, or lacks the kind code it needs."""
     odd = condition & pub["p"].isNull()
     kept = odd & ~_blank(pub["text"]) if tolerant else F.lit(False)
@@ -157,128 +169,190 @@ def _pub(condition: Column, pub: Column, key: Column, coded: bool, tolerant: boo
     ]
 
 
-def _run(n: Node, *keys: str) -> list[Column]:
+def _run(n: Node, *keys: str) -> list[One]:
     return [reference(n.has(k), "run-ref", n.named(k), n.text(k)) for k in keys]
 
 
-def _feature_list(n: Node, key: str, all_: bool = False) -> tuple[Column, Many]:
-    """The finding of a wrong shape, and the references of a right one."""
-    good = n.is_list(key) | (F.coalesce(n.text(key) == "all", F.lit(False)) if all_ else F.lit(False))
+def _feature_shape(n: Node, key: str, all_: bool = False) -> One:
+    """A list of features, or where it may be the word all."""
+    return _shape(n, key, n.is_list(key) | (F.coalesce(n.text(key) == "all", F.lit(False)) if all_ else F.lit(False)))
+
+
+def _feature_refs_of(n: Node, key: str) -> Many:
     text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
-    refs = F.transform(n.items(key), lambda x, i: F.struct(F.lit("feature-ref").alias("rule"), F.concat(n.named(key), F.lit("["), i.cast("string"), F.lit("]")).alias("key"), text(x).alias("ref")))
-    return _shape(n, key, good), Many(refs)
+    place = lambda i: F.concat(n.named(key), F.lit("["), i.cast("string"), F.lit("]"))
+    return Many(n.items(key), lambda x, i: [reference(F.lit(True), "feature-ref", place(i), text(x))])
 
 
 def _each(n: Node, key: str, rules) -> Many:
     """What ``rules`` gives for every element, with the element's place in its label."""
-    one = lambda x, i: F.array(*rules(Node(x, label=F.concat(n.named(key), F.lit("["), i.cast("string"), F.lit("].")))))
-    return Many(F.flatten(F.transform(n.items(key), one)))
+    return Many(n.items(key), lambda x, i: rules(Node(x, label=F.concat(n.named(key), F.lit("["), i.cast("string"), F.lit("].")))))
 
 
-def _run_rules(n: Node) -> tuple[list, list]:
-    path = n.text("report")
-    itself = n.has("previous_run") & (n.text("previous_run") == n.text("run_id"))
-    found = [
-        *_required(n, "run_id", "type", "stage", "mode", "started_at", "server_version"), _id(n, "run_id", RUN_ID), _enum(n, "type", RUN_TYPES), _enum(n, "stage", RUN_STAGES), _enum(n, "mode", RUN_MODES),
-        _timestamp(n, "started_at"), _timestamp(n, "finished_at"), finding(n.kind("searched_through").isNull(), "required-key", n.named("searched_through")),
-        finding((n.kind("searched_through") == "VOID") & n.text("type").isin(*DATED_RUNS), "searched-through", n.named("searched_through")), _date(n, "searched_through"),
-        finding(itself, "run-ref", n.named("previous_run")),
-        finding(n.has("report") & (path.isNull() | (path == "") | path.rlike(r"^/|(^|/)\.\.(/|$)")), "report-missing", n.named("report")),
-    ]
-    return found, [reference(n.has("previous_run") & ~F.coalesce(itself, F.lit(False)), "run-ref", n.named("previous_run"), n.text("previous_run"))]
+def _run_found(n: Node) -> Rules:
+    through, path = lambda: n.kind("searched_through"), lambda: n.text("report")
+    return {
+        "required-key": lambda: [*_required(n, "run_id", "type", "stage", "mode", "started_at", "server_version"), finding(through().isNull(), "required-key", n.named("searched_through"))],
+        "id-format": lambda: [_id(n, "run_id", RUN_ID)],
+        "enum": lambda: [_enum(n, "type", RUN_TYPES), _enum(n, "stage", RUN_STAGES), _enum(n, "mode", RUN_MODES)],
+        "timestamp": lambda: [_timestamp(n, "started_at"), _timestamp(n, "finished_at")],
+        "searched-through": lambda: [finding((through() == "VOID") & n.text("type").isin(*DATED_RUNS), "searched-through", n.named("searched_through"))],
+        "date": lambda: [_date(n, "searched_through")],
+        "run-ref": lambda: [finding(_itself(n), "run-ref", n.named("previous_run"))],
+        "report-missing": lambda: [finding(n.has("report") & (path().isNull() | (path() == "") | path().rlike(r"^/|(^|/)\.\.(/|$)")), "report-missing", n.named("report"))],
+    }
 
 
-def _feature_rules(n: Node) -> tuple[list, list]:
-    found = [
-        *_required(n, "id", "title", "basis", "priority", "status", "since_run"), _id(n, "id", FEATURE_ID), _enum(n, "basis", FEATURE_BASES), _enum(n, "priority", FEATURE_PRIORITIES), _enum(n, "status", FEATURE_STATUSES),
-        finding((n.text("status") == "excluded") & _blank(n.text("reason")), "reason-missing", n.named("reason"), "warning"),
-    ]
-    return found, _run(n, "since_run", "changed_run")
+def _itself(n: Node) -> Column:
+    """Whether a run names itself as the one before it."""
+    return F.coalesce(n.has("previous_run") & (n.text("previous_run") == n.text("run_id")), F.lit(False))
+
+
+def _run_refs(n: Node) -> Rules:
+    return {"run-ref": lambda: [reference(n.has("previous_run") & ~_itself(n), "run-ref", n.named("previous_run"), n.text("previous_run"))]}
+
 
+def _feature_found(n: Node) -> Rules:
+    return {
+        "required-key": lambda: _required(n, "id", "title", "basis", "priority", "status", "since_run"),
+        "id-format": lambda: [_id(n, "id", FEATURE_ID)],
+        "enum": lambda: [_enum(n, "basis", FEATURE_BASES), _enum(n, "priority", FEATURE_PRIORITIES), _enum(n, "status", FEATURE_STATUSES)],
+        "reason-missing": lambda: [finding((n.text("status") == "excluded") & _blank(n.text("reason")), "reason-missing", n.named("reason"), "warning")],
+    }
 
-def _query_run_rules(n: Node) -> list[Column]:
+
+def _feature_refs(n: Node) -> Rules:
+    return {"run-ref": lambda: _run(n, "since_run", "changed_run")}
+
+
+def _query_run_found(n: Node) -> list[One]:
     window = n.text("window")
     shaped = F.coalesce(F.schema_of_variant(n.v).like("OBJECT%"), F.lit(False))
     return [
-        finding(~shaped, "enum", F.regexp_replace(n.label, r"\.$", "")), *[F.when(shaped, c) for c in _required(n, "run_id", "window")],
+        finding(~shaped, "enum", F.regexp_replace(n.label, r"\.$", "")), *[c.only(shaped) for c in _required(n, "run_id", "window")],
         finding(shaped & n.kind("total").isNull(), "required-key", n.named("total")),
         finding(n.has("total") & ~F.coalesce(n.whole("total") >= 0, F.lit(False)), "window", n.named("total")),
         finding(n.has("window") & ~F.coalesce((window == "all") | window.rlike(WINDOW), F.lit(False)), "window", n.named("window")),
     ]
 
 
-def _query_rules(n: Node) -> tuple[list, list]:
-    shape, features = _feature_list(n, "features")
-    found = [
-        *_required(n, "id", "cql", "status", "features", "runs"), _id(n, "id", QUERY_ID), _enum(n, "status", QUERY_STATUSES), shape, _shape(n, "runs", n.is_list("runs")),
-        finding(n.text("cql").rlike(DATE_CLAUSE), "cql-date-clause", n.named("cql"), "warning"),
-        finding(n.text("status").isin("rejected", "dropped") & _blank(n.text("reason")), "reason-missing", n.named("reason"), "warning"),
-        _each(n, "runs", _query_run_rules),
-    ]
-    return found, [features, _each(n, "runs", lambda r: _run(r, "run_id"))]
+def _query_found(n: Node) -> Rules:
+    return {
+        "required-key": lambda: _required(n, "id", "cql", "status", "features", "runs"),
+        "id-format": lambda: [_id(n, "id", QUERY_ID)],
+        "enum": lambda: [_enum(n, "status", QUERY_STATUSES), _feature_shape(n, "features"), _shape(n, "runs", n.is_list("runs"))],
+        "cql-date-clause": lambda: [finding(n.text("cql").rlike(DATE_CLAUSE), "cql-date-clause", n.named("cql"), "warning")],
+        "reason-missing": lambda: [finding(n.text("status").isin("rejected", "dropped") & _blank(n.text("reason")), "reason-missing", n.named("reason"), "warning")],
+        "enum required-key window": lambda: [_each(n, "runs", _query_run_found)],
+    }
 
 
-def _family_rules(n: Node) -> tuple[list, list]:
-    shape, features = _feature_list(n, "features", all_=True)
+def _query_refs(n: Node) -> Rules:
+    return {"feature-ref": lambda: [_feature_refs_of(n, "features")], "run-ref": lambda: [_each(n, "runs", lambda r: _run(r, "run_id"))]}
+
+
+def _family_found(n: Node) -> Rules:
     text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
-    pubs = n.keep("numbers", F.transform(F.coalesce(F.try_variant_get(n.v, "$.pubs", "array<variant>"), F.array().cast("array<variant>")), lambda x: numbered(text(x))))
-    own = F.transform(pubs, lambda x, i: F.array(*_pub(F.lit(True), x, F.concat(F.lit("pubs["), i.cast("string"), F.lit("]")), coded=False, tolerant=True)))
-    found = [
-        *_required(n, "family_id", "pubs", "stage1", "judged_run", "features"), _shape(n, "family_id", F.coalesce(n.text("family_id") != "", F.lit(False))), _shape(n, "pubs", n.is_list("pubs") & (F.size(pubs) > 0)),
-        _enum(n, "stage1", STAGE1), _enum(n, "stage2", STAGE2), shape, Many(F.flatten(own)),
-    ]
-    return found, [*_run(n, "judged_run"), features]
+    pubs = lambda: n.keep("numbers", lambda: F.transform(F.coalesce(F.try_variant_get(n.v, "$.pubs", "array<variant>"), F.array().cast("array<variant>")), lambda x: numbered(text(x))))
+    return {
+        "required-key": lambda: _required(n, "family_id", "pubs", "stage1", "judged_run", "features"),
+        "enum": lambda: [
+            _shape(n, "family_id", F.coalesce(n.text("family_id") != "", F.lit(False))), _shape(n, "pubs", n.is_list("pubs") & (F.size(n.items("pubs")) > 0)),
+            _enum(n, "stage1", STAGE1), _enum(n, "stage2", STAGE2), _feature_shape(n, "features", all_=True),
+        ],
+        "pub-unparsed pub-spelling pub-kind": lambda: [Many(pubs(), lambda x, i: _pub(F.lit(True), x, F.concat(F.lit("pubs["), i.cast("string"), F.lit("]")), coded=False, tolerant=True))],
+    }
+
 
+def _family_refs(n: Node) -> Rules:
+    return {"run-ref": lambda: _run(n, "judged_run"), "feature-ref": lambda: [_feature_refs_of(n, "features")]}
 
-def _watch_rules(n: Node) -> tuple[list, list]:
+
+def _watch_found(n: Node) -> Rules:
     seen, reading, read, snap = (n.inner(k) for k in ("observation", "status_reading", "claims_read", "snapshot"))
-    event = reading.inner("decisive_event")
-    shape, features = _feature_list(n, "features")
-    whole, own, shot = n.is_object("snapshot"), n.pub("pub"), snap.pub("pub")
+    event, whole = reading.inner("decisive_event"), lambda: n.is_object("snapshot")
     object_ = lambda h: F.coalesce(F.schema_of_variant(h.v).like("OBJECT%"), F.lit(False))
-    found = [
-        *_required(n, "pub", "family_id", "reason", "added_run", "checked_run"), *_pub(n.has("pub"), own, n.named("pub"), coded=True), _enum(n, "reason", WATCH_REASONS),
-        finding(~n.has("next_check") & ~n.has("closed_run"), "required-key", n.named("next_check")), _date(n, "next_check"), shape,
-        *[_shape(n, k, n.is_object(k)) for k in ("observation", "status_reading", "claims_read")], _enum(seen, "value", OBSERVATIONS),
-        _timestamp(reading, "as_of"), _shape(reading, "decisive_event", reading.is_object("decisive_event")), _date(event, "date"),
-        *_pub(read.has("pub"), read.pub("pub"), read.named("pub"), coded=True), _shape(n, "history", n.is_list("history")),
-        _each(n, "history", lambda h: [finding(~object_(h), "enum", F.regexp_replace(h.label, r"\.$", ""))]),
-        finding(n.kind("snapshot").isNull(), "required-key", n.named("snapshot")), finding(n.has("snapshot") & ~whole, "snapshot", n.named("snapshot")),
-        finding(whole & ~F.coalesce(snap.whole("snapshot_format") == SNAPSHOT_FORMAT, F.lit(False)), "snapshot", snap.named("snapshot_format")),
-        finding(whole & ~snap.has("pub"), "snapshot", snap.named("pub")), *_pub(whole & snap.has("pub"), shot, snap.named("pub"), coded=False),
-        finding(whole & (pubnum.docdb(shot["p"]) != pubnum.docdb(own["p"])), "snapshot", snap.named("pub")), *[finding(whole & ~snap.is_object(k), "snapshot", snap.named(k)) for k in ("legal", "family")],
-    ]
-    refs = [
-        *_run(n, "added_run", "checked_run", "closed_run"), *_run(seen, "run_id"), *_run(reading, "run_id"), *_run(read, "run_id"), features, _each(n, "history", lambda h: _run(h, "run_id")),
-        reference(n.has("family_id"), "watch-family-unknown", n.named("family_id"), n.text("family_id")),
-    ]
-    return found, refs
+    numbers = "pub-unparsed pub-spelling pub-kind"
+    return {
+        "required-key": lambda: [
+            *_required(n, "pub", "family_id", "reason", "added_run", "checked_run"), finding(~n.has("next_check") & ~n.has("closed_run"), "required-key", n.named("next_check")),
+            finding(n.kind("snapshot").isNull(), "required-key", n.named("snapshot")),
+        ],
+        numbers: lambda: [*_pub(n.has("pub"), n.pub("pub"), n.named("pub"), coded=True), *_pub(read.has("pub"), read.pub("pub"), read.named("pub"), coded=True), *_pub(whole() & snap.has("pub"), snap.pub("pub"), snap.named("pub"), coded=False)],
+        "enum": lambda: [
+            _enum(n, "reason", WATCH_REASONS), _feature_shape(n, "features"), *[_shape(n, k, n.is_object(k)) for k in ("observation", "status_reading", "claims_read")], _enum(seen, "value", OBSERVATIONS),
+            _shape(reading, "decisive_event", reading.is_object("decisive_event")), _shape(n, "history", n.is_list("history")), _each(n, "history", lambda h: [finding(~object_(h), "enum", F.regexp_replace(h.label, r"\.$", ""))]),
+        ],
+        "date": lambda: [_date(n, "next_check"), _date(event, "date")],
+        "timestamp": lambda: [_timestamp(reading, "as_of")],
+        "snapshot": lambda: [
+            finding(n.has("snapshot") & ~whole(), "snapshot", n.named("snapshot")), finding(whole() & ~F.coalesce(snap.whole("snapshot_format") == SNAPSHOT_FORMAT, F.lit(False)), "snapshot", snap.named("snapshot_format")),
+            finding(whole() & ~snap.has("pub"), "snapshot", snap.named("pub")), finding(whole() & (pubnum.docdb(snap.pub("pub")["p"]) != pubnum.docdb(n.pub("pub")["p"])), "snapshot", snap.named("pub")),
+            *[finding(whole() & ~snap.is_object(k), "snapshot", snap.named(k)) for k in ("legal", "family")],
+        ],
+    }
+
 
+def _watch_refs(n: Node) -> Rules:
+    seen, reading, read = (n.inner(k) for k in ("observation", "status_reading", "claims_read"))
+    return {
+        "run-ref": lambda: [*_run(n, "added_run", "checked_run", "closed_run"), *_run(seen, "run_id"), *_run(reading, "run_id"), *_run(read, "run_id"), _each(n, "history", lambda h: _run(h, "run_id"))],
+        "feature-ref": lambda: [_feature_refs_of(n, "features")],
+        "watch-family-unknown": lambda: [reference(n.has("family_id"), "watch-family-unknown", n.named("family_id"), n.text("family_id"))],
+    }
 
-RULES = dict(zip(FILES, (_run_rules, _feature_rules, _query_rules, _family_rules, _watch_rules), strict=True))
 
+#: Of each file the rules over its lines' own values, and the references they hold, by name; a rule is built when it is wanted.
+Rules = dict[str, Callable[[], list["One | Many"]]]
+RULES = dict(zip(FILES, ((_run_found, _run_refs), (_feature_found, _feature_refs), (_query_found, _query_refs), (_family_found, _family_refs), (_watch_found, _watch_refs)), strict=True))
 
-def _gathered(columns: list[Column | Many], kind: str) -> Column:
-    """Single structs and arrays of them in one array, nulls left out."""
-    arrays = [(c.column if isinstance(c, Many) else F.array(c)).cast(kind) for c in columns]
-    return F.filter(F.flatten(F.array(*arrays)), lambda x: x.isNotNull())
 
+def _wanted(rules: Collection[str] | None, made: Iterable[One]) -> list[One]:
+    return [one for one in made if rules is None or one.rule in rules]
 
-def judged(lines: DataFrame) -> DataFrame:
-    """``target, file, line, found, refs`` of every line that is an object: what its own rules find, and what it refers to."""
+
+def _built(rules: Collection[str] | None, registry: Rules) -> list[One | Many]:
+    """Findings of the wanted rules; no other rule is built."""
+    made = [f for names, make in registry.items() if rules is None or set(rules) & set(names.split()) for f in make()]
+    return [f for f in made if isinstance(f, Many) or rules is None or f.rule in rules]
+
+
+def _of_elements(many: Many, rules: Collection[str] | None) -> Column:
+    return F.flatten(F.transform(many.items, lambda x, i: F.array(*[o.column for o in _wanted(rules, many.made(x, i))])))
+
+
+def _gathered(found: list[One | Many], kind: str, rules: Collection[str] | None = None) -> Column:
+    """Single structs and those of elements in one array, nulls left out."""
+    ones = [f.column for f in found if isinstance(f, One)]
+    each = [_of_elements(f, rules) for f in found if isinstance(f, Many)]
+    arrays = [*([F.array(*ones)] if ones else []), *each]
+    whole = arrays[0] if len(arrays) == 1 else F.flatten(F.array(*[a.cast(kind) for a in arrays])) if arrays else F.array()
+    return F.filter(whole.cast(kind), lambda x: x.isNotNull())
+
+
+def judged(lines: DataFrame, rules: Collection[str] | None = None, refs: Collection[str] | None = None) -> DataFrame:
+    """``target, file, line, found, refs`` of every line that is an object: what its own rules find, and what it refers to.
+
+    Only the wanted rules and references are built (None: all), and only the values they use are read from a line; a
+    file that has none of them isn't read.
+    """
     out = []
-    for file, rules in RULES.items():
+    for file, (found, referred) in RULES.items():
         held: dict[str, Column] = {}
-        found, refs = rules(Node(F.col("v"), held=held))
-        rows = lines.where((F.col("file") == file) & F.col("v").isNotNull()).select("target", "file", "line", *[c.alias(name) for name, c in held.items()])
-        out.append(rows.select("target", "file", "line", _gathered(found, FOUND).alias("found"), _gathered(refs, REFS).alias("refs")))
+        n = Node(F.col("v"), held=held)
+        own, named = _built(rules, found(n)), _built(refs, referred(n))
+        if own or named:
+            rows = lines.where((F.col("file") == file) & F.col("v").isNotNull()).select("target", "file", "line", *[c.alias(name) for name, c in held.items()])
+            out.append(rows.select("target", "file", "line", _gathered(own, FOUND, rules).alias("found"), _gathered(named, REFS, refs).alias("refs")))
+    if not out:
+        return lines.where("false").select("target", "file", "line", F.array().cast(FOUND).alias("found"), F.array().cast(REFS).alias("refs"))
     return reduce(DataFrame.unionByName, out)
 
 
-def line_findings(lines: DataFrame) -> DataFrame:
-    """Findings that a line's own values give."""
+def line_findings(lines: DataFrame, rules: Collection[str] | None = None) -> DataFrame:
+    """Findings that a line's own values give, of the wanted rules."""
     # outer, lest the optimizer infers a filter over the whole array of rules
-    return judged(lines).select("target", "file", "line", F.inline_outer("found")).where("rule IS NOT NULL")
+    return judged(lines, rules, ()).select("target", "file", "line", F.inline_outer("found")).where("rule IS NOT NULL")
 
 
 def unique_ids(ids: DataFrame) -> DataFrame:
@@ -298,21 +372,22 @@ def ledger_ids(lines: DataFrame) -> DataFrame:
     return lines.where("v IS NOT NULL").select("target", "file", "line", own.alias("id"))
 
 
-def referred_ids(lines: DataFrame) -> DataFrame:
-    """``target, rule, ref``: the ids that references may name, one row each."""
+def referred_ids(lines: DataFrame, rules: Collection[str] | None = None) -> DataFrame:
+    """``target, rule, ref``: the ids that references of the wanted rules may name, one row each."""
+    named = {r: f for r, f in REFERS_TO.items() if rules is None or r in rules}
     n, file = Node(F.col("v")), F.col("file")
-    rule = F.create_map(*[F.lit(x) for pair in ((f, r) for r, f in REFERS_TO.items()) for x in pair])
+    rule = F.create_map(*[F.lit(x) for pair in ((f, r) for r, f in named.items()) for x in pair])
     own = F.when(file == "runs.jsonl", n.text("run_id")).when(file == "features.jsonl", n.text("id")).otherwise(n.text("family_id"))
-    rows = lines.where(F.col("v").isNotNull() & file.isin(*REFERS_TO.values())).select("target", F.try_element_at(rule, file).alias("rule"), own.alias("ref"))
+    rows = lines.where(F.col("v").isNotNull() & file.isin(*named.values())).select("target", F.try_element_at(rule, file).alias("rule"), own.alias("ref"))
     return rows.where("ref IS NOT NULL").distinct()
 
 
-def reference_findings(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """References to nothing, where the file that would hold the id can be read; an unknown family is a warning."""
-    refs = judged(lines).select("target", "file", "line", F.inline_outer("refs")).where("rule IS NOT NULL")
+def reference_findings(lines: DataFrame, files: DataFrame, rules: Collection[str] | None = None) -> DataFrame:
+    """References to nothing, of the wanted rules, where the file that would hold the id can be read; an unknown family is a warning."""
+    refs = judged(lines, (), rules).select("target", "file", "line", F.inline_outer("refs")).where("rule IS NOT NULL")
     rule = F.create_map(*[F.lit(x) for pair in ((f, r) for r, f in REFERS_TO.items()) for x in pair])
     readable = files.where(F.col("problem").isNull()).select("target", F.try_element_at(rule, F.col("file")).alias("rule")).where("rule IS NOT NULL").distinct()
-    lost = refs.join(readable, ["target", "rule"], "left_semi").join(referred_ids(lines), ["target", "rule", "ref"], "left_anti")
+    lost = refs.join(readable, ["target", "rule"], "left_semi").join(referred_ids(lines, rules), ["target", "rule", "ref"], "left_anti")
     return lost.select("target", "file", "line", "rule", F.when(F.col("rule") == "watch-family-unknown", "warning").otherwise("error").alias("severity"), "key")
 
 
@@ -365,10 +440,10 @@ def manifest_findings(manifests: DataFrame) -> DataFrame:
 
 
 def missing_reports(lines: DataFrame, paths: DataFrame) -> DataFrame:
-    """Runs whose report, a relative path, isn't among ``paths(target, path)``."""
+    """Runs whose report, a relative path, isn't among ``paths(path)``, or ``paths(target, path)`` where targets have files of their own."""
     n = Node(F.col("v"))
     rows = lines.where(F.col("file") == "runs.jsonl").select("target", "file", "line", n.text("report").alias("path"))
-    rows = rows.where((F.col("path") != "") & ~F.col("path").rlike(r"^/|(^|/)\.\.(/|$)")).join(paths, ["target", "path"], "left_anti")
+    rows = rows.where((F.col("path") != "") & ~F.col("path").rlike(r"^/|(^|/)\.\.(/|$)")).join(paths, [c for c in ("target", "path") if c in paths.columns], "left_anti")
     return rows.select("target", "file", "line", F.lit("report-missing").alias("rule"), F.lit("error").alias("severity"), F.lit("report").alias("key"))
 
 

@@ -44,11 +44,11 @@ def _files(spark) -> DataFrame:
 
 
 def _own(spark, sf_dir, rule: str, *files: str) -> DataFrame:
-    return ledger.line_findings(_lines(spark, sf_dir, *files)).where(F.col("rule") == rule).select("target", "file", "line", "key")
+    return ledger.line_findings(_lines(spark, sf_dir, *files), {rule}).select("target", "file", "line", "key")
 
 
 def _lost(spark, sf_dir, rule: str, *files: str) -> DataFrame:
-    return ledger.reference_findings(_lines(spark, sf_dir, *files), _files(spark)).where(F.col("rule") == rule).select("target", "file", "line", "key", "severity")
+    return ledger.reference_findings(_lines(spark, sf_dir, *files), _files(spark), {rule}).select("target", "file", "line", "key", "severity")
 
 
 @query(duck("features") + "SELECT v.priority, count(f.priority) AS n FROM (VALUES ('high'), ('medium'), ('low')) v(priority) LEFT JOIN features f ON f.priority = v.priority GROUP BY v.priority")
@@ -142,7 +142,7 @@ def ledger_windows(spark, sf_dir):
 @query(duck("families", "watch_lines") + """SELECT target, file, line, 'pub-spelling' AS rule, 'pubs[0]' AS key FROM families WHERE line % 11 = 0 UNION ALL SELECT target, file, line, 'pub-unparsed', 'pubs[0]' FROM families WHERE line % 11 = 1
     UNION ALL SELECT target, file, line, 'pub-kind', 'pub' FROM watch_lines WHERE line % 15 = 0""")
 def ledger_spellings(spark, sf_dir):
-    return ledger.line_findings(_lines(spark, sf_dir, "families", "watch_lines")).where("rule LIKE 'pub-%'").select("target", "file", "line", "rule", "key")
+    return ledger.line_findings(_lines(spark, sf_dir, "families", "watch_lines"), {"pub-spelling", "pub-kind", "pub-unparsed"}).select("target", "file", "line", "rule", "key")
 
 
 @query(duck("watch_lines", "runs") + """, m AS (SELECT run_id, arg_max(mode, line) AS mode FROM runs GROUP BY run_id) SELECT w.target, w.file, w.line, CASE WHEN shot_error IS NULL THEN 'snapshot' ELSE 'snapshot-error' END AS rule

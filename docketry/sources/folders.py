@@ -79,7 +79,8 @@ def _everywhere(spark: SparkSession, shared: str, local: str | None, glob: str |
     return spark.createDataFrame([], "kind string, name string, path string, length long, content binary, root string")
 
 
-def _system(root: str) -> tuple[fs.FileSystem, str]:
+def open_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that all tasks reach, and the folder's path in it."""
     return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", root))
 
 
@@ -92,7 +93,7 @@ def _names(spark: SparkSession, shared: str, local: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, root, folder in zip(*(batch.column(c).to_pylist() for c in ("kind", "root", "path")), strict=True):
-                system, place = _system(folder)
+                system, place = open_system(folder)
                 found = [i for i in system.get_file_info(fs.FileSelector(place, allow_not_found=True)) if i.type == fs.FileType.File]
                 for at in range(0, len(found), 10_000):
                     part = found[at : at + 10_000]
@@ -194,7 +195,7 @@ def write_files(files: DataFrame, root: str) -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _system(root)
+        system, base = open_system(root)
         made: set[str] = set()
         for batch in batches:
             for place, content in zip(batch.column("place").to_pylist(), batch.column("content").to_pylist(), strict=True):
