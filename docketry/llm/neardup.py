@@ -115,7 +115,8 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
             for some in blocks(((n, bytes(k), t or "") for n, k, t in rows), lambda r: len(r[2]), BLOCK_CHARS):
                 sets, count = shingle_sets([t for _, _, t in some], words)
                 made = [(n, m) for (n, k, _), m in zip(some, np.split(sets, np.cumsum(count)[:-1]), strict=True) if _digest(m) == k]
-                yield pd.DataFrame({"node": [n for n, _ in made], "members": [m.view(np.int64) for _, m in made]})
+                if made:  # a frame without rows has no type of list
+                    yield pd.DataFrame({"node": [n for n, _ in made], "members": [m.view(np.int64) for _, m in made]})
 
     return texts.select("node", "set_key", "text").mapInPandas(run, "node long, members array<long>")
 

@@ -56,3 +56,22 @@ def test_odd_tables(spark):
     frame = spark.createDataFrame([(*r, 7, "y") for r in rows], "doc_id long, text string, component long, id string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (3, 3, True), (3, 3, True)], key=str)
+
+
+@pytest.mark.parametrize("ids", [1, 3])
+def test_ids_on_many_different_texts(spark, ids, monkeypatch):
+    """Ids repeat over different texts, in more blocks of text than one: a class and its rows are still told apart by text."""
+    from docketry.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK_CHARS", 2000)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = [noisy(base, rng.randrange(0, 20), rng) for _ in range(60)] + [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(40)]
+    frame = spark.createDataFrame([(i % ids, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = near_duplicates(frame, words=2).collect()
+    want = brute(list(enumerate(texts)), 2)
+    # the smallest id that a row's group reaches
+    low = {}
+    for i, (_, c) in want.items():
+        low[c] = min(low.get(c, ids), i % ids)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i % ids, want[i][0], low[want[i][1]]) for i in want)
