@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docketry.functions.text import collapse
+
 # The phrasings that count as references.
 PRECEDING = r"(?i)(?U)\bany\s+(?:(?:one\s+)?of\s+)?the\s+preceding\s+claims\b|(?i)(?U)\bany\s+preceding\s+claim\b"
 LISTS = r"(?i)(?U)\bclaims?\s+([0-9]+(?:\s*(?:,|or|and|to|through|[-–—])\s*[0-9]+)*)"
@@ -44,22 +46,24 @@ def _candidates(body: Column) -> Column:
     return F.regexp_replace(line, r"(?U)((?<=[\p{L})\]])\.)([0-9]{1,4})(?=\.[ \t])", f"$1{MARK}$2")
 
 
-def split_claims(df: DataFrame, key: str, body: str) -> DataFrame:
-    """``key, number, text`` of the claims in a text that runs on.
+def split_claims(df: DataFrame, key: str, body: str, unnumbered: bool = False) -> DataFrame:
+    """``key, number, text`` of the claims in a text that runs on; a text keeps its printed number, white space is made one space.
 
-    Marks count only while their numbers rise; any other belongs to the claim it stands in.
+    Marks count only while their numbers rise; any other belongs to the claim it stands in.  With ``unnumbered`` a text
+    without any mark is one row without number and text.
     """
-    pieces = df.select(F.col(key), F.posexplode(F.split(_candidates(F.coalesce(F.col(body), F.lit(""))), MARK)).alias("piece", "text"))
+    cut = df.select(F.col(key), F.split(_candidates(F.coalesce(F.col(body), F.lit(""))), MARK).alias("cut"))
+    pieces = cut.select(F.col(key), (F.size("cut") == 1).alias("bare"), F.posexplode("cut").alias("piece", "text"))
     number = F.when(F.col("piece") > 0, F.regexp_extract("text", r"^([0-9]{1,4})\.", 1).try_cast("int"))
     earlier = W.partitionBy(key).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(key).orderBy("piece").rowsBetween(W.unboundedPreceding, W.currentRow)
     marked = pieces.withColumn("n", number).withColumn("most", F.max("n").over(earlier))
     # a number that doesn't exceed all before it, marks or not, exceeds no accepted one either
     starts = marked.withColumn("start", F.col("n").isNotNull() & F.coalesce(F.col("n") > F.col("most"), F.lit(True)))
-    claims = starts.withColumn("number", F.max(F.when(F.col("start"), F.col("n"))).over(upto)).where("number IS NOT NULL")
+    claims = starts.withColumn("number", F.max(F.when(F.col("start"), F.col("n"))).over(upto)).where("number IS NOT NULL OR bare" if unnumbered else "number IS NOT NULL")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda s: s["text"]), "")
     whole = claims.groupBy(key, "number").agg(text.alias("text"))
-    return whole.select(key, "number", F.trim(F.regexp_replace("text", r"^[0-9]{1,4}\.[ \t]+|(?U)\s+$", "")).alias("text"))
+    return whole.select(key, "number", F.when(F.col("number").isNotNull(), collapse("text")).alias("text"))
 
 
 def kept_marks(df: DataFrame, key: str, position: str, number: str) -> DataFrame:

@@ -102,12 +102,11 @@ def lookup(pubs: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def legal_with_fallback(legal: DataFrame, pubs: DataFrame) -> DataFrame:
-    """Legal events by publication ``pub, events``: a GB A-document without any takes those of its B-document."""
-    b = legal.where(F.col("pub").rlike(r"^GB\..*\.B[0-9]?$")).select(F.regexp_replace("pub", r"\.B[0-9]?$", ".A").alias("a_key"), F.col("events").alias("b_events"))
-    b = b.groupBy("a_key").agg(F.max_by("b_events", F.size("b_events")).alias("b_events"))
-    own = pubs.select("pub").join(legal, "pub", "left").withColumn("a_key", F.regexp_replace("pub", r"\.A[0-9]?$", ".A"))
-    out = own.join(b, "a_key", "left")
-    swap = F.col("pub").rlike(r"^GB\..*\.A[0-9]?$") & (F.coalesce(F.size("events"), F.lit(0)) <= 0) & (F.coalesce(F.size("b_events"), F.lit(0)) > 0)
+    """Legal events by publication ``pub, events``: a GB A-document without any takes those of the same number with kind B."""
+    b = legal.where(F.col("pub").rlike(r"^GB\..*\.B$")).select(F.col("pub").alias("b_key"), F.col("events").alias("b_events"))
+    own = pubs.select("pub").join(legal, "pub", "left").withColumn("b_key", F.when(F.col("pub").rlike(r"^GB\..*\.A[0-9]?$"), F.regexp_replace("pub", r"\.A[0-9]?$", ".B")))
+    out = own.join(b, "b_key", "left")
+    swap = F.col("b_key").isNotNull() & (F.coalesce(F.size("events"), F.lit(0)) <= 0) & (F.coalesce(F.size("b_events"), F.lit(0)) > 0)
     return out.select("pub", F.when(swap, F.col("b_events")).otherwise(F.col("events")).alias("events"), swap.alias("from_b"))
 
 

@@ -80,11 +80,42 @@ def xml_search_biblio(spark, sf_dir):
     return page.join(xml.search_biblio(raw).select(F.col("requested").alias("query"), "pub", "title", "pos"), "query")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS pub, n AS number, CASE n WHEN 1 THEN 'A ' || p_name || '.' WHEN 2 THEN 'The thing of claim 1.' ELSE 'A thing of claims 1 or 2.' END AS text, CASE n WHEN 1 THEN '' WHEN 2 THEN '1' ELSE '1,2' END AS depends_on FROM part, (VALUES (1), (2), (3)) v(n)""")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS pub, n AS number, CASE n WHEN 1 THEN '1. A ' || p_name || '.' WHEN 2 THEN '2. The thing of claim 1.' WHEN 3 THEN '3. A thing of claims 1 or 2.' END AS text, CASE n WHEN 1 THEN '' WHEN 2 THEN '1' WHEN 3 THEN '1,2' END AS depends_on, CASE WHEN n IS NULL THEN 'upstream_data' END AS error
+    FROM part, (VALUES (1), (2), (3), (NULL)) v(n) WHERE (n IS NULL) = (p_partkey % 6 < 3)""")
 def xml_claims(spark, sf_dir):
-    body = _wrap('<w xmlns:f="u"><f:claims lang="DE"><claim><claim-text>1. Ein Ding</claim-text></claim></f:claims><f:claims lang="EN"><claim><claim-text>1. A ', "$p_name", ".2. The thing of claim 1.</claim-text><claim-text>3. A thing of claims 1 or 2.</claim-text></claim></f:claims></w>")
-    out = xml.claims(view(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("pub"), body.alias("body")))
-    return out.select("pub", "number", "text", F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("depends_on"))
+    body = _wrap('<w xmlns:f="u"><f:claims lang="DE"><claim><claim-text>1. Ein Ding</claim-text></claim></f:claims><f:claims lang="EN"><claim><claim-text>1. A ', "$p_name", ".2. The  thing\nof claim 1.</claim-text><claim-text>3. A thing of claims 1 or 2.</claim-text></claim></f:claims></w>")
+    # of six bodies one has no section, one no numbers, and one isn't XML
+    odd = F.when(F.col("p_partkey") % 6 == 0, "<w/>").when(F.col("p_partkey") % 6 == 1, "<w><claims><claim-text>A thing.</claim-text></claims></w>").when(F.col("p_partkey") % 6 == 2, "<w")
+    out = xml.claims(view(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("pub"), F.coalesce(odd, body).alias("body")))
+    return out.select("pub", "number", "text", F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("depends_on"), "error")
+
+
+@query("""WITH s AS (SELECT *, s_suppkey % 5 AS k, ' ' || s_name || '  x ' AS t FROM supplier) SELECT CAST(s_suppkey AS VARCHAR) AS requested, CASE WHEN k <> 4 THEN 'EP.' || s_suppkey || CASE WHEN k = 1 THEN '' ELSE '.A1' END END AS pub, CAST(s_nationkey AS VARCHAR) AS family_id,
+    CASE WHEN k = 4 THEN '' ELSE trim(t) END AS title, CASE WHEN k = 4 THEN '' ELSE s_name || ' works. Well.' END AS abstract, CASE k WHEN 4 THEN '' WHEN 2 THEN 'ACME [US]' ELSE 'Acme Inc.|Second' END AS applicants, CASE WHEN k = 4 THEN '' ELSE 'Ann' END AS inventors,
+    CASE WHEN k = 4 THEN '' ELSE 'G06F 17/00' END AS ipc, CASE WHEN k = 4 THEN '' ELSE 'G06F17/10|H01L1/' || s_suppkey END AS cpc, CASE k WHEN 4 THEN '' WHEN 3 THEN '' ELSE '20240101' END AS publication_date, CASE WHEN k = 4 THEN '' ELSE 'US.7.A' END AS cited_patents, CAST(CASE WHEN k = 4 THEN 0 ELSE 2 END AS INT) AS npl_citation_count,
+    CASE WHEN k = 4 THEN 'upstream_data' END AS error FROM s""")
+def xml_biblio_fields(spark, sf_dir):
+    s = view(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey") % 5)
+    # the reference names another publication than the document; one of five has no kind, one no original applicant, one no date, one no data
+    s = s.withColumn("kind", F.when(F.col("k") != 1, F.lit('kind="A1"')).otherwise("")).withColumn("date", F.when(F.col("k") != 3, F.lit("<date> 20240101 </date>")).otherwise("")).withColumn("form", F.when(F.col("k") != 2, "original").otherwise("docdb"))
+    cpc = lambda scheme, section, group, sub: f'<patent-classification><classification-scheme scheme="{scheme}"/>{section}<main-group>{group}</main-group><subgroup>{sub}</subgroup></patent-classification>'
+    g, h = "<section>G</section><class> 06</class><subclass>F </subclass>", "<section>H</section><class>01</class><subclass>L</subclass>"
+    head = ('<w xmlns:ops="u"><exchange-documents><exchange-document country="EP" doc-number="', "$s_suppkey", '" ', "$kind", ' family-id="', "$s_nationkey", '">')
+    data = (
+        '<bibliographic-data><publication-reference><document-id document-id-type="docdb"><country>WO</country><doc-number>9</doc-number><kind>A2</kind>', "$date", '</document-id></publication-reference><invention-title lang="de">y</invention-title><invention-title lang="EN"> ', "$s_name", "  x </invention-title>",
+        "<classifications-ipcr><classification-ipcr><text> G06F   17/00 </text></classification-ipcr><classification-ipcr><text> </text></classification-ipcr></classifications-ipcr><patent-classifications>", cpc("cpci", g, "17", "10"), cpc("CPCA", g, " 17", "10"), cpc("UC", g, "1", "1"), cpc("CPCI", "<section>G</section>", "1", "1"),
+        '<patent-classification><classification-scheme scheme="CPCI"/>' + h + "<main-group>1</main-group><subgroup>", "$s_suppkey", "</subgroup></patent-classification></patent-classifications>",
+        '<parties><applicants><applicant data-format="epodoc"><applicant-name><name>ACME [US]</name></applicant-name></applicant><applicant data-format="', "$form", '"><applicant-name><name>', "$who", '</name></applicant-name></applicant><applicant data-format="', "$form", '"><applicant-name><name>', "$second",
+        "</name></applicant-name></applicant></applicants><inventors><inventor><inventor-name><name>Ann</name></inventor-name></inventor><inventor><inventor-name><name> Ann,</name></inventor-name></inventor></inventors></parties>",
+        '<references-cited><citation><patcit><document-id document-id-type="docdb"><country>US</country><doc-number>7</doc-number><kind>A</kind></document-id></patcit></citation><citation><patcit><document-id document-id-type="epodoc"><doc-number>US8</doc-number></document-id></patcit></citation><citation><nplcit><text>x</text></nplcit></citation><citation><nplcit><text>y</text></nplcit></citation></references-cited></bibliographic-data>',
+    )
+    tail = ('<abstract lang="de"><p>z</p></abstract><abstract lang="en"><p>', "$s_name", "  works.</p><p>Well.</p></abstract></exchange-document></exchange-documents></w>")
+    s = s.withColumn("who", F.when(F.col("k") == 2, "ACME [US]").otherwise("Acme Inc., ")).withColumn("second", F.when(F.col("k") == 2, "ACME [US],").otherwise("Second"))
+    body = F.concat(_wrap(*head), F.when(F.col("k") != 4, _wrap(*data)).otherwise(""), _wrap(*tail))
+    out = xml.biblio(s.select(F.col("s_suppkey").cast("string").alias("requested"), body.alias("body")), "requested")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    blank = F.when(F.col("error").isNull(), F.col("abstract")).otherwise("")
+    return out.select("requested", "pub", "family_id", "title", blank.alias("abstract"), joined("applicants"), joined("inventors"), joined("ipc"), joined("cpc"), "publication_date", joined("cited_patents"), "npl_citation_count", "error")
 
 
 @query("SELECT o_orderkey AS id, CAST(v.line AS INT) AS line, CASE WHEN v.line IN (3, 4) THEN 'json' END AS problem, CASE v.line WHEN 1 THEN o_orderpriority WHEN 5 THEN 'x' END AS value FROM orders, (VALUES (1), (3), (4), (5)) v(line)")
@@ -203,7 +234,7 @@ def claims_fallback(spark, sf_dir):
     return cache_views.claims_with_fallback(o, o.where("pub % 3 = 0").select("pub", some), o.where("pub % 3 = 1").select("pub", some)).select("pub", "source")
 
 
-@query("SELECT p_partkey AS id, 1 AS number, 'A ' || p_name || ', fast.' AS text FROM part UNION ALL SELECT p_partkey, 2, 'As in claim 1, see\n1. that.' FROM part UNION ALL SELECT p_partkey, 4, 'Last.' FROM part")
+@query("SELECT p_partkey AS id, 1 AS number, '1. A ' || p_name || ', fast.' AS text FROM part UNION ALL SELECT p_partkey, 2, '2. As in claim 1, see 1. that.' FROM part UNION ALL SELECT p_partkey, 4, '4. Last.' FROM part")
 def claim_split(spark, sf_dir):
     text = _filled("1. A $n, fast.2. As in claim 1, see\n1. that.\n4. Last. ", n=F.col("p_name"))
     return claim_functions.split_claims(view(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("t")), "id", "t").select("id", "number", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -52,25 +53,33 @@ def _names(rows: Column, holder: str) -> Column:
 
 
 def biblio(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
-    """One row for each exchange document of a body, or one with ``error`` where there is none."""
+    """One row for each exchange document of a body, or one with ``error`` where there is none; one without bibliographic data has an error too.
+
+    The publication is that of the document's own attributes.  Titles keep their inner white space.
+    """
     rows = _parsed(df, body, BIBLIO).select(key, F.posexplode_outer("x.exchange-documents.exchange-document").alias("pos", "d"))
     data = F.col("d")["bibliographic-data"]
     ids = data["publication-reference"]["document-id"]
     none = F.array().cast("array<string>")
-    cpc = F.filter(data["patent-classifications"]["patent-classification"], lambda c: c["classification-scheme"]["_scheme"].startswith("CPC") & (F.coalesce(c["section"], F.lit("")) != "") & (F.coalesce(c["class"], F.lit("")) != "") & (F.coalesce(c["subclass"], F.lit("")) != "") & (F.coalesce(c["main-group"], F.lit("")) != "") & (F.coalesce(c["subgroup"], F.lit("")) != ""))
+    filled = lambda c, k: F.coalesce(strip(c[k]), F.lit(""))
+    parts = ("section", "class", "subclass", "main-group", "subgroup")
+    whole = lambda c: reduce(lambda a, b: a & b, [filled(c, k) != "" for k in parts])
+    cpc = F.filter(data["patent-classifications"]["patent-classification"], lambda c: F.coalesce(F.upper(c["classification-scheme"]["_scheme"]).startswith("CPC"), F.lit(False)) & whole(c))
     cited = data["references-cited"]["citation"]
-    pub = F.concat_ws(".", F.col("d")["_country"], F.col("d")["_doc-number"], F.nullif(F.col("d")["_kind"], F.lit("")))
+    own = lambda k: F.coalesce(F.col("d")[k], F.lit(""))
+    pub = F.concat(own("_country"), F.lit("."), own("_doc-number"), F.when(own("_kind") != "", F.concat(F.lit("."), own("_kind"))).otherwise(""))
+    there = F.col("d").isNotNull() & data.isNotNull()
     return rows.select(
-        F.col(key).alias("requested"), "pos", F.coalesce(docdb_of(ids), pub).alias("pub"), F.coalesce(F.col("d")["_family-id"], F.lit("")).alias("family_id"),
-        F.coalesce(collapse(english(data["invention-title"])["_VALUE"]), F.lit("")).alias("title"),
+        F.col(key).alias("requested"), "pos", F.when(there, pub).alias("pub"), own("_family-id").alias("family_id"),
+        F.coalesce(strip(english(data["invention-title"])["_VALUE"]), F.lit("")).alias("title"),
         F.coalesce(collapse(english(F.transform(F.col("d")["abstract"], lambda a: F.struct(a["_lang"].alias("_lang"), F.array_join(a["p"], "\n").alias("_VALUE"))))["_VALUE"]), F.lit("")).alias("abstract"),
         _names(data["parties"]["applicants"]["applicant"], "applicant-name").alias("applicants"), _names(data["parties"]["inventors"]["inventor"], "inventor-name").alias("inventors"),
-        F.coalesce(F.transform(data["classifications-ipcr"]["classification-ipcr"], lambda c: collapse(c["text"])), none).alias("ipc"),
-        F.coalesce(F.array_distinct(F.transform(cpc, lambda c: F.concat(c["section"], c["class"], c["subclass"], c["main-group"], F.lit("/"), c["subgroup"]))), none).alias("cpc"),
-        F.coalesce(F.try_element_at(F.filter(ids, lambda d: d["_document-id-type"] == "docdb"), F.lit(1))["date"], F.lit("")).alias("publication_date"),
+        F.coalesce(F.filter(F.transform(data["classifications-ipcr"]["classification-ipcr"], lambda c: collapse(c["text"])), lambda t: t != ""), none).alias("ipc"),
+        F.coalesce(F.array_distinct(F.transform(cpc, lambda c: F.concat(*[filled(c, k) for k in parts[:4]], F.lit("/"), filled(c, "subgroup")))), none).alias("cpc"),
+        F.coalesce(strip(F.try_element_at(F.filter(ids, lambda d: d["_document-id-type"] == "docdb"), F.lit(1))["date"]), F.lit("")).alias("publication_date"),
         F.coalesce(F.array_compact(F.transform(cited, lambda c: docdb_of(c["patcit"]["document-id"]))), none).alias("cited_patents"),
         F.coalesce(F.size(F.filter(cited, lambda c: c["nplcit"].isNotNull())), F.lit(0)).alias("npl_citation_count"),
-        F.when(F.col("d").isNull(), "upstream_data").alias("error"),
+        F.when(~there, "upstream_data").alias("error"),
     )
 
 
@@ -89,15 +98,12 @@ def _legal_events(body: str) -> tuple[list[tuple], str | None]:
     except ElementTree.ParseError:
         return [], "upstream_data"
     local = lambda e: e.tag.rpartition("}")[2]
-    fault = next((e for e in root.iter() if local(e) == "fault"), None)
-    if fault is not None:
-        code = next(((e.text or "").strip() for e in fault.iter() if local(e) == "code"), "")
-        return [], None if code == "SERVER.EntityNotFound" else "upstream_data"
     events = []
     for e in root.iter():
-        if local(e) == "legal" and e.get("code") is not None:
-            date = next(((c.text or "").strip() for c in e if c.get("desc") == "Gazette DATE"), "")
-            events.append(((e.get("code") or "").strip(), (e.get("desc") or "").strip(), date, ["".join(c.itertext()) for c in e if local(c) == "pre"]))
+        if local(e) == "legal":
+            # the first date that isn't empty counts
+            dates = ((c.text or "").strip() for c in e if local(c) != "pre" and c.get("desc") == "Gazette DATE")
+            events.append(((e.get("code") or "").strip(), (e.get("desc") or "").strip(), next(filter(None, dates), ""), [c.text or "" for c in e if local(c) == "pre"]))
     section = any(local(e) == "patent-family" and e.get("legal") == "true" for e in root.iter())
     return events, None if events or section else "upstream_data"
 
@@ -127,7 +133,11 @@ def _claim_texts(body: str) -> tuple[str | None, str | None]:
 
 
 def legal_events(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
-    """``pub, pos, code, desc, gazette_date, pre_lines, error``: one row for each event, or one with an error."""
+    """``pub, pos, code, desc, gazette_date, pre_lines, error``: one row for each event, or one with an error.
+
+    An event without a code has an empty one.  A section without events has no row; a body without a section, which
+    every fault is, is an error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -152,9 +162,14 @@ def claim_bodies(df: DataFrame, key: str = "pub", body: str = "body") -> DataFra
 
 
 def claims(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
-    """``pub, number, text, depends_on`` of the numbered claims in full-text bodies."""
-    whole = claim_bodies(df, key, body).where("error IS NULL")
-    return split_claims(whole, "pub", "text").select("pub", "number", "text", claim_refs(F.col("text"), F.col("number")).alias("depends_on"))
+    """``pub, number, text, depends_on, error`` of the numbered claims in full-text bodies.
+
+    A body that can't be read, has no claims section or no numbered claim is one row with an error.
+    """
+    whole = claim_bodies(df, key, body).select(F.struct("pub", "error").alias("of"), "text")
+    cut = split_claims(whole, "of", "text", unnumbered=True)
+    error = F.coalesce("of.error", F.when(F.col("number").isNull(), "upstream_data"))
+    return cut.select("of.pub", "number", "text", F.when(F.col("number").isNotNull(), claim_refs(F.col("text"), F.col("number"))).alias("depends_on"), error.alias("error"))
 
 
 #: Prefixed and bare spellings of a search response; what isn't there is null.
