@@ -49,20 +49,20 @@ def usage_report(log: DataFrame, today: Column, bound: Column | None = None) ->
     # one pass counts each combination; the maps are sums over its few rows
     few = rows.groupBy("kind", "status", "state", "skipped", "undated", "counted", "now").agg(F.count(F.lit(1)).alias("n"), F.count_if("alarm").alias("alarms"), F.min_by("at", "line_no").alias("first"), F.min("line_no").alias("low"), F.max_by("at", "line_no").alias("last"), F.max("line_no").alias("high"))
 
-    def by(column: str, condition: str) -> DataFrame:
-        sums = few.where(condition).groupBy(F.col(column).alias("k")).agg(F.sum("n").alias("n"))
-        return sums.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(f"by_{column}"))
-
-    total = lambda condition, name: F.coalesce(F.sum(F.when(F.expr(condition), F.col("n"))), F.lit(0)).alias(name)
-    whole = few.agg(
-        total("counted", "total_requests"), F.coalesce(F.sum(F.when(F.col("counted"), F.col("alarms"))), F.lit(0)).alias("non_green_events"), F.coalesce(F.min_by("first", F.when(F.col("counted"), F.col("low"))), F.lit("")).alias("first_at"),
-        F.coalesce(F.max_by("last", F.when(F.col("counted"), F.col("high"))), F.lit("")).alias("last_at"), total("counted AND now", "today_requests"), total("skipped", "skipped_lines"), total("undated", "undated_lines"),
+    # each combination counts towards some maps and some totals: entries of all of them are one aggregation
+    entry = lambda name, k, n, condition: F.when(F.expr(condition), F.struct(F.lit(name).alias("name"), k.alias("k"), n.alias("n")))
+    maps = {"by_kind": ("kind", "counted"), "by_status": ("status", "counted"), "system_states": ("state", "counted AND state IS NOT NULL"), "today_by_kind": ("kind", "counted AND now")}
+    totals = {"total_requests": ("n", "counted"), "non_green_events": ("alarms", "counted"), "today_requests": ("n", "counted AND now"), "skipped_lines": ("n", "skipped"), "undated_lines": ("n", "undated")}
+    entries = [entry(name, F.col(k), F.col("n"), condition) for name, (k, condition) in maps.items()] + [entry(name, F.lit(""), F.col(n), condition) for name, (n, condition) in totals.items()]
+    each = few.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), *["low", "first", "high", "last"])
+    sums = each.groupBy("e.name", "e.k").agg(F.sum("e.n").alias("n"), F.min_by("first", "low").alias("first"), F.min("low").alias("low"), F.max_by("last", "high").alias("last"), F.max("high").alias("high"))
+    of = lambda name: F.col("name") == name
+    map_ = lambda name: F.map_from_entries(F.sort_array(F.collect_list(F.when(of(name), F.struct("k", "n"))))).alias(name)
+    counted = of("total_requests")
+    return sums.agg(
+        *[F.coalesce(F.sum(F.when(of(name), F.col("n"))), F.lit(0)).alias(name) for name in totals], F.coalesce(F.min_by("first", F.when(counted, F.col("low"))), F.lit("")).alias("first_at"),
+        F.coalesce(F.max_by("last", F.when(counted, F.col("high"))), F.lit("")).alias("last_at"), *[map_(name) for name in maps],
     )
-    parts = [by("kind", "counted"), by("status", "counted"), by("state", "counted AND state IS NOT NULL").withColumnRenamed("by_state", "system_states"), by("kind", "counted AND now").withColumnRenamed("by_kind", "today_by_kind")]
-    for part in parts:
-        # one row beside one row
-        whole = whole.withColumn("_1", F.lit(1)).join(part.withColumn("_1", F.lit(1)), "_1").drop("_1")
-    return whole
 
 
 def services(log: DataFrame) -> DataFrame:

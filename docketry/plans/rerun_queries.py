@@ -1,4 +1,4 @@
-"""Registered queries of follow-up runs and numbered log lines."""
+"""Registered queries of follow-up runs, numbered log lines and nested items."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.operators import cleanup
 from docketry.operators.rerun import FollowUps
 from docketry.plans.catalog import LOG, query
 from docketry.plans.proxies import duck, view
@@ -43,3 +44,27 @@ def log_line_numbers(spark, sf_dir):
     lines = jsonl.numbered_lines(spark, path)
     v = F.parse_json("value")
     return lines.select(F.try_variant_get(v, "$.event_id", "long").alias("event_id"), F.try_variant_get(v, "$.kind", "string").alias("kind"), F.col("line_no").alias("number"))
+
+
+NESTED = """WITH p AS (SELECT o_orderkey AS idx, '/r' || o_custkey % 700 AS top, 'd' || o_orderkey % 30 AS mid, 'f' || o_orderkey % 900 AS leaf, CASE WHEN o_orderkey % 40 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 2 ELSE 3 END AS depth, o_orderpriority AS kind FROM orders),
+    i AS (SELECT *, CASE depth WHEN 1 THEN top WHEN 2 THEN top || '/' || mid ELSE top || '/' || mid || '/' || leaf END AS path FROM p), f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY path ORDER BY idx) = 1),
+    kept AS (SELECT * FROM f WHERE NOT (depth > 1 AND top IN (SELECT path FROM f)) AND NOT (depth > 2 AND top || '/' || mid IN (SELECT path FROM f))) """
+
+
+def _items(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    top, mid, leaf = text("/r", F.col("o_custkey") % 700), text("d", k % 30), text("f", k % 900)
+    # some paths are spelled by detours
+    path = F.when(k % 40 == 0, top).when(k % 5 == 0, F.concat(top, F.lit("/./x/../"), mid, F.lit("/"))).otherwise(F.concat_ws("/", top, mid, leaf))
+    return view(spark, sf_dir, "orders").select(k.alias("idx"), path.alias("path"), F.col("o_orderpriority").alias("kind"), F.lit(10).cast("long").alias("bytes"))
+
+
+@query(NESTED + "SELECT idx FROM kept")
+def nested_items(spark, sf_dir):
+    return cleanup.drop_covered(_items(spark, sf_dir)).select("idx")
+
+
+@query(NESTED + "SELECT kind, count(*) AS n, CAST(10 * count(*) AS BIGINT) AS bytes FROM kept GROUP BY ROLLUP (kind)")
+def nested_rollup(spark, sf_dir):
+    return cleanup.rollup(_items(spark, sf_dir), "kind")
