@@ -99,6 +99,7 @@ class _Reader:
         #: Of marked containers: the one around it, whether it holds an article, characters of its own blocks.
         self.around: list[int] = []
         self.has_article: list[bool] = []
+        self.is_article: list[bool] = []
         self.text: list[str] = []
         self.links, self.heading, self.in_links, self.sections = 0, False, 0, 0
         #: An inline element whose text is left out, and how deep elements of its name are open in it.
@@ -140,9 +141,10 @@ class _Reader:
                     section = self.sections
                     if mark >= 0:
                         self.has_article[mark] = True
-                if named and name not in ("html", "body", "article", "main"):
+                if named and name not in ("html", "body", "main"):
                     self.around.append(mark)
-                    self.has_article.append(False)
+                    self.has_article.append(name == "article")
+                    self.is_article.append(name == "article")
                     mark = len(self.around) - 1
                 self.stack.append((name, aside or hidden or name in ASIDE or (name == "header" and not section), section, mark))
         elif attributes and name not in VOID and not closed and not self.muted and any(_marks(attributes)):
@@ -165,23 +167,37 @@ class _Reader:
                     break
 
     def finish(self) -> list[Block]:
-        """The blocks; a container's name counts against what is in it, unless it holds an article or nearly all of the page's text."""
+        """The blocks; a container's name counts against what is in it, unless it holds the page's article or nearly all of its text.
+
+        An article inside it doesn't make it the page's: comments and teasers are articles too.  It is, if hardly any
+        text of an article lies outside; where each of several named containers has one, an article with a name of
+        its own, then the largest.
+        """
         self.close()
-        size = [0] * len(self.around)
-        total = 0
+        size, of_articles = [0] * len(self.around), [0] * len(self.around)
+        total, articles = 0, 0
         for block, mark in zip(self.blocks, self.held_by, strict=True):
             if not block.noise:
-                total += len(block.text)
+                n, own = len(block.text), len(block.text) if block.section else 0
+                total, articles = total + n, articles + own
                 if mark >= 0:
-                    size[mark] += len(block.text)
+                    size[mark] += n
+                    of_articles[mark] += own
         # containers come before those inside them
         for k in range(len(self.around) - 1, -1, -1):
             if (up := self.around[k]) >= 0:
                 size[up] += size[k]
+                of_articles[up] += of_articles[k]
                 self.has_article[up] = self.has_article[up] or self.has_article[k]
+        whole = [size[k] >= WHOLE * total or (self.has_article[k] and articles - of_articles[k] < LONG) for k in range(len(self.around))]
+        if articles >= LONG and not any(b.section and not b.noise and m < 0 for b, m in zip(self.blocks, self.held_by, strict=True)) and not any(whole):
+            # an article with a name of its own comes before one in a container with a name
+            best = max((k for k in range(len(self.around)) if self.has_article[k]), key=lambda k: (self.is_article[k] and self.around[k] < 0, of_articles[k], k), default=-1)
+            while best >= 0:
+                whole[best], best = True, self.around[best]
         beside: list[bool] = []
         for k, up in enumerate(self.around):
-            beside.append((up >= 0 and beside[up]) or not (self.has_article[k] or size[k] >= WHOLE * total))
+            beside.append((up >= 0 and beside[up]) or not whole[k])
         for block, mark in zip(self.blocks, self.held_by, strict=True):
             block.noise = block.noise or (mark >= 0 and beside[mark])
         return self.blocks

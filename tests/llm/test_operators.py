@@ -261,6 +261,25 @@ class Plain(html.parser.HTMLParser):
             self.text += data
 
 
+STORY = "The story is about the way that the river was crossed by the people of the town, and it was told to them by those who had seen it with their own eyes on the day. " * 3
+REMARK = "I think that this is the best that was written about the river and the town in all of the years that I have been a reader of it, and I was there on the day. " * 5
+
+
+@pytest.mark.parametrize("beside", [
+    '<ol class="comment-list"><li><article class="comment-body"><p>{}</p></article></li></ol>',
+    '<div class="related"><article><p>{}</p></article><article><p>{}</p></article></div>',
+    '<article class="comment"><p>{}</p></article>',
+    '<section id="comments"><article><header>Ann</header><p>{}</p></article></section>',
+    '<div class="sidebar"><main2><article><p>{}</p></article></main2></div>',
+])
+@pytest.mark.parametrize("whole", ["<article><h1>On the river</h1><p>{}</p></article>{}", "<main><article><p>{}</p></article>{}</main>", '<div class="page sidebar-wrap"><article><p>{}</p></article>{}</div>', "{1}<article class='post related-story'><p>{0}</p></article>"])
+def test_articles_of_readers_and_teasers_are_no_main_text(beside, whole):
+    if "related-story" in whole and 'class="comment"' in beside:
+        return  # two named articles side by side: the larger one can't be told from the page's
+    text = mainext.main_text("<html><body>" + whole.format(STORY, beside.format(REMARK, REMARK)) + "</body></html>")
+    assert "story is about" in text and "best that was written" not in text
+
+
 def test_main_text_equals_a_plainer_extractor(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in mainext.extract_main_text(pages).collect()}
