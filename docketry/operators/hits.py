@@ -107,6 +107,20 @@ def verify_summary(given: DataFrame, got: DataFrame) -> DataFrame:
     return sums.withColumn("ok", F.expr("missing = 0 AND unexpected = 0 AND duplicates = 0"))
 
 
+def verify_batch(given: DataFrame, got: DataFrame) -> DataFrame:
+    """``problem, key, first_idx, n``: all lists of a verification in one pass, a row for each key and problem it has.
+
+    ``missing`` and ``unexpected`` keys with their first place, ``duplicate`` keys of the output with how often they
+    occur, ``unparseable`` texts of either side, the input's place first.  Nothing is wrong with a batch without rows.
+    """
+    both = _keyed(given).withColumn("out", F.lit(False)).unionByName(_keyed(got).withColumn("out", F.lit(True)))
+    of = lambda c, side: F.when(F.col("out") == side, c)
+    keys = both.groupBy("key").agg(F.count_if(~F.col("out")).alias("n_in"), F.count_if("out").alias("n_out"), F.min(of(F.col("idx"), False)).alias("first_in"), F.min(of(F.col("idx"), True)).alias("first_out"), F.bool_or(~F.col("parsed")).alias("odd"))
+    problem = lambda condition, name, first, n: F.when(F.expr(condition), F.struct(F.lit(name).alias("problem"), F.col(first).alias("first_idx") if isinstance(first, str) else first.alias("first_idx"), F.col(n).alias("n")))
+    found = F.array_compact(F.array(problem("n_out = 0", "missing", "first_in", "n_in"), problem("n_in = 0", "unexpected", "first_out", "n_out"), problem("n_out > 1", "duplicate", "first_out", "n_out"), problem("odd", "unparseable", F.coalesce("first_in", "first_out"), "n_out")))
+    return keys.select("key", F.explode(found).alias("p")).select("p.problem", "key", "p.first_idx", F.when(F.col("p.problem") == "duplicate", F.col("p.n")).alias("n"))
+
+
 def plan_check(totals: DataFrame, max_total: int | None = None) -> DataFrame:
     """``queries, errors, total_sum, exceeded`` from ``query, total, error``; a query with an error adds nothing."""
     out = totals.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("total"))), F.lit(0)).alias("total_sum"))

@@ -125,6 +125,12 @@ def verify_summary(spark, sf_dir):
     return hits.verify_summary(view(spark, sf_dir, "verify_in"), view(spark, sf_dir, "verify_out"))
 
 
+@query(VERIFY + """SELECT 'missing' AS problem, key, min(idx) AS first_idx, CAST(NULL AS BIGINT) AS n FROM i WHERE key NOT IN (SELECT key FROM o) GROUP BY key UNION ALL SELECT 'unexpected', key, min(idx), NULL FROM o WHERE key NOT IN (SELECT key FROM i) GROUP BY key
+    UNION ALL SELECT 'duplicate', key, min(idx), count(*) FROM o GROUP BY key HAVING count(*) > 1 UNION ALL SELECT 'unparseable', key, min(idx), NULL FROM o WHERE key LIKE '?%' GROUP BY key""")
+def verify_batch(spark, sf_dir):
+    return hits.verify_batch(view(spark, sf_dir, "verify_in"), view(spark, sf_dir, "verify_out"))
+
+
 @query("SELECT 5 AS queries, 1 AS errors, CAST(count(*) FILTER (c_mktsegment <> 'BUILDING') AS BIGINT) AS total_sum, count(*) FILTER (c_mktsegment <> 'BUILDING') > 1000 AS exceeded FROM customer")
 def plan_totals(spark, sf_dir):
     totals = view(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("query")).agg(F.count(F.lit(1)).alias("total"))
