@@ -17,13 +17,14 @@ from docketry.functions.text import collapse, strip
 OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
 _ID = "`document-id`: array<struct<`_document-id-type`: string, country: string, `doc-number`: string, kind: string, date: string>>"
 _TEXTS = "array<struct<_lang: string, _VALUE: string>>"
-BIBLIO = f"""`exchange-documents` struct<`exchange-document`: array<struct<_country: string, `_doc-number`: string, _kind: string, `_family-id`: string,
+_DOCUMENT = f"""array<struct<_country: string, `_doc-number`: string, _kind: string, `_family-id`: string,
   `bibliographic-data`: struct<`publication-reference`: struct<{_ID}>, `invention-title`: {_TEXTS},
     `classifications-ipcr`: struct<`classification-ipcr`: array<struct<text: string>>>,
     `patent-classifications`: struct<`patent-classification`: array<struct<`classification-scheme`: struct<_scheme: string>, section: string, class: string, subclass: string, `main-group`: string, subgroup: string>>>,
     parties: struct<applicants: struct<applicant: array<struct<`_data-format`: string, `applicant-name`: struct<name: string>>>>, inventors: struct<inventor: array<struct<`_data-format`: string, `inventor-name`: struct<name: string>>>>>,
     `references-cited`: struct<citation: array<struct<patcit: struct<{_ID}>, nplcit: struct<text: string>>>>>,
-  abstract: array<struct<_lang: string, p: array<string>>>>>>, _bad string"""
+  abstract: array<struct<_lang: string, p: array<string>>>>>"""
+BIBLIO = f"""`exchange-documents` struct<`exchange-document`: {_DOCUMENT}>, _bad string"""
 FAMILY = f"""`ops:patent-family` struct<`ops:family-member`: array<struct<`_family-id`: string, `publication-reference`: struct<{_ID}>>>>, _bad string"""
 
 
@@ -57,7 +58,11 @@ def biblio(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
 
     The publication is that of the document's own attributes.  Titles keep their inner white space.
     """
-    rows = _parsed(df, body, BIBLIO).select(key, F.posexplode_outer("x.exchange-documents.exchange-document").alias("pos", "d"))
+    return _documents(_parsed(df, body, BIBLIO).select(F.col(key).alias("requested"), F.posexplode_outer("x.exchange-documents.exchange-document").alias("pos", "d")))
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """Fields of exchange documents ``requested, pos, d``."""
     data = F.col("d")["bibliographic-data"]
     ids = data["publication-reference"]["document-id"]
     none = F.array().cast("array<string>")
@@ -70,7 +75,7 @@ def biblio(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
     pub = F.concat(own("_country"), F.lit("."), own("_doc-number"), F.when(own("_kind") != "", F.concat(F.lit("."), own("_kind"))).otherwise(""))
     there = F.col("d").isNotNull() & data.isNotNull()
     return rows.select(
-        F.col(key).alias("requested"), "pos", F.when(there, pub).alias("pub"), own("_family-id").alias("family_id"),
+        "requested", "pos", F.when(there, pub).alias("pub"), own("_family-id").alias("family_id"),
         F.coalesce(strip(english(data["invention-title"])["_VALUE"]), F.lit("")).alias("title"),
         F.coalesce(collapse(english(F.transform(F.col("d")["abstract"], lambda a: F.struct(a["_lang"].alias("_lang"), F.array_join(a["p"], "\n").alias("_VALUE"))))["_VALUE"]), F.lit("")).alias("abstract"),
         _names(data["parties"]["applicants"]["applicant"], "applicant-name").alias("applicants"), _names(data["parties"]["inventors"]["inventor"], "inventor-name").alias("inventors"),
@@ -174,7 +179,7 @@ def claims(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
 
 #: Prefixed and bare spellings of a search response; what isn't there is null.
 SEARCH = f"""`ops:biblio-search` struct<`_total-result-count`: string, `ops:query`: struct<_VALUE: string, _syntax: string>, `ops:range`: struct<_begin: string, _end: string>,
-  `ops:search-result`: struct<`ops:publication-reference`: array<struct<`_family-id`: string, {_ID}>>, `exchange-documents`: array<struct<`exchange-document`: array<struct<_country: string>>>>>>,
+  `ops:search-result`: struct<`ops:publication-reference`: array<struct<`_family-id`: string, {_ID}>>, `exchange-documents`: array<struct<`exchange-document`: {_DOCUMENT}>>>>,
   code string, `ops:code` string, _bad string"""
 NOT_FOUND = "SERVER.EntityNotFound"
 
@@ -217,9 +222,8 @@ def search_biblio_page(df: DataFrame, key: str = "query", body: str = "body") ->
 
 
 def search_biblio(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
-    """The documents of such searches as ``biblio`` gives them; a search without any has no row here."""
-    inner = F.regexp_replace(F.col(body), r"(?s)^.*?(<(?:\w+:)?search-result\b)", "$1")
-    lifted = F.concat(F.lit("<w>"), F.regexp_replace(F.regexp_replace(inner, r"(?s)</?(?:\w+:)?search-result\b[^>]*>", ""), r"(?s)</(?:\w+:)?biblio-search>.*$", ""), F.lit("</w>"))
-    # each document comes in a holder of its own: they become one
-    lifted = F.regexp_replace(lifted, r"(?s)</(?:\w+:)?exchange-documents>\s*<(?:\w+:)?exchange-documents\b[^>]*>", "")
-    return biblio(df.withColumn("_lifted", lifted), key, "_lifted").where("error IS NULL")
+    """The documents of such searches as ``biblio`` gives them, in order; a search without any has no row here."""
+    rows, _, found = _searched(df, body)
+    held = F.transform(found["ops:search-result"]["exchange-documents"], lambda h: h["exchange-document"])
+    docs = F.flatten(F.filter(held, lambda d: d.isNotNull()))
+    return _documents(rows.select(F.col(key).alias("requested"), F.posexplode(docs).alias("pos", "d")))
