@@ -28,7 +28,11 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, dict, list[str] | None]] = []
+        self.stack: list[str] = []
+        # of the open elements by depth: sinks, claims sections, and table rows with a name
+        self.sinks: list[tuple[int, list[str]]] = []
+        self.in_claims: list[int] = []
+        self.rows: list[tuple[int, str]] = []
         self.fields: dict[str, str] = {}
         self.claims: list[tuple[str, list[str], list[str]]] = []
         self.sections: list[list[str]] = []
@@ -37,17 +41,16 @@ class _Page(HTMLParser):
         self.refs: dict[str, list[list[str]]] = {k: [] for k in REFERENCE_ROWS}
 
     def _row(self) -> str | None:
-        return next((a["itemprop"] for t, a, _ in reversed(self.stack) if t == "tr" and a.get("itemprop")), None)
+        return self.rows[-1][1] if self.rows else None
 
     def handle_starttag(self, tag, attributes):
         a, sink = dict(attributes), None
         prop = a.get("itemprop")
-        in_claims = any(t == "section" and x.get("itemprop") == "claims" for t, x, _ in self.stack)
         if tag == "section" and prop == "claims":
             self.sections.append(sink := [])
         elif tag == "section" and prop == "abstract" and self.abstract is None:
             self.abstract = sink = []
-        elif tag == "div" and in_claims and "claim" in (a.get("class") or "").split() and "num" in a:
+        elif tag == "div" and self.in_claims and "claim" in (a.get("class") or "").split() and "num" in a:
             self.claims.append((a["num"] or "", sink := [], []))
         elif tag == "claim-ref" and self.claims:
             self.claims[-1][2].append(a.get("idref") or "")
@@ -64,18 +67,30 @@ class _Page(HTMLParser):
                 if prop == wanted and element in (None, tag) and name not in self.fields and (anywhere or self._row() is None):
                     self.fields[name] = sink = []
         if tag not in VOID:
-            self.stack.append((tag, a, sink))
+            depth = len(self.stack)
+            self.stack.append(tag)
+            if sink is not None:
+                self.sinks.append((depth, sink))
+            if tag == "section" and prop == "claims":
+                self.in_claims.append(depth)
+            if tag == "tr" and prop:
+                self.rows.append((depth, prop))
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+            if self.stack[k] == tag:
                 del self.stack[k:]
+                while self.sinks and self.sinks[-1][0] >= k:
+                    self.sinks.pop()
+                while self.in_claims and self.in_claims[-1] >= k:
+                    self.in_claims.pop()
+                while self.rows and self.rows[-1][0] >= k:
+                    self.rows.pop()
                 break
 
     def handle_data(self, data):
-        for _, _, sink in self.stack:
-            if sink is not None:
-                sink.append(data)
+        for _, sink in self.sinks:
+            sink.append(data)
 
 
 COLUMNS = "pub string, " + ", ".join(f"{c} string" for c in FIELDS) + ", abstract string, claims array<struct<number: string, text: string, refs: array<string>>>, section_text string, n_sections int, codes array<string>, backward_refs array<string>, forward_refs array<string>, similar array<string>"

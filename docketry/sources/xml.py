@@ -96,11 +96,18 @@ def family(df: DataFrame, key: str = "pub", body: str = "body") -> DataFrame:
     return wrapped.select(F.col(key).alias("requested"), F.coalesce(F.try_element_at(members, F.lit(1))["_family-id"], F.lit("")).alias("family_id"), F.coalesce(ids, F.array().cast("array<string>")).alias("members"), F.when(members.isNull(), "upstream_data").alias("error"))
 
 
-def _legal_events(body: str) -> tuple[list[tuple], str | None]:
-    """Events with text as it stands; ElementTree keeps what from_xml can't: children of any name beside mixed text."""
+def _element(body: str) -> ElementTree.Element | None:
+    """The outer element, None for a body that isn't well-formed or declares entities of its own."""
     try:
-        root = ElementTree.fromstring(body)
+        return None if "<!ENTITY" in body else ElementTree.fromstring(body)
     except ElementTree.ParseError:
+        return None
+
+
+def _legal_events(body: str) -> tuple[list[tuple], str | None]:
+    """Events with text as it stands; ElementTree keeps what from_xml can't: children of any name beside mixed text."""
+    root = _element(body)
+    if root is None:
         return [], "upstream_data"
     local = lambda e: e.tag.rpartition("}")[2]
     events = []
@@ -115,9 +122,8 @@ def _legal_events(body: str) -> tuple[list[tuple], str | None]:
 
 def _claim_texts(body: str) -> tuple[str | None, str | None]:
     """The English claims, else the first language's: outermost claim-text elements joined by line feeds."""
-    try:
-        root = ElementTree.fromstring(body)
-    except ElementTree.ParseError:
+    root = _element(body)
+    if root is None:
         return None, "upstream_data"
     local = lambda e: e.tag.rpartition("}")[2]
     sections = [e for e in root.iter() if local(e) == "claims"]
