@@ -63,10 +63,10 @@ def _there(base: str):
 def read_ledgers(spark: SparkSession, base: str, target: str | None = None) -> Ledgers:
     """All ledgers under ``base``, or one target's.  Every folder counts as a target, whatever it holds.
 
-    A folder's files are read in one pass, empty ones too, which Spark's own file source would leave out; reports are
-    looked up one by one, as a base may hold many other files.
+    A folder's files are read once, empty ones too, which Spark's own file source would leave out, and stay in Spark's
+    cache; reports are looked up one by one, as a base may hold many other files.
     """
-    held = spark.createDataFrame([(base,)], "base string").mapInArrow(_contents(base, target), "target string, file string, content binary")
+    held = spark.createDataFrame([(base,)], "base string").mapInArrow(_contents(base, target), "target string, file string, content binary").persist()
     problem = file_problem(F.col("content"))
     files = held.where("file IS NOT NULL").select("target", "file", problem.alias("problem"), F.col("content").cast("string").alias("text"))
     good = files.where("problem IS NULL")
