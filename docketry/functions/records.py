@@ -17,6 +17,8 @@ REST, REST_MOST, BLOCKED = 60, 300, 900
 INTERVALS = {"search": 4, "retrieval": 1, "inpadoc": 2, "other": 1, "page": 2}
 #: Lifetimes by kind, in hours; none: never expires.
 LIFETIMES = {"biblio": 90 * 24, "claims": None, "legal": 7 * 24, "family": 30 * 24, "gp": None, "search": 24, "searchbib": 24}
+#: Characters of a text that a message shows.
+SHOWN = 80
 PUB_KINDS = ("biblio", "claims", "legal", "family", "gp")
 
 
@@ -146,6 +148,14 @@ def windowed_query(query: Column, searched_through: Column, until: Column, overl
     return F.format_string('(%s) and pd within "%s %s"', query, F.date_format(F.date_sub(searched_through, overlap_days), "yyyyMMdd"), F.date_format(until, "yyyyMMdd"))
 
 
-def shown(text: Column, most: int = 80) -> Column:
-    """A value for a message, cut to ``most`` characters."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+def quoted(text: Column) -> Column:
+    """A text as JSON."""
+    whole = F.to_json(F.array(text))
+    return F.substr(whole, F.lit(2), F.length(whole) - 2)
+
+
+def shown(v: Column) -> Column:
+    """A VARIANT value for a message: containers by name, texts quoted and cut to ``SHOWN`` characters, all else as JSON."""
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    cut = F.when(F.length(text) > SHOWN, F.concat(F.substring(text, 1, SHOWN), F.lit("..."))).otherwise(text)
+    return F.when(kind.like("OBJECT%"), "an object").when(kind.like("ARRAY%"), "an array").when(kind == "STRING", quoted(cut)).when(kind == "VOID", "null").otherwise(F.to_json(v))

@@ -184,11 +184,12 @@ def windowed_query(spark, sf_dir):
     return view(spark, sf_dir, "orders").select("o_orderkey", cql.alias("cql"), records.spell_epoch(F.unix_micros(at) / 1_000_000).alias("spelled"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 77) || '...' ELSE text END AS shown, CASE WHEN doc_id % 3 = 0 THEN 'EP.' || doc_id || '.A1' END AS final_name, doc_id % 4 <> 0 AS valid FROM documents")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'an object' WHEN 1 THEN 'an array' WHEN 2 THEN 'null' WHEN 3 THEN CAST(doc_id AS VARCHAR) ELSE CAST(to_json(CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END) AS VARCHAR) END AS shown, CASE WHEN doc_id % 3 = 0 THEN 'EP.' || doc_id || '.A1' END AS final_name, doc_id % 4 <> 0 AS valid FROM documents")
 def shown_and_names(spark, sf_dir):
     k = F.col("doc_id").cast("string")
     name = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("EP."), k, F.lit(".A1.tmp"))).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("EP."), k, F.lit(".A1.123.0af9.tmp"))).otherwise(k)
-    return view(spark, sf_dir, "documents").select("doc_id", records.shown(F.col("text")).alias("shown"), records.tmp_target(name).alias("final_name"), records.valid_key(F.when(F.col("doc_id") % 4 == 0, F.concat(k, F.lit("/x"))).otherwise(k)).alias("valid"))
+    value = F.element_at(F.array(F.lit('{"a": 1}'), F.lit("[1]"), F.lit("null"), k, records.quoted(F.col("text"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return view(spark, sf_dir, "documents").select("doc_id", records.shown(F.parse_json(value)).alias("shown"), records.tmp_target(name).alias("final_name"), records.valid_key(F.when(F.col("doc_id") % 4 == 0, F.concat(k, F.lit("/x"))).otherwise(k)).alias("valid"))
 
 
 @query(CACHE + "SELECT doc_id FROM f WHERE kind NOT IN ('search', 'searchbib') OR fresh")
