@@ -1,4 +1,4 @@
-"""Registered queries of follow-up runs, numbered log lines and nested items."""
+"""Registered queries of follow-up runs, numbered log lines, nested items and pacing notes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.operators import cleanup
+from docketry.operators import cleanup, pacing
 from docketry.operators.rerun import FollowUps
 from docketry.plans.catalog import LOG, query
 from docketry.plans.proxies import duck, view
@@ -68,3 +68,26 @@ def nested_items(spark, sf_dir):
 @query(NESTED + "SELECT kind, count(*) AS n, CAST(10 * count(*) AS BIGINT) AS bytes FROM kept GROUP BY ROLLUP (kind)")
 def nested_rollup(spark, sf_dir):
     return cleanup.rollup(_items(spark, sf_dir), "kind")
+
+
+#: A moment in microseconds, and deadlines around it: some passed, some more than an hour ahead.
+MOMENT = 1_705_000_000_000_000
+NOTES = f"""WITH n AS (SELECT 'u' || event_id % 300 AS upstream, event_type AS service, event_id AS seq, {MOMENT} + (event_id % 5000 - 1000) * 1000000 AS due, event_id % 10 = 0 AS cools, event_id % 12 = 0 AS steps, event_id % 60 = 6 AS clears, event_id % 7 = 0 AS blocks, event_id % 14 = 0 AS says FROM events),
+    j AS (SELECT upstream, max(seq) AS seq FROM n WHERE steps OR clears GROUP BY upstream),
+    st AS (SELECT n.upstream, n.service, n.seq * 1000 AS interval_us FROM n JOIN j USING (upstream, seq) WHERE NOT clears),
+    b AS (SELECT upstream, service, arg_max(due, seq) FILTER (blocks) AS blocked_until_us, coalesce(max(CASE WHEN says THEN 'refused' END), '') AS blocked_reason FROM n GROUP BY ALL HAVING arg_max(due, seq) FILTER (blocks) > {MOMENT} AND arg_max(due, seq) FILTER (blocks) <= {MOMENT} + 3600000000),
+    c AS (SELECT upstream, arg_max(due, seq) AS cool FROM n WHERE cools GROUP BY upstream)
+    SELECT upstream, service, CAST(interval_us AS BIGINT) AS interval_us, CAST(NULL AS BIGINT) AS cool_down_until_us, CAST(blocked_until_us AS BIGINT) AS blocked_until_us, blocked_reason FROM st FULL JOIN b USING (upstream, service)
+    UNION ALL SELECT upstream, NULL, NULL, cool, NULL, NULL FROM c WHERE cool > {MOMENT} AND cool <= {MOMENT} + 3600000000"""
+
+
+@query(NOTES)
+def pacing_notes(spark, sf_dir):
+    k = F.col("event_id")
+    due, none = F.lit(MOMENT) + (k % 5000 - 1000) * 1_000_000, F.lit(None).cast("map<string,long>")
+    steps = F.when(k % 12 == 0, F.create_map("event_type", k * 1000)).when(k % 60 == 6, F.create_map().cast("map<string,long>")).otherwise(none)
+    notes = view(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), (k % 300).cast("string")).alias("upstream"), F.col("event_type").alias("service"), k.alias("seq"), F.when(k % 10 == 0, due).alias("cool_down_until_us"), steps.alias("intervals"),
+        F.when(k % 7 == 0, due).alias("block_until_us"), F.when(k % 14 == 0, "refused").alias("block_reason"),
+    )
+    return pacing.pacing_state(notes, MOMENT)

@@ -84,6 +84,13 @@ class Versioned(Commits):
         parts = self._parts(self.version() if version is None else version)
         return self._rows([folder for part, folder in sorted(parts.items()) if kinds is None or part.split("/")[0] in kinds])
 
+    def entries(self, wanted: list[tuple[str, str]], version: int | None = None) -> DataFrame:
+        """Rows of the given kinds and keys; no partition but theirs is listed or read."""
+        asked = self.spark.createDataFrame(wanted, "kind string, key string")
+        parts = self._parts(self.version() if version is None else version)
+        places = {f"{r['kind']}/{r['b']}" for r in asked.select("kind", self._bucket().alias("b")).distinct().collect()}
+        return self._rows([parts[p] for p in sorted(places) if p in parts]).join(F.broadcast(asked.distinct()), ["kind", "key"], "left_semi")
+
     def _rows(self, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(ROWS).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], ROWS)
 

@@ -122,6 +122,9 @@ def test_commits(spark, tmp_path):
     one, two = table._parts(1), table._parts(2)
     assert one["legal/" + next(p for p in one if p.startswith("legal")).split("/")[1]] in two.values() and set(one.values()) & set(two.values())
 
+    few = table.entries([("gp", "k3"), ("legal", "k1"), ("legal", "none"), ("biblio", "k1")])
+    assert {(r.kind, r.key, bytes(r.body)) for r in few.collect()} == {("gp", "k3", b"two"), ("legal", "k1", b"one")} and len(few.inputFiles()) <= 3
+
     # a third write that fails on the way leaves the second
     bad = rows(spark, ("gp", "k5", NOW, "three")).withColumn("body", F.when(F.col("key") == "k5", F.raise_error(F.lit("lost"))).otherwise(F.col("body")))
     with pytest.raises(Exception, match="lost"):
