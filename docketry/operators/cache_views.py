@@ -93,12 +93,18 @@ def evict(raw: DataFrame, now: Column, kinds: tuple[str, ...] = ("search", "sear
     return raw.where(~F.col("kind").isin(*kinds) | is_fresh(F.col("kind"), F.col("key"), F.col("fetched_at"), now))
 
 
-def lookup(pubs: DataFrame, stored: DataFrame) -> DataFrame:
-    """``pubs(docdb, alternate)`` with the body stored under the number, or else under its alternate spelling."""
-    body = stored.select("key", "body")
-    hit = pubs.join(body.select(F.col("key").alias("docdb"), F.col("body").alias("b1")), "docdb", "left")
-    hit = hit.join(body.select(F.col("key").alias("alternate"), F.col("body").alias("b2")), "alternate", "left")
-    return hit.select("docdb", "alternate", F.coalesce("b1", "b2").alias("body"), F.when(F.col("b1").isNotNull(), F.col("docdb")).when(F.col("b2").isNotNull(), F.col("alternate")).alias("found_as"))
+def lookup(pubs: DataFrame, stored: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """``pubs(docdb, alternate)`` with the body stored under the number, or else under its alternate spelling.
+
+    ``stored(key, body)`` has one body for each key.  With several stores in one table, both sides carry the columns
+    ``within`` that tell them apart: a number is looked up in its own store alone, and keys are unique within each.
+    """
+    body = stored.select(*within, "key", "body")
+    hit = pubs.join(body.select(*within, F.col("key").alias("docdb"), F.col("body").alias("b1")), [*within, "docdb"], "left")
+    # numbers without an alternate spelling are looked for once more as they are, as null keys would all meet in one task
+    hit = hit.withColumn("second", F.coalesce("alternate", "docdb"))
+    hit = hit.join(body.select(*within, F.col("key").alias("second"), F.col("body").alias("b2")), [*within, "second"], "left")
+    return hit.select(*within, "docdb", "alternate", F.coalesce("b1", "b2").alias("body"), F.when(F.col("b1").isNotNull(), F.col("docdb")).when(F.col("b2").isNotNull(), F.col("alternate")).alias("found_as"))
 
 
 def legal_with_fallback(legal: DataFrame, pubs: DataFrame) -> DataFrame:

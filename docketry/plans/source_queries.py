@@ -214,8 +214,10 @@ def cache_listings(spark, sf_dir):
 def cache_lookup(spark, sf_dir):
     o = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("US."), (F.col("o_orderkey") % 20 + 2000).cast("string"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit(".A1")).alias("docdb"))
     pubs = o.withColumn("alternate", pubnum.alternate_docdb(pubnum.parse(F.col("docdb"))))
-    stored = pubs.where("k % 3 < 2").select(F.when(F.col("k") % 3 == 0, F.col("docdb")).otherwise(F.col("alternate")).alias("key"), F.col("k").cast("string").alias("body"))
-    return cache_views.lookup(pubs.select("docdb", "alternate"), stored).select("docdb", "body", "found_as")
+    # the number holds six digits of the key: every million of keys is a store of its own
+    pubs = pubs.withColumn("store", F.floor(F.col("k") / 1_000_000))
+    stored = pubs.where("k % 3 < 2").select("store", F.when(F.col("k") % 3 == 0, F.col("docdb")).otherwise(F.col("alternate")).alias("key"), F.col("k").cast("string").alias("body"))
+    return cache_views.lookup(pubs.select("store", "docdb", "alternate"), stored, ("store",)).select("docdb", "body", "found_as")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'GB' ELSE 'EP' END AS c FROM orders) SELECT c || '.' || k || '.A' AS pub, CASE WHEN k % 2 = 0 THEN 'a' WHEN c = 'GB' AND k % 5 <> 0 THEN 'b' ELSE '' END AS events, c = 'GB' AND k % 2 = 1 AND k % 5 <> 0 AS from_b FROM s""")
