@@ -111,7 +111,8 @@ def legal_with_fallback(legal: DataFrame, pubs: DataFrame) -> DataFrame:
     """Legal events by publication ``pub, events``: a GB A-document without any takes those of the same number with kind B."""
     b = legal.where(F.col("pub").rlike(r"^GB\..*\.B$")).select(F.col("pub").alias("b_key"), F.col("events").alias("b_events"))
     own = pubs.select("pub").join(legal, "pub", "left").withColumn("b_key", F.when(F.col("pub").rlike(r"^GB\..*\.A[0-9]?$"), F.regexp_replace("pub", r"\.A[0-9]?$", ".B")))
-    out = own.join(b, "b_key", "left")
+    # rows without a B-document get a key that none has, each its own: null keys would all meet in one task
+    out = own.withColumn("asked", F.coalesce("b_key", F.concat(F.lit(" "), "pub"))).join(b.withColumnRenamed("b_key", "asked"), "asked", "left")
     swap = F.col("b_key").isNotNull() & (F.coalesce(F.size("events"), F.lit(0)) <= 0) & (F.coalesce(F.size("b_events"), F.lit(0)) > 0)
     return out.select("pub", F.when(swap, F.col("b_events")).otherwise(F.col("events")).alias("events"), swap.alias("from_b"))
 
