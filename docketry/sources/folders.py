@@ -16,17 +16,20 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from docketry.functions.records import LIFETIMES, PUB_KINDS, instant, tmp_target, valid_key
 from docketry.operators import cache_views
 from docketry.sources.jsonl import is_object
+from docketry.sources.spread import spread
 
 # The layout and the fields that a sidecar must have.
 SIDECAR = ".meta.json"
 FIELDS = ("kind", "key", "ident", "fetched_at")
 PAGES = "gp"
-#: Wanted bodies up to this number are opened by name; more are read with their folders.
+#: Files that are opened by name for one batch of rows at most, and the bytes after which a batch ends before that.
 BY_NAME = 1000
+BATCH_BYTES = 16 << 20
 
 
 def kind_folder(kind: Column) -> Column:
@@ -54,31 +57,6 @@ def _roots(shared: str, local: str | None) -> dict[str, str]:
     return {"shared": shared, "local": shared if local is None else local}
 
 
-def _files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame | None:
-    """Files under a root with their place below it, ``kind, name, path, length, content``; those of no kind are left out."""
-    base = _base(spark, root)
-    if base is None:
-        return None
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    place = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
-    kind = F.coalesce(F.nullif(F.regexp_extract(place, r"^ops/([^/]+)/[^/]+$", 1), F.lit("")), F.nullif(F.regexp_extract(place, r"^(gp)/[^/]+$", 1), F.lit("")))
-    rows = files.select(kind.alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "content")
-    return rows.where(F.col("kind").isin(*LIFETIMES) & ((F.col("kind") == PAGES) == place.startswith(f"{PAGES}/")))
-
-
-def _everywhere(spark: SparkSession, shared: str, local: str | None, glob: str | None = None) -> DataFrame:
-    """Files of both roots, each kind from its own root alone."""
-    found = []
-    for root, path in _roots(shared, local).items():
-        files = _files(spark, path, glob)
-        if files is not None:
-            found.append(files.withColumn("root", F.lit(root)).where(root_of(F.col("kind")) == root))
-    if found:
-        return reduce(DataFrame.unionByName, found)
-    return spark.createDataFrame([], "kind string, name string, path string, length long, content binary, root string")
-
-
 def open_system(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder that all tasks reach, and the folder's path in it."""
     return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", root))
@@ -106,12 +84,55 @@ def _names(spark: SparkSession, shared: str, local: str | None) -> DataFrame:
     return rows.repartition(max(1, len(folders)), "kind").mapInArrow(run, "kind string, root string, name string, path string, length long")
 
 
+def _opened(rows: DataFrame, place: str) -> DataFrame:
+    """``rows`` with ``content``: the file that the column ``place`` names, null where it names none or none is there.
+
+    Tasks open the files themselves, so no list of them is made on the driver.
+    """
+    most = BY_NAME
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict[str, tuple[fs.FileSystem, str]] = {}
+
+        def read(path: str | None) -> bytes | None:
+            if path is None:
+                return None
+            folder, _, name = path.rpartition("/")
+            if folder not in systems:
+                systems[folder] = open_system(folder)
+            system, base = systems[folder]
+            try:
+                with system.open_input_stream(f"{base}/{name}") as file:
+                    return file.read()
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            told = lambda start, held: pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], names=[*batch.schema.names, "content"])  # noqa: B023, E731
+            start, size, held = 0, 0, []
+            for path in batch.column(place).to_pylist():
+                held.append(read(path))
+                size += len(held[-1] or b"")
+                if len(held) >= most or size >= BATCH_BYTES:
+                    yield told(start, held)
+                    start, size, held = start + len(held), 0, []
+            if held:
+                yield told(start, held)
+
+    return spread(rows).mapInArrow(run, StructType([*rows.schema.fields, StructField("content", BinaryType())]))
+
+
 def listing(spark: SparkSession, shared: str, local: str | None = None) -> DataFrame:
     """``kind, key, root, has_body, has_meta, size, path``: what each kind's folder holds, one row for each key.
 
     Bodies, sidecars and temporary files (counted for the file they were written for) are one pass over names and
     sizes: no file is opened.  Names of another suffix are left out; a folder that isn't there has no entries.
     """
+    return _entries(spark, shared, local).drop("meta_path")
+
+
+def _entries(spark: SparkSession, shared: str, local: str | None) -> DataFrame:
+    """``listing`` with ``meta_path``, where the sidecar lies."""
     files = _names(spark, shared, local)
     suffix = F.when(F.col("kind") == PAGES, ".html").otherwise(".xml")
     final = F.coalesce(tmp_target(F.col("name")), F.col("name"))
@@ -121,34 +142,40 @@ def listing(spark: SparkSession, shared: str, local: str | None = None) -> DataF
     return rows.groupBy("kind", "key", "root").agg(
         F.max(body).alias("has_body"), F.max(~F.col("tmp") & F.col("meta")).alias("has_meta"),
         F.coalesce(F.max(F.when(body, F.col("length"))), F.lit(0)).alias("size"), F.max(F.when(body, F.col("path"))).alias("path"),
+        F.max(F.when(~F.col("tmp") & F.col("meta"), F.col("path"))).alias("meta_path"),
     )
 
 
-def sidecars(spark: SparkSession, shared: str, local: str | None = None) -> DataFrame:
-    """``kind, key, meta_ok, ident, fetched_at, meta_size``: what the sidecars say; one without a needed field isn't ok."""
-    files = _everywhere(spark, shared, local, "*" + SIDECAR)
+def _told(rows: DataFrame) -> DataFrame:
+    """``rows`` with what their sidecar's ``content`` says in place of it: ``meta_ok, ident, fetched_at, meta_size``; one without a needed field isn't ok."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
     v = F.col("v")
     has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
-    rows = files.select("kind", F.substr("name", F.lit(1), F.length("name") - len(SIDECAR)).alias("key"), F.try_parse_json(text).alias("v"))
-    rows = rows.withColumn("meta_ok", is_object(v) & reduce(lambda a, b: a & b, map(has, FIELDS)))
+    ok = F.coalesce(is_object(v) & reduce(lambda a, b: a & b, map(has, FIELDS)), F.lit(False))
+    read = rows.withColumn("v", F.try_parse_json(text)).withColumn("meta_ok", ok)
     told = lambda k, t: F.when(F.col("meta_ok"), F.try_variant_get(v, f"$.{k}", t)).alias(k)
     # a size that is no number fits no body
     kind = F.schema_of_variant(F.try_variant_get(v, "$.size", "variant"))
     whole = F.coalesce(F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$.size", "bigint")), F.lit(-1))
     size = F.when(F.col("meta_ok") & has("size") & (kind != "VOID"), whole)
-    return rows.select("kind", "key", "meta_ok", told("ident", "string"), told("fetched_at", "string"), size.alias("meta_size"))
+    return read.select(*[c for c in rows.columns if c != "content"], "meta_ok", told("ident", "string"), told("fetched_at", "string"), size.alias("meta_size"))
+
+
+def sidecars(spark: SparkSession, shared: str, local: str | None = None) -> DataFrame:
+    """``kind, key, meta_ok, ident, fetched_at, meta_size``: what the sidecars say."""
+    files = _names(spark, shared, local).where(F.col("name").endswith(SIDECAR))
+    return _told(_opened(files.select("kind", F.substr("name", F.lit(1), F.length("name") - len(SIDECAR)).alias("key"), "path"), "path").drop("path"))
 
 
 def inventory(spark: SparkSession, shared: str, local: str | None, now: Column, lifetimes: dict[str, int | None] = LIFETIMES) -> DataFrame:
     """Every entry or fragment of one: ``listing`` and ``sidecars`` with ``problem, broken, expired`` (see ``cache_views.entries``)."""
-    rows = listing(spark, shared, local).join(sidecars(spark, shared, local), ["kind", "key"], "left").withColumn("meta_ok", F.coalesce("meta_ok", F.lit(False)))
+    rows = _told(_opened(_entries(spark, shared, local), "meta_path").drop("meta_path"))
     return cache_views.entries(rows, now, lifetimes)
 
 
 def quick_counts(spark: SparkSession, shared: str, local: str | None = None) -> DataFrame:
     """``kind, n``: sidecars of every kind, zero where there are none; names alone are read."""
-    names = _everywhere(spark, shared, local, "*" + SIDECAR).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    names = _names(spark, shared, local).where(F.col("name").endswith(SIDECAR)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     kinds = spark.createDataFrame([(k,) for k in LIFETIMES], "kind string")
     return kinds.join(names, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -165,15 +192,8 @@ def read_store(spark: SparkSession, shared: str, local: str | None, wanted: Data
     held = inventory(spark, shared, local, now, lifetimes).select("kind", "key", "path", "size", "ident", "fetched_at", "problem", "expired")
     why = F.coalesce(bad, F.when(F.col("path").isNull() & F.col("problem").isNull(), "absent"), F.col("problem"), F.when(instant(F.col("fetched_at")).isNull(), "unreadable time"), F.when(F.col("expired"), "expired"))
     rows = asked.join(held, ["kind", "key"], "left").withColumn("miss", why)
-    good = rows.where("miss IS NULL").select("path", "size")
-    named = [r["path"] for r in good.select("path").limit(BY_NAME + 1).collect()]
-    if len(named) <= BY_NAME:
-        bodies = spark.read.format("binaryFile").load(named).select("path", "content") if named else spark.createDataFrame([], "path string, content binary")
-    else:
-        bodies = _everywhere(spark, shared, local).select("path", "content").join(good.select("path"), "path", "left_semi")
-    out = rows.join(bodies, "path", "left")
+    out = _opened(rows.select("kind", "key", "size", "ident", "fetched_at", "miss", F.when(F.col("miss").isNull(), F.col("path")).alias("open")), "open")
     # the body may have been replaced since it was listed
-    out = out.withColumn("content", F.coalesce("content", F.when(F.col("size") == 0, F.lit(b""))))  # Spark skips empty files
     whole = F.coalesce(F.length("content") == F.col("size"), F.lit(False))
     miss = F.coalesce("miss", F.when(~whole, "size mismatch"))
     served = lambda c: F.when(miss.isNull(), F.col(c)).alias(c)

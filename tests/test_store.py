@@ -102,6 +102,26 @@ def test_no_folder_and_many_wanted(spark, tmp_path, monkeypatch):
     assert [v[2] for _, v in sorted(reads(spark, tmp_path, None, *[r[:2] for r in FEW]).items())] == [None, None, "expired", None]
 
 
+@pytest.mark.parametrize("named", [1, 1000])
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(folders, "BY_NAME", named)
+    folders.store_documents(entries(spark, *FEW), str(tmp_path))
+    wanted = spark.createDataFrame([r[:2] for r in FEW], "kind string, key string")
+    asked = [folders.inventory(spark, str(tmp_path), None, now()), folders.quick_counts(spark, str(tmp_path)), folders.sidecars(spark, str(tmp_path)), folders.read_store(spark, str(tmp_path), None, wanted, now())]
+    # Spark's own file sources hold the names of all files on the driver; tasks list folders here
+    assert not any(out.inputFiles() for out in asked)
+    assert [out.count() for out in asked] == [4, 7, 4, 4]
+
+
+def test_empty_sidecars_count_and_are_unreadable(spark, tmp_path):
+    folder = tmp_path / "ops" / "biblio"
+    folder.mkdir(parents=True)
+    (folder / "k.xml").write_text("body")
+    (folder / "k.meta.json").write_text("")
+    assert [(r.key, r.problem) for r in folders.inventory(spark, str(tmp_path), None, now()).collect()] == [("k", "unreadable sidecar")]
+    assert {r.kind: r.n for r in folders.quick_counts(spark, str(tmp_path)).collect()}["biblio"] == 1
+
+
 def rows(spark, *given):
     return spark.createDataFrame([(k, key, "i", at, body) for k, key, at, body in given], ENTRY).withColumnRenamed("content", "body")
 
