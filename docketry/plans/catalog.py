@@ -12,6 +12,7 @@ from docketry.functions import pubnum, records
 from docketry.operators import cache_views, hits, pacing, snapshots, usage
 from docketry.plans.proxies import duck, legal, view
 from docketry.sources import xml
+from docketry.sources.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -371,7 +372,7 @@ LEGAL_XML = '<?xml version="1.0"?><ops:world-patent-data xmlns:ops="u"><ops:pate
 
 @query(duck("legal_events") + "SELECT 'E' || CAST(pos AS VARCHAR) AS pub, CAST(0 AS BIGINT) AS pos, code, code || ' event' AS \"desc\", gazette_date, ' line ' || CAST(pos % 3 AS VARCHAR) || ' ' AS pre_line FROM legal_events")
 def xml_legal_parse(spark, sf_dir):
-    e = legal(spark, sf_dir)
+    e = spread(legal(spark, sf_dir))
     before, _, rest = LEGAL_XML.partition("{code}")
     middle, _, tail = rest.partition("{code}")
     to_line, _, tail = tail.partition("{n}")
@@ -387,7 +388,7 @@ def _wrap(*parts):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS requested, CAST(o_custkey AS VARCHAR) AS family_id, 'EP.' || CAST(o_orderkey AS VARCHAR) || '.A1' AS pub, o_orderpriority AS title, strftime(o_orderdate, '%Y%m%d') AS publication_date FROM orders")
 def xml_biblio_parse(spark, sf_dir):
-    o = view(spark, sf_dir, "orders").withColumn("d", F.date_format("o_orderdate", "yyyyMMdd"))
+    o = spread(view(spark, sf_dir, "orders")).withColumn("d", F.date_format("o_orderdate", "yyyyMMdd"))
     body = _wrap(
         '<ops:world-patent-data xmlns:ops="u"><exchange-documents><exchange-document country="EP" doc-number="', "$o_orderkey", '" kind="A1" family-id="', "$o_custkey", '"><bibliographic-data><publication-reference><document-id document-id-type="docdb"><country>EP</country><doc-number>',
         "$o_orderkey", "</doc-number><kind>A1</kind><date>", "$d", '</date></document-id></publication-reference><invention-title lang="de">x</invention-title><invention-title lang="en"> ', "$o_orderpriority", " </invention-title></bibliographic-data></exchange-document></exchange-documents></ops:world-patent-data>",
@@ -399,7 +400,7 @@ def xml_biblio_parse(spark, sf_dir):
 def xml_family_parse(spark, sf_dir):
     member = ('<ops:family-member family-id="', "$o_custkey", '"><publication-reference><document-id document-id-type="docdb"><country>EP</country><doc-number>', "$o_orderkey", "</doc-number><kind>A1</kind></document-id></publication-reference></ops:family-member>")
     body = _wrap('<ops:world-patent-data xmlns:ops="u"><ops:patent-family>', *member, *member, "</ops:patent-family></ops:world-patent-data>")
-    return xml.family(view(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pub"), body.alias("body"))).select("requested", "family_id", F.array_join("members", ",").alias("members"))
+    return xml.family(spread(view(spark, sf_dir, "orders")).select(F.col("o_orderkey").cast("string").alias("pub"), body.alias("body"))).select("requested", "family_id", F.array_join("members", ",").alias("members"))
 
 
 @query(duck("arrivals").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT service, seq, at_us, greatest(at_us, coalesce(floor_us, 0), CASE WHEN cool_down_us <= at_us + 3600000000 THEN cool_down_us ELSE 0 END) AS ready, greatest(interval_us, coalesce(tight_us, 0)) AS step, row_number() OVER (PARTITION BY service ORDER BY seq) AS n FROM arrivals),

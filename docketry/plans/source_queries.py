@@ -10,6 +10,7 @@ from docketry.operators import cache_views, hits, snapshots, usage
 from docketry.plans.catalog import CACHE, EVENTS, HALVES, LOG, _cache, _halves, _kin, _now, _status, _wrap, query
 from docketry.plans.proxies import duck, legal, view
 from docketry.sources import html, jsonl, xml
+from docketry.sources.spread import spread
 
 PAGE = """<html><head><title>x</title></head><body><table><tr itemprop="backwardReferences"><td><span itemprop="publicationNumber"> US$oA </span><span itemprop="title">other</span><span itemprop="priorityDate">no</span></td></tr>
 <tr itemprop="backwardReferences"><td>a book</td></tr><tr itemprop="similarDocuments"><td><span itemprop="publicationNumber">EP$oB1</span></td></tr></table><dl><dd itemprop="publicationNumber">EP$kA1</dd></dl>
@@ -36,7 +37,7 @@ def _filled(template: str, **columns):
     'A ' || p_name || ' thing' AS abstract, 'Active' AS status_display, '2040-01-' || (10 + p_size % 18) AS expiration, '2020-02-' || (10 + p_size % 18) AS priority_date, '' AS publication_date, p_brand AS assignee, 'G06F17/' || (10 + p_size % 18) AS cpc_codes,
     'US' || (p_partkey + 7) || 'A' AS backward_refs, 'EP' || (p_partkey + 7) || 'B1' AS similar, 'claim 1' AS claim_2, '|1|1,2' AS depends_on, CASE WHEN p_partkey % 13 = 0 THEN 'no publication number' END AS error FROM part""")
 def patent_pages(spark, sf_dir):
-    p = view(spark, sf_dir, "part")
+    p = spread(view(spark, sf_dir, "part"))
     body = _filled(PAGE, o=F.col("p_partkey") + 7, k=F.col("p_partkey"), n=F.col("p_name"), d=F.col("p_size") % 18 + 10, b=F.col("p_brand"))
     body = F.when(F.col("p_partkey") % 13 == 0, F.replace(body, F.lit("<dd itemprop=\"publicationNumber\">"), F.lit("<dd>"))).otherwise(body)
     out = html.patent_pages(p.select(F.col("p_partkey").cast("string").alias("pub"), body.alias("body")))
@@ -50,7 +51,7 @@ _REF = ('<ops:publication-reference family-id="', "$c_nationkey", '" system="x">
 
 
 def _searches(spark, sf_dir):
-    c = view(spark, sf_dir, "customer")
+    c = spread(view(spark, sf_dir, "customer"))
     head = _wrap('<?xml version="1.0"?><ops:world-patent-data xmlns:ops="u"><ops:biblio-search total-result-count="', "$c_custkey", '"><ops:query syntax="CQL"> ta=', "$c_mktsegment", ' &amp; x </ops:query><ops:range begin="1" end="2"/><ops:search-result>')
     found = F.concat(head, _wrap(*_REF), _wrap(*_REF), F.lit("</ops:search-result></ops:biblio-search></ops:world-patent-data>"))
     fault = F.lit('<fault xmlns="u"><code>SERVER.EntityNotFound</code><message>none</message></fault>')
@@ -75,7 +76,7 @@ def xml_search_hits(spark, sf_dir):
 def xml_search_biblio(spark, sf_dir):
     doc = ('<exchange-documents><exchange-document country="EP" doc-number="', "$s_suppkey", '" kind="A1" family-id="7"><bibliographic-data><invention-title lang="en">', "$s_name", "</invention-title></bibliographic-data></exchange-document></exchange-documents>")
     body = _wrap('<ops:world-patent-data xmlns:ops="u"><ops:biblio-search total-result-count="', "$s_suppkey", '"><ops:range begin="1" end="2"/><ops:search-result>', *doc, *doc, "</ops:search-result></ops:biblio-search></ops:world-patent-data>")
-    raw = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("query"), body.alias("body"))
+    raw = spread(view(spark, sf_dir, "supplier")).select(F.col("s_suppkey").cast("string").alias("query"), body.alias("body"))
     page = xml.search_biblio_page(raw).select("query", "total_count", "docs")
     return page.join(xml.search_biblio(raw).select(F.col("requested").alias("query"), "pub", "title", "pos"), "query")
 
@@ -86,7 +87,7 @@ def xml_claims(spark, sf_dir):
     body = _wrap('<w xmlns:f="u"><f:claims lang="DE"><claim><claim-text>1. Ein Ding</claim-text></claim></f:claims><f:claims lang="EN"><claim><claim-text>1. A ', "$p_name", ".2. The  thing\nof claim 1.</claim-text><claim-text>3. A thing of claims 1 or 2.</claim-text></claim></f:claims></w>")
     # of six bodies one has no section, one no numbers, and one isn't XML
     odd = F.when(F.col("p_partkey") % 6 == 0, "<w/>").when(F.col("p_partkey") % 6 == 1, "<w><claims><claim-text>A thing.</claim-text></claims></w>").when(F.col("p_partkey") % 6 == 2, "<w")
-    out = xml.claims(view(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("pub"), F.coalesce(odd, body).alias("body")))
+    out = xml.claims(spread(view(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("pub"), F.coalesce(odd, body).alias("body")))
     return out.select("pub", "number", "text", F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("depends_on"), "error")
 
 
@@ -95,7 +96,7 @@ def xml_claims(spark, sf_dir):
     CASE WHEN k = 4 THEN '' ELSE 'G06F 17/00' END AS ipc, CASE WHEN k = 4 THEN '' ELSE 'G06F17/10|H01L1/' || s_suppkey END AS cpc, CASE k WHEN 4 THEN '' WHEN 3 THEN '' ELSE '20240101' END AS publication_date, CASE WHEN k = 4 THEN '' ELSE 'US.7.A' END AS cited_patents, CAST(CASE WHEN k = 4 THEN 0 ELSE 2 END AS INT) AS npl_citation_count,
     CASE WHEN k = 4 THEN 'upstream_data' END AS error FROM s""")
 def xml_biblio_fields(spark, sf_dir):
-    s = view(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey") % 5)
+    s = spread(view(spark, sf_dir, "supplier")).withColumn("k", F.col("s_suppkey") % 5)
     # the reference names another publication than the document; one of five has no kind, one no original applicant, one no date, one no data
     s = s.withColumn("kind", F.when(F.col("k") != 1, F.lit('kind="A1"')).otherwise("")).withColumn("date", F.when(F.col("k") != 3, F.lit("<date> 20240101 </date>")).otherwise("")).withColumn("form", F.when(F.col("k") != 2, "original").otherwise("docdb"))
     cpc = lambda scheme, section, group, sub: f'<patent-classification><classification-scheme scheme="{scheme}"/>{section}<main-group>{group}</main-group><subgroup>{sub}</subgroup></patent-classification>'
