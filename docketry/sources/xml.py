@@ -217,7 +217,9 @@ def search_page(df: DataFrame, key: str = "query", body: str = "body") -> DataFr
 
 def search_hits(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
     """``query, pos, pub, family_id``: one row for each hit of a search result."""
-    return search_page(df, key, body).select("query", F.posexplode("hits").alias("pos", "h")).select("query", "pos", "h.pub", "h.family_id")
+    # an inner explode would infer a filter on hits, which parses every body once more, and in the task that reads it
+    held = search_page(df, key, body).select("query", F.posexplode_outer("hits").alias("pos", "h")).where("pos IS NOT NULL")
+    return held.select("query", "pos", "h.pub", "h.family_id")
 
 
 def search_biblio_page(df: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
@@ -232,4 +234,4 @@ def search_biblio(df: DataFrame, key: str = "query", body: str = "body") -> Data
     rows, _, found = _searched(df, body)
     held = F.transform(found["ops:search-result"]["exchange-documents"], lambda h: h["exchange-document"])
     docs = F.flatten(F.filter(held, lambda d: d.isNotNull()))
-    return _documents(rows.select(F.col(key).alias("requested"), F.posexplode(docs).alias("pos", "d")))
+    return _documents(rows.select(F.col(key).alias("requested"), F.posexplode_outer(docs).alias("pos", "d")).where("pos IS NOT NULL"))
