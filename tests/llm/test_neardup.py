@@ -75,3 +75,20 @@ def test_ids_on_many_different_texts(spark, ids, monkeypatch):
     for i, (_, c) in want.items():
         low[c] = min(low.get(c, ids), i % ids)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i % ids, want[i][0], low[want[i][1]]) for i in want)
+
+
+def test_nothing_is_broadcast(spark):
+    """Minima are an array, which Spark takes for one element, and files are compressed: no table may go through the driver."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    # a large bucket of many components, small ones, and copies
+    docs = [(i, noisy(base, rng.randrange(0, 25), rng)) for i in range(100)] + [(200 + i, noisy(base[:40], 3, rng)) for i in range(10)] + [(300 + i, "a b c") for i in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert len(near_duplicates(frame, words=2).collect()) == len(docs)
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(before, ran.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]
