@@ -400,6 +400,46 @@ def test_many_copies_of_one_picture(spark):
     assert got == {i: 0 for i in range(90)} | {90: 90, 91: 90}
 
 
+def test_all_links_in_large_buckets_are_found(spark):
+    """Links of a picture's many copies among themselves, too, held against all pairs by brute force."""
+    rng = np.random.default_rng(3)
+    one = images.picture(rng.normal(size=4))
+    shown = [images.to_pgm(one * (0.5 + k / 60)) for k in range(30)]
+    made = [images.describe(images.from_pgm(p), images.chosen_tests()) for p in shown]
+    packed = [(s, np.frombuffer(np.packbits(b, axis=1).tobytes(), dtype=np.uint64).reshape(-1, 4)) for s, b in made]
+    want = [0] * len(shown)
+    for a in range(len(shown)):
+        for b in range(a + 1, len(shown)):
+            i, j = images.matches(packed[a][1], packed[b][1])
+            if images.consensus(packed[a][0][i], packed[b][0][j]) >= images.CONSENSUS:
+                want[a], want[b] = want[a] + 1, want[b] + 1
+    # a repeated row is no link
+    for rows, small in ((list(enumerate(shown)), 7), ([*enumerate(shown), (4, shown[4])], images.SMALL)):
+        frame = spark.createDataFrame([(i, bytearray(p)) for i, p in rows], "media_id long, image binary")
+        got = sorted(tuple(r) for r in images.image_copies(frame, small=small).select("media_id", "component_id", "n_links").distinct().collect())
+        assert got == [(i, 0, n) for i, n in enumerate(want)]
+
+
+@pytest.mark.parametrize(("gather", "small"), [(1, 4), (10, 1), (10, 4), (10, 8), (10, 64), (100_000, 4)])
+def test_every_pair_of_a_bucket_is_formed_once(spark, monkeypatch, gather, small):
+    """Wherever batches and blocks end."""
+    buckets = {k: [i * 7 + k for i in range(n)] for k, n in {1: 3, 2: 40, 5: 1, 6: 8, 7: 9, 9: 25}.items()}
+    monkeypatch.setattr(images, "GATHER", gather)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(batch)
+    spark.conf.set(batch, "6")
+    try:
+        met = images._meetings(spark.createDataFrame([(k, i) for k, ids in buckets.items() for i in ids], "key long, id long").coalesce(1), small).persist()
+        large = met.where("key IS NOT NULL").select("key", "block", F.col("a").alias("id"))
+        assert {r.key for r in large.collect()} == {k for k, ids in buckets.items() if len(ids) > small}
+        assert all(r["count"] <= small for r in large.groupBy("key", "block").count().collect())
+        found = met.where("key IS NULL").select("a", "b").unionByName(images._block_pairs(large)).collect()
+    finally:
+        spark.conf.set(batch, rows)
+        met.unpersist()
+    assert sorted(map(tuple, found)) == sorted((a, b) for ids in buckets.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+
+
 def test_crops_of_photos_and_small_copies_are_linked(spark):
     rng = np.random.default_rng(8)
     photo, *plain = (128 + sum(images.resize(rng.normal(0, 30, (n, n)).astype(np.float32), side, side) for n in (side // 10, side // 5, side // 3)).clip(-128, 127) for side in (384, 96, 96))
